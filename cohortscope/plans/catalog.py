@@ -47,11 +47,12 @@ from cohortscope.sources.json_lists import explode_dates
 # --- periods (fixed parameters of the analyses on the driver tables) -----------------
 EVENTS_ALL = Period.half_open("2024-01-01", "2024-02-01")
 VOTE_WINDOW = Period.between("2024-01-01", "2024-01-20")
-PURCHASE_WINDOW = Period.between("2024-01-01", "2024-01-05")
-REQUEST_WINDOW = Period.between("2024-01-01", "2024-01-03")
+PURCHASE_WINDOW = Period.half_open("2024-01-01", "2024-01-06")
+REQUEST_WINDOW = Period.half_open("2024-01-01", "2024-01-04")
 RECEIPT_WINDOW = Period.half_open("2024-01-01", "2024-01-04")
 EARLY_PURCHASE = Period.half_open("2024-01-01", "2024-01-03")
-VIEW_WINDOW = Period.between("2024-01-01", "2024-01-02")
+VIEW_WINDOW = Period.half_open("2024-01-01", "2024-01-03")
+POINT_WINDOW = Period.between("2024-01-01", "2024-01-31")
 ORDERS_ALL = Period.half_open("1995-01-01", "2002-01-01")
 ORDER_WINDOW = Period.between("1996-01-01", "1999-12-31")
 SHIP_WINDOW = Period.half_open("1996-01-01", "1998-01-01")
@@ -542,12 +543,12 @@ def _(b):
     "ELSE 'not_voted' END AS vote_flag FROM point_history pe LEFT JOIN ("
     "SELECT DISTINCT user_id FROM votes WHERE status = 'view' AND "
     f"{VIEW_WINDOW.sql('created_at')}) vu ON pe.user_id = vu.user_id "
-    f"WHERE pe.delta_point > 0 AND {VOTE_WINDOW.sql('pe.created_at')}) labeled GROUP BY vote_flag",
+    f"WHERE pe.delta_point > 0 AND {POINT_WINDOW.sql('pe.created_at')}) labeled GROUP BY vote_flag",
     "point_history", "votes"))
 def _(b):
     viewers = cohort.cohort(b.votes().filter(F.col("status") == "view"), period=VIEW_WINDOW)
     return segments.compare_segments(
-        b.point_history(), viewers, where=F.col("delta_point") > 0, period=VOTE_WINDOW
+        b.point_history(), viewers, where=F.col("delta_point") > 0, period=POINT_WINDOW
     )
 
 
