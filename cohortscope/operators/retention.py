@@ -4,10 +4,11 @@ A cohort member's start day is the day of their first event in the period. Visit
 from a JSON date list per user and count only when strictly after the start day, so
 day 0 never counts.
 
-No list is exploded: the lists are joined to the start days (one row per member) and
-each list row is reduced in place with higher-order functions (``filter`` /
-``array_min`` / ``exists``), then grouped per member with partial aggregation. The
-member table is then left-joined 1:1 so members without any visit stay in the base.
+No list is exploded: the start days (one row per member) are left-joined to the list
+rows, each list is reduced in place with higher-order functions (``filter`` /
+``array_min`` / ``exists``), and the rows are grouped per member. The join leaves the
+rows hash-partitioned by user, so the grouping adds no shuffle, and members without any
+list stay in the base with a NULL result.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def _visit_in_band(lo: int, hi: int | None):
 
 def _visits(starts: DataFrame, visits: DataFrame, user: str, list_col: str) -> DataFrame:
     lists = visits.select(F.col(user), list_dates(list_col).alias("_dates"))
-    return lists.join(starts, user)
+    return starts.join(lists, user, "left")
 
 
 def first_revisit(
@@ -68,12 +69,12 @@ def first_revisit(
 ) -> DataFrame:
     """(user, start_date, first_revisit_date) for every member; NULL when no visit
     follows the start day."""
-    later = _visits(starts, visits, user, list_col).select(
-        user,
-        F.array_min(F.filter("_dates", lambda d: d > F.col("start_date"))).alias("_first"),
+    later = F.array_min(F.filter("_dates", lambda d: d > F.col("start_date")))
+    return (
+        _visits(starts, visits, user, list_col)
+        .groupBy(user, "start_date")
+        .agg(F.min(later).alias("first_revisit_date"))
     )
-    per_user = later.groupBy(user).agg(F.min("_first").alias("first_revisit_date"))
-    return starts.join(per_user, user, "left")
 
 
 def retention_by_first_revisit(
@@ -107,13 +108,11 @@ def retention_by_any_visit(
     base_name: str = "total_voted_users",
 ) -> DataFrame:
     """R3: members with *any* visit in each band (after the start day), with rates."""
-    rows = _visits(starts, visits, user, list_col)
     flags = []
     for lo, hi, name in bands:
         hit = F.exists("_dates", _visit_in_band(lo, hi))
         flags.append(F.max(hit.cast("int")).alias(f"_{name}"))
-    per_user = rows.groupBy(user).agg(*flags)
-    joined = starts.join(per_user, user, "left")
+    joined = _visits(starts, visits, user, list_col).groupBy(user, "start_date").agg(*flags)
     n = F.count(F.lit(1))
     cols = [n.alias(base_name)]
     for _, _, name in bands:

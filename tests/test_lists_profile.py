@@ -1,0 +1,80 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from cohortscope.operators import lists, profile
+from cohortscope.sources.json_lists import explode_dates
+from cohortscope.sources.tables import describe_schema
+from conftest import rows
+
+D = dt.date
+
+ATTENDANCE = [
+    (1, None),
+    (2, "[]"),
+    (3, '["2023-05-27", "2023-06-01"]'),
+    (4, '[\\"2023-06-02\\", \\"2023-6-3\\"]'),
+    (5, '["2023-07-01", "bad-date"]'),
+    (6, "not json"),
+    (7, '["2023-07-04", "2023-07-04"]'),
+    (8, '["2023-08-01", null]'),
+]
+
+
+def att(spark):
+    return spark.createDataFrame(ATTENDANCE, "user_id long, attendance_date_list string")
+
+
+def test_explode_drops_null_empty_and_malformed(spark):
+    out = rows(explode_dates(att(spark), "user_id", "attendance_date_list"))
+    assert sorted({u for u, _ in out}) == [3, 4, 5, 7, 8]
+    assert (5, None) in out and out.count((7, D(2023, 7, 4))) == 2
+
+
+def test_first_last_by_key(spark):
+    got = {r[0]: (r[1], r[2]) for r in rows(lists.first_last_by_key(att(spark)))}
+    assert got == {
+        3: (D(2023, 5, 27), D(2023, 6, 1)), 4: (D(2023, 6, 2), D(2023, 6, 3)),
+        5: (D(2023, 7, 1), D(2023, 7, 1)), 7: (D(2023, 7, 4), D(2023, 7, 4)),
+        8: (D(2023, 8, 1), D(2023, 8, 1)),
+    }
+
+
+def test_first_last_overall(spark):
+    assert rows(lists.first_last_overall(att(spark))) == [(D(2023, 5, 27), D(2023, 8, 1))]
+
+
+def test_monthly_counts_keep_duplicates_and_null_month(spark):
+    got = dict(rows(lists.monthly_list_counts(att(spark))))
+    # user 6's text is one token that is not a date; user 8's JSON null is token 'null'
+    assert got == {"2023-05": 1, "2023-06": 3, "2023-07": 3, "2023-08": 1, None: 3}
+
+
+def test_list_length_stats_semi_join(spark):
+    users = spark.createDataFrame(
+        [(1, "[1,2,3]"), (2, "[]"), (3, None), (4, "[5]")], "id long, friend_id_list string"
+    )
+    cohort = spark.createDataFrame([(1,), (1,), (2,), (3,)], "user_id long")
+    assert rows(lists.list_length_stats(users, cohort)) == [(1.5, 3, 0)]
+
+
+def test_profile_basics(spark):
+    df = spark.createDataFrame(
+        [(1, "a", None), (2, None, 5), (3, "a", 5), (4, "b", 7)], "id long, reason string, v int"
+    )
+    assert rows(profile.completeness(df, ["reason", "v"])) == [(4, 1, 1)]
+    assert sorted(rows(profile.distinct_values(df, "reason")), key=str) == [("a",), ("b",), (None,)]
+    vc = rows(profile.value_counts(df, "reason", count_col="reason"))
+    assert vc == [(None, 0), ("a", 2), ("b", 1)]
+    top = rows(profile.value_counts(df, "reason", order="count", k=2))
+    assert top == [("a", 2), (None, 1)]
+    assert rows(profile.row_count(df, "v", where=F.col("id") > 1)) == [(3,)]
+    assert rows(profile.distinct_count(df, {"n_reason": "reason", "n_v": "v"})) == [(2, 2)]
+    assert rows(profile.lookup(df, "id", "3")) == [(3, "a", 5)]
+    assert len(rows(profile.preview(df, 2, order_by=["id"]))) == 2
+    assert rows(profile.empty_list_count(spark.createDataFrame([("[]",), ("[1]",)], "l string"), "l")) == [(1,)]
+
+
+def test_describe_schema(spark):
+    df = spark.createDataFrame([(1, "x")], "id long, reason string")
+    assert rows(describe_schema(spark, df)) == [("id", "bigint", True), ("reason", "string", True)]
