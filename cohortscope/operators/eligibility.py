@@ -2,8 +2,9 @@
 
 Users are only ever joined to *per-group* relations (one row per class), never to other
 user-level tables row by row. The eligible-class relation is broadcast when a bounded
-count proves it small; otherwise it stays a shuffle join, whose skewed partitions (one
-huge class) AQE splits.
+count of the class table proves it small, so a class holding a third of all users never
+lands in one shuffle partition; otherwise it stays a shuffle join, whose skewed
+partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -55,9 +56,13 @@ def eligible_members(
     users: DataFrame, groups: DataFrame, schools: DataFrame, min_school: int = 40,
     min_class: int = 4, group: str = "group_id", member: str = "id",
 ) -> DataFrame:
-    """Users of eligible classes (all their rows)."""
-    elig = bounded_broadcast(eligible_groups(users, groups, schools, min_school, min_class, group, member))
-    return users.join(elig, group, "left_semi")
+    """Users of eligible classes (all their rows).
+
+    Eligible classes are a subset of the class table, so the class table's row count
+    bounds them; it is the (cheap) relation the broadcast check counts.
+    """
+    elig = eligible_groups(users, groups, schools, min_school, min_class, group, member)
+    return users.join(bounded_broadcast(elig, bound_by=groups), group, "left_semi")
 
 
 def eligible_population(

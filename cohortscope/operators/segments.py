@@ -139,28 +139,25 @@ def item_conversion(
     return joined.groupBy(item).agg(n.alias(names[0]), v.alias(names[1]), pct(v, n).alias(names[2]))
 
 
-def flag_rate(
+def member_linked_targets(
     links: DataFrame,
     members: DataFrame,
     targets: DataFrame,
-    flag: str = "is_skipped",
+    cols: Sequence[str],
     link_user: str = "user_id",
     link_key: str = "question_piece_id",
     member_key: str = "user_id",
     target_key: str = "id",
-    counted: str = "question_id",
     link_period: Period | None = None,
     target_period: Period | None = None,
     ts: str = "created_at",
-    names: Sequence[str] = ("total_question_cnt", "skipped_question_cnt", "skip_rate_pct"),
 ) -> DataFrame:
-    """S6 flag counts and flag rate over member-linked target rows.
+    """Target rows reached from members through distinct (user, key) link pairs, each
+    with weight ``_w`` = how many such pairs point at it (its multiplicity in the join
+    ``pairs JOIN members JOIN targets``).
 
-    Links are distinct (user, key) pairs of members; each target row is weighted by how
-    many such pairs point at it. The pairs are counted per key *before* the join with
-    the targets, so the join is per key, and a hot key stays one row.
-    Output: ``COUNT(counted)``, ``SUM(flag = 1)`` and ``ROUND(SUM(flag = 1) * 100 /
-    COUNT(*), 2)`` over the joined rows.
+    The pairs are counted per key *before* the join with the targets, so that join is
+    per key and a hot key stays one row.
     """
     m = members.select(F.col(member_key).alias(link_user)).distinct()
     pairs = (
@@ -171,15 +168,61 @@ def flag_rate(
     )
     per_key = pairs.groupBy(link_key).agg(F.count(F.lit(1)).alias("_w"))
     t = restrict(targets, target_period, ts).select(
-        F.col(target_key).alias(link_key), F.col(counted), F.col(flag)
+        F.col(target_key).alias(link_key), *[F.col(c) for c in cols]
     )
-    joined = per_key.join(t, link_key)
-    w = F.col("_w")
-    rows = F.sum(w)
-    total = F.sum(F.when(F.col(counted).isNotNull(), w).otherwise(F.lit(0)))
-    flagged = F.sum(F.when(F.col(flag) == 1, w).otherwise(F.lit(0)))
+    return per_key.join(t, link_key)
+
+
+def _weighted_sum(condition: Column) -> Column:
+    return F.sum(F.when(condition, F.col("_w")).otherwise(F.lit(0))).cast("long")
+
+
+def flag_rate(
+    links: DataFrame,
+    members: DataFrame,
+    targets: DataFrame,
+    flag: str = "is_skipped",
+    counted: str = "question_id",
+    denominator: str = "rows",
+    names: Sequence[str] = ("total_question_cnt", "skipped_question_cnt", "skip_rate_pct"),
+    **link_args,
+) -> DataFrame:
+    """S6 flag counts and flag rate over member-linked target rows.
+
+    ``denominator='rows'``: ``COUNT(counted)``, ``SUM(flag = 1)`` and
+    ``ROUND(SUM(flag = 1) * 100 / COUNT(*), 2)`` over the joined rows.
+    ``denominator='distinct'``: the total and the rate's denominator are
+    ``COUNT(DISTINCT counted)`` instead.
+    """
+    joined = member_linked_targets(links, members, targets, [counted, flag], **link_args)
+    flagged = _weighted_sum(F.col(flag) == 1)
+    if denominator == "rows":
+        # COUNT semantics: 0, not NULL, when nothing is linked.
+        total = F.coalesce(_weighted_sum(F.col(counted).isNotNull()), F.lit(0).cast("long"))
+        return joined.agg(
+            total.alias(names[0]), flagged.alias(names[1]),
+            pct(flagged, F.sum("_w")).alias(names[2]),
+        )
+    if denominator == "distinct":
+        total = F.countDistinct(counted)
+        return joined.agg(
+            total.alias(names[0]), flagged.alias(names[1]), pct(flagged, total).alias(names[2])
+        )
+    raise ValueError(denominator)
+
+
+def flag_split(
+    links: DataFrame,
+    members: DataFrame,
+    targets: DataFrame,
+    flag: str = "is_skipped",
+    names: Sequence[str] = ("skip_0_cnt", "skip_1_cnt"),
+    **link_args,
+) -> DataFrame:
+    """S6 variant: member-linked target rows with flag 0 and with flag 1
+    (``SUM(CASE WHEN flag = v THEN 1 ELSE 0 END)``, NULL when nothing is linked)."""
+    joined = member_linked_targets(links, members, targets, [flag], **link_args)
     return joined.agg(
-        total.cast("long").alias(names[0]),
-        flagged.cast("long").alias(names[1]),
-        pct(flagged, rows).alias(names[2]),
+        _weighted_sum(F.col(flag) == 0).alias(names[0]),
+        _weighted_sum(F.col(flag) == 1).alias(names[1]),
     )

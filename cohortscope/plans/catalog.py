@@ -60,6 +60,7 @@ RETENTION_WINDOW = Period.half_open("1996-01-01", "2000-01-01")
 LATE_PIECES = Period.half_open("2001-07-25", "2002-01-01")
 EARLY_F_ORDERS = Period.half_open("1995-01-01", "1996-06-01")
 SIGNUP_WINDOW = Period.between("1995-01-01", "2024-01-31")
+SIGNUP_PERIOD = Period.half_open("1996-01-01", "1999-01-01")
 SIGNUP_VOTE_WINDOW = Period.between("2024-01-01", "2024-01-31")
 MIN_SCHOOL = 20
 MIN_CLASS = 60
@@ -255,6 +256,43 @@ def _(b):
     return lists.list_length_stats(b.users(with_friends=True), members)
 
 
+@register("distinct_group_schools", "P6", sql_with(
+    "SELECT count(DISTINCT school_id) AS school_cnt, count(DISTINCT id) AS group_cnt FROM groups",
+    "groups"))
+def _(b):
+    return profile.distinct_count(b.groups(), {"school_cnt": "school_id", "group_cnt": "id"})
+
+
+@register("distinct_voters_all_time", "P6", sql_with(
+    "SELECT count(DISTINCT user_id) AS voters FROM votes", "votes"))
+def _(b):
+    return profile.distinct_count(b.votes(), {"voters": "user_id"})
+
+
+@register("distinct_signups_in_period", "P6", sql_with(
+    "SELECT count(DISTINCT id) AS signup_cnt FROM users "
+    f"WHERE {SIGNUP_PERIOD.sql('created_at')}", "users"))
+def _(b):
+    return profile.distinct_count(b.users(), {"signup_cnt": "id"}, SIGNUP_PERIOD)
+
+
+@register("distinct_candidate_users", "P6", sql_with(
+    "SELECT count(DISTINCT user_id) AS candidate_users FROM user_candidates", "user_candidates"))
+def _(b):
+    return profile.distinct_count(b.user_candidates(), {"candidate_users": "user_id"})
+
+
+@register("distinct_piece_ids", "P7", sql_with(
+    "SELECT DISTINCT id FROM question_pieces", "question_pieces"))
+def _(b):
+    return profile.distinct_values(b.question_pieces(), "id")
+
+
+@register("distinct_voter_ids", "P7", sql_with("SELECT DISTINCT user_id FROM votes", "votes"))
+def _(b):
+    return profile.distinct_values(b.votes(), "user_id")
+
+
 # ===================================================================== activity (A)
 @register("payment_totals", "A1", sql_with(
     "SELECT count(DISTINCT user_id) AS paying_users, count(*) AS total_payments FROM payments",
@@ -320,6 +358,19 @@ def _(b):
     )
 
 
+@register("candidate_piece_top_users_fanout", "A8", sql_with(
+    "SELECT uc.user_id, count(uc.question_piece_id) AS question_piece_cnt FROM user_candidates uc "
+    "LEFT JOIN votes uq ON uc.user_id = uq.user_id "
+    f"WHERE {SHIP_WINDOW.sql('uc.created_at')} AND uq.status = 'purchase' AND "
+    f"{EVENTS_ALL.sql('uq.created_at')} GROUP BY uc.user_id "
+    "ORDER BY question_piece_cnt DESC, uc.user_id LIMIT 20", "user_candidates", "votes"))
+def _(b):
+    return activity.joined_item_counts(
+        b.user_candidates(), purchasers(b), k=20,
+        facts_period=SHIP_WINDOW, cohort_period=EVENTS_ALL, fanout=True,
+    )
+
+
 # ======================================================================== top-k (K)
 @register("top_voted_questions", "K1", sql_with(
     "SELECT v.question_id, q.question_text, count(*) AS vote_cnt FROM votes v "
@@ -371,6 +422,17 @@ def _(b):
     )
 
 
+@register("attendance_vote_conversion", "C2", sql_with(
+    "SELECT count(DISTINCT a.user_id) AS total_users, count(DISTINCT r.user_id) AS voted_users, "
+    f"{sql_pct('count(DISTINCT r.user_id)', 'count(DISTINCT a.user_id)')} AS voted_rate "
+    "FROM attendance a LEFT JOIN votes r ON a.user_id = r.user_id", "attendance", "votes"))
+def _(b):
+    return cohort.conversion_rate(
+        b.attendance(), b.votes(), base_name="total_users", converted_name="voted_users",
+        rate_name="voted_rate",
+    )
+
+
 @register("payment_rate_all_users", "C2", sql_with(
     "SELECT count(DISTINCT p.user_id) AS paying_users, count(DISTINCT u.id) AS total_users, "
     f"{sql_dround('CAST(count(DISTINCT p.user_id) AS DOUBLE) / NULLIF(count(DISTINCT u.id), 0)', 4)}"
@@ -609,6 +671,39 @@ def _(b):
     return segments.flag_rate(b.user_candidates(), purchasers(b), b.question_pieces())
 
 
+_SKIP_LINKS_SQL = (
+    "FROM (SELECT DISTINCT user_id, question_piece_id FROM user_candidates "
+    f"WHERE {SHIP_WINDOW.sql('created_at')}) uc "
+    "JOIN (SELECT DISTINCT user_id FROM votes WHERE status = 'purchase') vu "
+    "ON uc.user_id = vu.user_id JOIN question_pieces pqp ON uc.question_piece_id = pqp.id "
+    f"WHERE {ORDER_WINDOW.sql('pqp.created_at')}"
+)
+
+
+@register("candidate_skip_rate_distinct_questions", "S6", sql_with(
+    "SELECT count(DISTINCT pqp.question_id) AS total_cnt, "
+    "CAST(sum(CASE WHEN pqp.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skip_cnt, "
+    f"{sql_pct('sum(CASE WHEN pqp.is_skipped = 1 THEN 1 ELSE 0 END)', 'count(DISTINCT pqp.question_id)')} "
+    f"AS skip_rate {_SKIP_LINKS_SQL}", "user_candidates", "votes", "question_pieces"))
+def _(b):
+    return segments.flag_rate(
+        b.user_candidates(), purchasers(b), b.question_pieces(), denominator="distinct",
+        names=("total_cnt", "skip_cnt", "skip_rate"),
+        link_period=SHIP_WINDOW, target_period=ORDER_WINDOW,
+    )
+
+
+@register("candidate_skip_split", "S6", sql_with(
+    "SELECT CAST(sum(CASE WHEN pqp.is_skipped = 0 THEN 1 ELSE 0 END) AS BIGINT) AS skip_0_cnt, "
+    "CAST(sum(CASE WHEN pqp.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skip_1_cnt "
+    f"{_SKIP_LINKS_SQL}", "user_candidates", "votes", "question_pieces"))
+def _(b):
+    return segments.flag_split(
+        b.user_candidates(), purchasers(b), b.question_pieces(),
+        link_period=SHIP_WINDOW, target_period=ORDER_WINDOW,
+    )
+
+
 # ================================================================ time to event (T)
 def _timing_sql(starts: str, ends: str, unit: str, strict: bool, share: bool,
                 avg_digits: int | None, names=("user_cnt", "avg_days", "min_days", "max_days")):

@@ -99,3 +99,10 @@ def test_flag_rate_weights_pairs(spark):
     )
     # member pairs: (1,10), (1,11), (2,11) -> 3 rows, one flagged
     assert rows(segments.flag_rate(links, members, pieces)) == [(3, 1, 33.33)]
+
+
+def test_flag_rate_on_nothing_linked(spark):
+    links = spark.createDataFrame([(7, 10)], "user_id long, question_piece_id long")
+    pieces = spark.createDataFrame([(10, 100, 1)], "id long, question_id long, is_skipped int")
+    assert rows(segments.flag_rate(links, ids(spark, [1]), pieces)) == [(0, None, None)]
+    assert rows(segments.flag_split(links, ids(spark, [1]), pieces)) == [(None, None)]
