@@ -41,6 +41,7 @@ from cohortscope.operators import (
     topk,
 )
 from cohortscope.plans.period import Period
+from cohortscope.session import configure
 from cohortscope.sources.bindings import Bindings, sql_with
 from cohortscope.sources.json_lists import explode_dates
 
@@ -81,6 +82,7 @@ REGISTRY: dict[str, Query] = {}
 def register(name: str, operator: str, sql: str | None):
     def deco(fn: Callable[[Bindings], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)  # pinned zone / ANSI / AQE, whoever made the session
             return fn(Bindings(spark, sf_dir))
 
         build.__name__ = name
@@ -208,6 +210,13 @@ def _(b):
     )
 
 
+@register("top_school_addresses", "P8", sql_with(
+    "SELECT address, count(student_count) AS cnt FROM schools GROUP BY address "
+    "ORDER BY cnt DESC, address ASC NULLS FIRST LIMIT 10", "schools"))
+def _(b):
+    return profile.value_counts(b.schools(), "address", count_col="student_count", order="count", k=10)
+
+
 @register("lookup_user_events", "P9", f"SELECT * FROM events WHERE user_id = {LOOKUP_USER}")
 def _(b):
     return profile.lookup(b.events, "user_id", LOOKUP_USER)
