@@ -58,13 +58,28 @@ def sql_mean(expr: str) -> str:
     return sql_dround(f"avg({expr})", DIV_EXTRA_DIGITS)
 
 
-def pct(num: str | Column, den: str | Column, digits: int = 2) -> Column:
-    """``ROUND(num * 100 / den, digits)``; NULL when ``den`` is 0."""
-    return dround(F.try_divide(_c(num).cast("double") * F.lit(100.0), _c(den)), digits)
+def pct(num: str | Column, den: str | Column, digits: int = 2, keep: int | None = None) -> Column:
+    """Percentage rounded half up to ``digits``; NULL when ``den`` is 0.
+
+    ``ROUND(num / den * 100, 2)`` rounds once (the division keeps 4 decimals, which is
+    rounding the percentage at 2). ``ROUND(num * 100.0 / den, 2)`` divides a 1-decimal
+    value, which keeps 5 decimals first: pass ``keep=5`` for that form.
+    """
+    x = F.try_divide(_c(num).cast("double") * F.lit(100.0), _c(den))
+    if keep is not None:
+        x = dround(x, keep)
+    return dround(x, digits)
+
+
+def sql_pct(num: str, den: str, digits: int = 2, keep: int | None = None) -> str:
+    x = f"CAST({num} AS DOUBLE) * 100 / NULLIF({den}, 0)"
+    if keep is not None:
+        x = sql_dround(x, keep)
+    return sql_dround(x, digits)
 
 
-def sql_pct(num: str, den: str, digits: int = 2) -> str:
-    return sql_dround(f"CAST({num} AS DOUBLE) * 100 / NULLIF({den}, 0)", digits)
+# Decimals kept by ``count * 100.0 / count`` before an outer ROUND (1 + 4).
+PCT_DECIMAL_KEEP = 5
 
 
 def pct_text(num: str | Column, den: str | Column) -> Column:

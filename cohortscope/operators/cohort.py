@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.functions.exprs import div, dround, mean, pct, pct_text
+from cohortscope.functions.exprs import dround, mean, pct, pct_text
 from cohortscope.plans.period import Period, restrict
 
 
@@ -34,12 +34,15 @@ def conversion_rate(
     converted_name: str = "converted_cnt",
     rate_name: str | None = "rate",
     rate: str = "pct",
+    keep: int | None = None,
 ) -> DataFrame:
     """C2 size of ``base``, how many of its keys appear in ``target``, and the rate.
 
     ``rate='pct'`` is ``ROUND(converted * 100 / base, 2)``, ``rate='ratio'`` is
-    ``ROUND(converted / base, 4)``, ``rate=None`` gives the two counts only. NULL keys
-    are not counted (``COUNT(DISTINCT)`` skips them).
+    ``ROUND(converted / base, 4)``, ``rate='text'`` is the percentage as ``%`` text,
+    ``rate=None`` gives the two counts only; ``keep`` is passed to ``pct`` (5 for the
+    ``converted * 100.0 / base`` form). NULL keys are not counted (``COUNT(DISTINCT)``
+    skips them).
     """
     b = base.select(F.col(base_key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
     t = (
@@ -54,7 +57,7 @@ def conversion_rate(
     cols = [n_base.alias(base_name), n_conv.alias(converted_name)]
     if rate_name is not None:
         if rate == "pct":
-            cols.append(pct(n_conv, n_base).alias(rate_name))
+            cols.append(pct(n_conv, n_base, keep=keep).alias(rate_name))
         elif rate == "ratio":
             cols.append(dround(F.try_divide(n_conv.cast("double"), n_base), 4).alias(rate_name))
         elif rate == "text":
@@ -183,6 +186,6 @@ def overlap_range(
 
 
 __all__ = [
-    "cohort", "cohort_overlap", "conversion_rate", "div", "linked_members", "overlap_range",
+    "cohort", "cohort_overlap", "conversion_rate", "linked_members", "overlap_range",
     "participation_and_intensity", "per_member_activity", "two_way_participation",
 ]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortscope.functions.exprs import PCT_DECIMAL_KEEP
 from cohortscope.operators.cohort import conversion_rate
 from cohortscope.plans.guards import bounded_broadcast
 
@@ -81,12 +82,13 @@ def eligible_conversion(
     min_school: int = 40, min_class: int = 4, group: str = "group_id", member: str = "id",
     voter_key: str = "user_id",
 ) -> DataFrame:
-    """E4 eligible users, how many of them are voters, and the share."""
+    """E4 eligible users, how many of them are voters, and the share
+    (``ROUND(voters * 100.0 / eligible, 2)``)."""
     elig = eligible_members(users, groups, schools, min_school, min_class, group, member)
     return conversion_rate(
         elig, voters, base_key=member, target_key=voter_key,
         base_name="eligible_student_cnt", converted_name="voted_student_cnt",
-        rate_name="voted_ratio",
+        rate_name="voted_ratio", keep=PCT_DECIMAL_KEEP,
     )
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.functions.exprs import div, dround, flag_sum, pct
+from cohortscope.functions.exprs import PCT_DECIMAL_KEEP, div, dround, flag_sum, pct
 from cohortscope.plans.period import Period, restrict
 
 
@@ -126,8 +126,10 @@ def item_conversion(
     period: Period | None = None,
     ts: str = "created_at",
     names: Sequence[str] = ("payed_cnt", "voted_cnt", "vote_rate"),
+    keep: int | None = PCT_DECIMAL_KEEP,
 ) -> DataFrame:
-    """S5 per item: distinct users, distinct users who are members, and the rate.
+    """S5 per item: distinct users, distinct users who are members, and the rate
+    (``ROUND(voters * 100.0 / users, 2)``).
 
     Facts become distinct (item, user) pairs and members distinct keys before the join,
     so the distinct counts are plain counts and no raw fact meets a raw member row.
@@ -136,7 +138,9 @@ def item_conversion(
     m = members.select(F.col(member_key).alias(user)).distinct().withColumn("_m", F.lit(1))
     joined = pairs.join(m, user, "left")
     n, v = F.count(F.lit(1)), F.count("_m")
-    return joined.groupBy(item).agg(n.alias(names[0]), v.alias(names[1]), pct(v, n).alias(names[2]))
+    return joined.groupBy(item).agg(
+        n.alias(names[0]), v.alias(names[1]), pct(v, n, keep=keep).alias(names[2])
+    )
 
 
 def member_linked_targets(

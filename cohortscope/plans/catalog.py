@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscope.functions.exprs import (
+    PCT_DECIMAL_KEEP,
     sql_days_between as sdays,
     sql_div,
     sql_dround,
@@ -456,7 +457,8 @@ def _(b):
 @register("payer_vote_conversion", "C2", sql_with(
     "SELECT count(DISTINCT p.user_id) AS payed_user_cnt, "
     "count(DISTINCT v.user_id) AS voted_user_cnt, "
-    f"{sql_pct('count(DISTINCT v.user_id)', 'count(DISTINCT p.user_id)')} AS voted_ratio "
+    f"{sql_pct('count(DISTINCT v.user_id)', 'count(DISTINCT p.user_id)', keep=PCT_DECIMAL_KEEP)} "
+    "AS voted_ratio "
     f"FROM (SELECT DISTINCT user_id FROM payments WHERE {ORDER_WINDOW.sql('created_at')}) p "
     f"LEFT JOIN (SELECT DISTINCT user_id FROM votes WHERE {VOTE_WINDOW.sql('created_at')}) v "
     "ON p.user_id = v.user_id", "payments", "votes"))
@@ -465,6 +467,7 @@ def _(b):
         cohort.cohort(b.payments(), period=ORDER_WINDOW),
         cohort.cohort(b.votes(), period=VOTE_WINDOW),
         base_name="payed_user_cnt", converted_name="voted_user_cnt", rate_name="voted_ratio",
+        keep=PCT_DECIMAL_KEEP,
     )
 
 
@@ -661,8 +664,8 @@ def _(b):
 @register("product_vote_conversion", "S5", sql_with(
     "SELECT productId, count(DISTINCT p.user_id) AS payed_cnt, "
     "count(DISTINCT v.user_id) AS voted_cnt, "
-    f"{sql_pct('count(DISTINCT v.user_id)', 'count(DISTINCT p.user_id)')} AS vote_rate "
-    "FROM payments p LEFT JOIN votes v ON p.user_id = v.user_id "
+    f"{sql_pct('count(DISTINCT v.user_id)', 'count(DISTINCT p.user_id)', keep=PCT_DECIMAL_KEEP)} "
+    "AS vote_rate FROM payments p LEFT JOIN votes v ON p.user_id = v.user_id "
     f"WHERE {ORDER_WINDOW.sql('p.created_at')} GROUP BY productId", "payments", "votes"))
 def _(b):
     return segments.item_conversion(b.payments(), b.votes(), period=ORDER_WINDOW)
@@ -918,7 +921,8 @@ def _(b):
 @register("eligible_conversion", "E4", sql_with(
     "SELECT count(DISTINCT e.user_id) AS eligible_student_cnt, "
     "count(DISTINCT v.user_id) AS voted_student_cnt, "
-    f"{sql_pct('count(DISTINCT v.user_id)', 'count(DISTINCT e.user_id)')} AS voted_ratio "
+    f"{sql_pct('count(DISTINCT v.user_id)', 'count(DISTINCT e.user_id)', keep=PCT_DECIMAL_KEEP)} "
+    "AS voted_ratio "
     f"FROM ({_ELIGIBLE_SQL}) e LEFT JOIN (SELECT DISTINCT user_id FROM votes) v "
     "ON e.user_id = v.user_id", "users", "groups", "schools", "votes"))
 def _(b):

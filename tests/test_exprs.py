@@ -63,3 +63,10 @@ def test_list_length(spark):
 def test_flag_sum_null_on_empty(spark):
     df = spark.createDataFrame([(1,)], "x int").filter(F.col("x") > 5)
     assert rows(df.agg(X.flag_sum(F.col("x") == 1))) == [(None,)]
+
+
+def test_pct_keep_rounds_twice_like_the_decimal_form(spark):
+    # 1 * 100 / 2.0000000200000002 ~ 49.99499... : once -> 49.99, via 5 digits -> 49.995 -> 50.00
+    df = spark.createDataFrame([(49.994999, 100.0)], "a double, b double")
+    out = rows(df.select(X.pct("a", "b"), X.pct("a", "b", keep=5)))
+    assert out == [(49.99, 50.0)]
