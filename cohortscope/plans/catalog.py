@@ -370,9 +370,9 @@ def _(b):
 
 @register("candidate_piece_top_users_fanout", "A8", sql_with(
     "SELECT uc.user_id, count(uc.question_piece_id) AS question_piece_cnt FROM user_candidates uc "
-    "LEFT JOIN votes uq ON uc.user_id = uq.user_id "
-    f"WHERE {SHIP_WINDOW.sql('uc.created_at')} AND uq.status = 'purchase' AND "
-    f"{EVENTS_ALL.sql('uq.created_at')} GROUP BY uc.user_id "
+    "LEFT JOIN votes vt ON uc.user_id = vt.user_id "
+    f"WHERE {SHIP_WINDOW.sql('uc.created_at')} AND vt.status = 'purchase' AND "
+    f"{EVENTS_ALL.sql('vt.created_at')} GROUP BY uc.user_id "
     "ORDER BY question_piece_cnt DESC, uc.user_id LIMIT 20", "user_candidates", "votes"))
 def _(b):
     return activity.joined_item_counts(
@@ -564,10 +564,10 @@ def _(b):
 
 
 @register("voter_candidate_overlap", "C5", sql_with(
-    "SELECT count(DISTINCT uqr.user_id) AS common_user_cnt FROM votes uqr "
-    "JOIN user_candidates puc ON uqr.user_id = puc.user_id "
-    "JOIN question_pieces pqp ON puc.question_piece_id = pqp.id "
-    f"WHERE uqr.status = 'purchase' AND {LATE_PIECES.sql('pqp.created_at')}",
+    "SELECT count(DISTINCT vt.user_id) AS common_user_cnt FROM votes vt "
+    "JOIN user_candidates cand ON vt.user_id = cand.user_id "
+    "JOIN question_pieces piece ON cand.question_piece_id = piece.id "
+    f"WHERE vt.status = 'purchase' AND {LATE_PIECES.sql('piece.created_at')}",
     "votes", "user_candidates", "question_pieces"))
 def _(b):
     pieces = b.question_pieces().filter(LATE_PIECES.mask("created_at"))
@@ -613,11 +613,11 @@ def _(b):
     "CAST(sum(delta_point) AS BIGINT) AS total_point, "
     f"{sql_dround(sql_div('count(*)', 'count(DISTINCT user_id)'), 2)} AS avg_events_per_user, "
     f"{sql_dround(sql_div('sum(delta_point)', 'count(DISTINCT user_id)'), 2)} AS avg_point_per_user "
-    "FROM (SELECT pe.user_id, pe.delta_point, CASE WHEN vu.user_id IS NOT NULL THEN 'voted' "
-    "ELSE 'not_voted' END AS vote_flag FROM point_history pe LEFT JOIN ("
+    "FROM (SELECT ph.user_id, ph.delta_point, CASE WHEN mem.user_id IS NOT NULL THEN 'voted' "
+    "ELSE 'not_voted' END AS vote_flag FROM point_history ph LEFT JOIN ("
     "SELECT DISTINCT user_id FROM votes WHERE status = 'view' AND "
-    f"{VIEW_WINDOW.sql('created_at')}) vu ON pe.user_id = vu.user_id "
-    f"WHERE pe.delta_point > 0 AND {POINT_WINDOW.sql('pe.created_at')}) labeled GROUP BY vote_flag",
+    f"{VIEW_WINDOW.sql('created_at')}) mem ON ph.user_id = mem.user_id "
+    f"WHERE ph.delta_point > 0 AND {POINT_WINDOW.sql('ph.created_at')}) flagged GROUP BY vote_flag",
     "point_history", "votes"))
 def _(b):
     viewers = cohort.cohort(b.votes().filter(F.col("status") == "view"), period=VIEW_WINDOW)
@@ -627,9 +627,9 @@ def _(b):
 
 
 @register("segment_active_members", "S2", sql_with(
-    "SELECT u.ban_status, count(DISTINCT u.id) AS ban_cnt FROM users u JOIN votes qr "
-    f"ON u.id = qr.user_id WHERE {ORDERS_ALL.sql('u.created_at')} AND "
-    f"{EVENTS_ALL.sql('qr.created_at')} GROUP BY u.ban_status", "users", "votes"))
+    "SELECT u.ban_status, count(DISTINCT u.id) AS ban_cnt FROM users u JOIN votes vt "
+    f"ON u.id = vt.user_id WHERE {ORDERS_ALL.sql('u.created_at')} AND "
+    f"{EVENTS_ALL.sql('vt.created_at')} GROUP BY u.ban_status", "users", "votes"))
 def _(b):
     return segments.segment_members(
         b.users(), b.votes(), user_period=ORDERS_ALL, fact_period=EVENTS_ALL
@@ -672,12 +672,12 @@ def _(b):
 
 
 @register("candidate_skip_rate", "S6", sql_with(
-    "SELECT count(pqp.question_id) AS total_question_cnt, "
-    "CAST(sum(CASE WHEN pqp.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skipped_question_cnt, "
-    f"{sql_pct('sum(CASE WHEN pqp.is_skipped = 1 THEN 1 ELSE 0 END)', 'count(*)')} AS skip_rate_pct "
+    "SELECT count(piece.question_id) AS total_question_cnt, "
+    "CAST(sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skipped_question_cnt, "
+    f"{sql_pct('sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END)', 'count(*)')} AS skip_rate_pct "
     "FROM (SELECT DISTINCT user_id, question_piece_id FROM user_candidates) uc "
-    "JOIN (SELECT DISTINCT user_id FROM votes WHERE status = 'purchase') vu "
-    "ON uc.user_id = vu.user_id JOIN question_pieces pqp ON uc.question_piece_id = pqp.id",
+    "JOIN (SELECT DISTINCT user_id FROM votes WHERE status = 'purchase') mem "
+    "ON uc.user_id = mem.user_id JOIN question_pieces piece ON uc.question_piece_id = piece.id",
     "user_candidates", "votes", "question_pieces"))
 def _(b):
     return segments.flag_rate(b.user_candidates(), purchasers(b), b.question_pieces())
@@ -686,16 +686,16 @@ def _(b):
 _SKIP_LINKS_SQL = (
     "FROM (SELECT DISTINCT user_id, question_piece_id FROM user_candidates "
     f"WHERE {SHIP_WINDOW.sql('created_at')}) uc "
-    "JOIN (SELECT DISTINCT user_id FROM votes WHERE status = 'purchase') vu "
-    "ON uc.user_id = vu.user_id JOIN question_pieces pqp ON uc.question_piece_id = pqp.id "
-    f"WHERE {ORDER_WINDOW.sql('pqp.created_at')}"
+    "JOIN (SELECT DISTINCT user_id FROM votes WHERE status = 'purchase') mem "
+    "ON uc.user_id = mem.user_id JOIN question_pieces piece ON uc.question_piece_id = piece.id "
+    f"WHERE {ORDER_WINDOW.sql('piece.created_at')}"
 )
 
 
 @register("candidate_skip_rate_distinct_questions", "S6", sql_with(
-    "SELECT count(DISTINCT pqp.question_id) AS total_cnt, "
-    "CAST(sum(CASE WHEN pqp.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skip_cnt, "
-    f"{sql_pct('sum(CASE WHEN pqp.is_skipped = 1 THEN 1 ELSE 0 END)', 'count(DISTINCT pqp.question_id)')} "
+    "SELECT count(DISTINCT piece.question_id) AS total_cnt, "
+    "CAST(sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skip_cnt, "
+    f"{sql_pct('sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END)', 'count(DISTINCT piece.question_id)')} "
     f"AS skip_rate {_SKIP_LINKS_SQL}", "user_candidates", "votes", "question_pieces"))
 def _(b):
     return segments.flag_rate(
@@ -706,8 +706,8 @@ def _(b):
 
 
 @register("candidate_skip_split", "S6", sql_with(
-    "SELECT CAST(sum(CASE WHEN pqp.is_skipped = 0 THEN 1 ELSE 0 END) AS BIGINT) AS skip_0_cnt, "
-    "CAST(sum(CASE WHEN pqp.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skip_1_cnt "
+    "SELECT CAST(sum(CASE WHEN piece.is_skipped = 0 THEN 1 ELSE 0 END) AS BIGINT) AS skip_0_cnt, "
+    "CAST(sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skip_1_cnt "
     f"{_SKIP_LINKS_SQL}", "user_candidates", "votes", "question_pieces"))
 def _(b):
     return segments.flag_split(

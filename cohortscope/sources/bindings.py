@@ -118,7 +118,10 @@ class Bindings:
         """Customers: class = nation, segment = ban status, sign-up = first order time.
 
         ``with_friends`` adds ``friend_id_list``: JSON text of the distinct users the
-        customer sent requests to (NULL when none).
+        customer sent requests to (NULL when none). In the analysed data model this list
+        is a stored column; here it is derived. The set is partially aggregated before
+        its shuffle and is bounded by the receiver domain (``k`` takes 100 values in the
+        driver data), so a sender with a third of all clicks still builds a small set.
         """
         signup = self.orders.groupBy(F.col("o_custkey").alias("id")).agg(
             F.min("o_orderdate").alias("created_at")
