@@ -267,10 +267,15 @@ def _(b):
 
 
 @register("distinct_group_schools", "P6", sql_with(
-    "SELECT count(DISTINCT school_id) AS school_cnt, count(DISTINCT id) AS group_cnt FROM groups",
-    "groups"))
+    "SELECT count(DISTINCT school_id) AS school_cnt, count(DISTINCT id) AS group_cnt FROM groups "
+    "WHERE id IN (SELECT group_id FROM users)", "groups", "users"))
 def _(b):
-    return profile.distinct_count(b.groups(), {"school_cnt": "school_id", "group_cnt": "id"})
+    # Classes in use: the class table semi-joined with the users, so the work grows
+    # with the user table (the class table alone is fixed-size in the driver data).
+    in_use = b.groups().join(
+        b.users().select(F.col("group_id").alias("id")).distinct(), "id", "left_semi"
+    )
+    return profile.distinct_count(in_use, {"school_cnt": "school_id", "group_cnt": "id"})
 
 
 @register("distinct_voters_all_time", "P6", sql_with(
@@ -303,6 +308,43 @@ def _(b):
     return profile.distinct_values(b.votes(), "user_id")
 
 
+@register("count_vote_pieces", "P5", sql_with(
+    "SELECT count(question_piece_id) AS cnt FROM votes", "votes"))
+def _(b):
+    return profile.row_count(b.votes(), "question_piece_id")
+
+
+@register("distinct_request_status", "P7", sql_with(
+    "SELECT DISTINCT status FROM friend_requests", "friend_requests"))
+def _(b):
+    return profile.distinct_values(b.friend_requests(), "status")
+
+
+@register("distinct_receipt_events", "P7", sql_with(
+    "SELECT DISTINCT event_id FROM event_receipts", "event_receipts"))
+def _(b):
+    return profile.distinct_values(b.event_receipts(), "event_id")
+
+
+@register("distinct_receipt_points", "P7", sql_with(
+    "SELECT DISTINCT plus_point FROM event_receipts", "event_receipts"))
+def _(b):
+    return profile.distinct_values(b.event_receipts(), "plus_point")
+
+
+@register("distinct_receipt_users", "P6", sql_with(
+    "SELECT count(DISTINCT user_id) AS receipt_users FROM event_receipts", "event_receipts"))
+def _(b):
+    return profile.distinct_count(b.event_receipts(), {"receipt_users": "user_id"})
+
+
+@register("distinct_questions", "P6", sql_with(
+    "SELECT count(DISTINCT id) AS question_cnt, count(DISTINCT question_text) AS text_cnt "
+    "FROM questions", "questions"))
+def _(b):
+    return profile.distinct_count(b.questions(), {"question_cnt": "id", "text_cnt": "question_text"})
+
+
 # ===================================================================== activity (A)
 @register("payment_totals", "A1", sql_with(
     "SELECT count(DISTINCT user_id) AS paying_users, count(*) AS total_payments FROM payments",
