@@ -258,12 +258,13 @@ def _(b):
 @register("friend_list_stats", "L5", sql_with(
     f"SELECT {sql_mean('n')} AS avg_friend_count, max(n) AS max_friend_count, "
     "min(n) AS min_friend_count FROM (SELECT CAST(json_array_length(u.friend_id_list) AS BIGINT) "
-    "AS n FROM users_with_friends u WHERE EXISTS (SELECT 1 FROM votes r WHERE r.user_id = u.id "
+    f"AS n FROM users_with_friends u WHERE {SIGNUP_PERIOD.sql('u.created_at')} AND EXISTS ("
+    "SELECT 1 FROM votes r WHERE r.user_id = u.id "
     f"AND r.status = 'purchase' AND {EARLY_PURCHASE.sql('r.created_at')}))",
     "users_with_friends", "votes"))
 def _(b):
     members = cohort.cohort(purchasers(b), period=EARLY_PURCHASE)
-    return lists.list_length_stats(b.users(with_friends=True), members)
+    return lists.list_length_stats(b.users(with_friends=True), members, user_period=SIGNUP_PERIOD)
 
 
 @register("distinct_group_schools", "P6", sql_with(

@@ -65,3 +65,22 @@ def test_top_k_measures(spark):
     dim = spark.createDataFrame([(1, "q1"), (2, "q2"), (3, "q3")], "id long, question_text string")
     out = rows(topk.top_k_measures(_votes(spark), dim, k=2))
     assert out == [(3, "q3", 9.0, 9.0, 1), (1, "q1", 5.0, 2.5, 2)]
+
+
+def test_top_k_with_periods_on_both_sides(spark):
+    facts = spark.createDataFrame(
+        [(1, T(2024, 1, 2)), (1, T(2024, 1, 3)), (2, T(2024, 1, 2)), (3, T(2023, 1, 1)), (3, T(2023, 1, 1))],
+        "question_id long, created_at timestamp_ntz",
+    )
+    dim = spark.createDataFrame(
+        [(1, "q1", T(2023, 6, 1)), (2, "q2", T(2024, 1, 1)), (3, "q3", T(2023, 6, 1))],
+        "id long, question_text string, created_at timestamp_ntz",
+    )
+    from cohortscope.plans.period import Period
+    out = topk.top_k_entities(
+        facts, dim, k=5,
+        facts_period=Period.half_open("2024-01-01", "2024-02-01"),
+        dim_period=Period.between("2023-01-01", "2023-12-31"),
+    )
+    # q3's votes are outside the fact period; q2 is outside the question period
+    assert rows(out) == [(1, "q1", 2)]
