@@ -13,6 +13,10 @@ from conftest import SF_SMALL, rows
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 NAMES = list(entry.queries())
+TYPE_MAP = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+}
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +52,10 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
     assert _canon(df.columns, got) == _canon(ocols, cur.fetchall())
+    otypes = dict(zip(ocols, [str(t) for t in duck.sql(entry.oracle_sql()[name]).types]))
+    stypes = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in df.schema.fields}
+    assert stypes == otypes
 
 
 @pytest.mark.parametrize("name", NAMES)
