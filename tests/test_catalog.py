@@ -73,3 +73,21 @@ def test_entry_smoke(spark):
     out = df.collect()
     assert len(out) == 1 and out[0]["total_voted_users"] > 0
     assert df.schema.simpleString().startswith("struct<total_voted_users:bigint,revisit_d7:bigint")
+
+
+# Shuffles each plan may have at most (the planned shape, before AQE). A change that adds
+# an exchange to one of these is a scale regression and should fail here.
+MAX_EXCHANGES = {
+    "retention_interval": 3, "retention_cumulative": 3, "retention_any_visit": 3,
+    "time_first_to_second_action": 3, "time_vote_to_spend": 3,
+    "candidate_skip_rate": 4, "eligible_population": 6, "eligible_conversion": 7,
+    "top_voted_questions": 1, "top_opened_questions": 1, "user_vote_conversion": 3,
+    "friend_request_participation": 4, "point_segments": 3, "segment_completion": 4,
+}
+
+
+@pytest.mark.parametrize("name", sorted(MAX_EXCHANGES))
+def test_shuffle_budget(spark, name):
+    import re
+    plan = physical_plan(entry.queries()[name](spark, "/root/testdata/sf0.1"))
+    assert len(re.findall(r"\(\d+\) Exchange", plan)) <= MAX_EXCHANGES[name]
