@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 #     without a leading zero
 #   month label: year-month with two-digit month
 #   extra decimal digits a division of integers keeps: 4
+#   the server's default text comparison folds case and accents: UNICODE_CI_AI
 DATE_TEXT_FORMAT = "yyyy-M-d"
 MONTH_FORMAT = "yyyy-MM"
 DIV_EXTRA_DIGITS = 4
+CASE_ACCENT_INSENSITIVE = "UNICODE_CI_AI"
 
 
 def _c(x: str | Column) -> Column:

@@ -61,9 +61,21 @@ def distinct_count(
     return df.agg(*[F.countDistinct(c).alias(name) for name, c in cols.items()])
 
 
-def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """P7 the domain of a column (one NULL kept)."""
-    return df.select(col).distinct()
+def _folded(col: str, collation: str | None) -> Column:
+    """The column under ``collation`` (e.g. ``UNICODE_CI_AI``: case and accents folded),
+    or as is. Text equality is binary by default."""
+    return F.col(col) if collation is None else F.collate(F.col(col), collation)
+
+
+def distinct_values(df: DataFrame, col: str, collation: str | None = None) -> DataFrame:
+    """P7 the domain of a column (one NULL kept).
+
+    With ``collation``, values equal under it are one value, shown by its smallest
+    spelling in binary order (so the result does not depend on row order).
+    """
+    if collation is None:
+        return df.select(col).distinct()
+    return df.groupBy(_folded(col, collation).alias("_key")).agg(F.min(col).alias(col)).select(col)
 
 
 def value_counts(
@@ -74,17 +86,26 @@ def value_counts(
     order: str = "key",
     k: int | None = None,
     name: str = "cnt",
+    collation: str | None = None,
 ) -> DataFrame:
     """P8 frequency table of ``col``.
 
     ``count_col=None`` counts rows (``COUNT(*)``); ``count_col=col`` counts non-NULL
     values, so the NULL group gets 0. ``order='count'`` sorts by count descending with
-    the key as tie-break; ``k`` keeps the top k (a top-k report).
+    the key as tie-break; ``k`` keeps the top k (a top-k report). ``collation`` groups
+    values equal under it (shown by their smallest spelling).
     """
     if where is not None:
         df = df.filter(where)
     target = F.lit(1) if count_col is None else F.col(count_col)
-    out = df.groupBy(col).agg(F.count(target).alias(name))
+    if collation is None:
+        out = df.groupBy(col).agg(F.count(target).alias(name))
+    else:
+        out = (
+            df.groupBy(_folded(col, collation).alias("_key"))
+            .agg(F.min(col).alias(col), F.count(target).alias(name))
+            .select(col, name)
+        )
     if order == "count":
         out = out.orderBy(F.col(name).desc(), F.col(col).asc_nulls_first())
     else:
@@ -94,8 +115,12 @@ def value_counts(
     return out
 
 
-def lookup(df: DataFrame, col: str, value) -> DataFrame:
+def lookup(df: DataFrame, col: str, value, collation: str | None = None) -> DataFrame:
     """P9 all rows with ``col = value``; the literal is cast to the column's type (never a
-    mixed-type comparison), and the equality is pushed to the scan."""
+    mixed-type comparison), and the binary equality is pushed to the scan. With
+    ``collation`` (text columns) the comparison folds as that collation does."""
     dtype = df.schema[col].dataType.simpleString()
-    return df.filter(F.col(col) == F.lit(value).cast(dtype))
+    literal = F.lit(value).cast(dtype)
+    if collation is None:
+        return df.filter(F.col(col) == literal)
+    return df.filter(_folded(col, collation) == F.collate(literal, collation))

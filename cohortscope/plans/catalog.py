@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscope.functions.exprs import (
+    CASE_ACCENT_INSENSITIVE,
     PCT_DECIMAL_KEEP,
     sql_days_between as sdays,
     sql_div,
@@ -196,6 +197,16 @@ def _(b):
     return profile.value_counts(b.votes(), "status", count_col="status", name="status_cnt")
 
 
+@register("status_counts_folded", "P8", sql_with(
+    "SELECT min(status) AS status, count(status) AS status_cnt FROM votes "
+    "GROUP BY lower(strip_accents(status))", "votes"))
+def _(b):
+    return profile.value_counts(
+        b.votes(), "status", count_col="status", name="status_cnt",
+        collation=CASE_ACCENT_INSENSITIVE,
+    )
+
+
 @register("segment_user_counts", "P8", sql_with(
     "SELECT ban_status, count(*) AS cnt FROM users GROUP BY ban_status", "users"))
 def _(b):

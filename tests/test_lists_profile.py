@@ -78,3 +78,16 @@ def test_profile_basics(spark):
 def test_describe_schema(spark):
     df = spark.createDataFrame([(1, "x")], "id long, reason string")
     assert rows(describe_schema(spark, df)) == [("id", "bigint", True), ("reason", "string", True)]
+
+
+def test_collation_folds_case_and_accents(spark):
+    from cohortscope.functions.exprs import CASE_ACCENT_INSENSITIVE as CI
+    df = spark.createDataFrame([("Spam",), ("spam",), ("Café",), ("cafe",), ("x",), (None,)], "reason string")
+    assert sorted(rows(profile.distinct_values(df, "reason")), key=str) != sorted(
+        rows(profile.distinct_values(df, "reason", collation=CI)), key=str)
+    got = sorted(rows(profile.value_counts(df, "reason", collation=CI)), key=str)
+    assert got == [("Café", 2), ("Spam", 2), ("x", 1), (None, 1)]
+    assert sorted(rows(profile.distinct_values(df, "reason", collation=CI)), key=str) == [
+        ("Café",), ("Spam",), ("x",), (None,)]
+    assert len(rows(profile.lookup(df, "reason", "SPAM", collation=CI))) == 2
+    assert rows(profile.lookup(df, "reason", "SPAM")) == []
