@@ -91,3 +91,17 @@ def test_shuffle_budget(spark, name):
     import re
     plan = physical_plan(entry.queries()[name](spark, "/root/testdata/sf0.1"))
     assert len(re.findall(r"\(\d+\) Exchange", plan)) <= MAX_EXCHANGES[name]
+
+
+def test_every_survey_operator_is_registered():
+    from cohortscope.plans.catalog import REGISTRY
+
+    ids = {q.operator for q in REGISTRY.values()}
+    want = (
+        {f"P{i}" for i in range(1, 10)} | {f"L{i}" for i in range(1, 6)}
+        | {f"A{i}" for i in range(1, 9)} | {"K1", "K2"} | {f"C{i}" for i in range(1, 8)}
+        | {f"S{i}" for i in range(1, 7)} | {"T1", "R1", "R2", "R3"} | {f"E{i}" for i in range(1, 6)}
+    )
+    # P2 (DESC) reads schema metadata only; its work does not grow with the tables, so it
+    # is a library function with a unit test rather than a registered query.
+    assert want - ids == {"P2"}
