@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscope.llm import chat, common, exact_dedup, language, mixing, sharding, token_files
+from cohortscope.llm import chat, common, exact_dedup, language, mixing, phrase_index, sharding, token_files
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARDS = 24
@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -66,6 +73,7 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_phrase_decontamination": op2_phrase_decontamination,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op5_chat_parts": op5_chat_parts,
     "op6_feistel_shards": op6_feistel_shards,
