@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscope.llm import chat, common, exact_dedup, language, mixing, phrase_index, sharding, token_files
+from cohortscope.llm import chat, common, exact_dedup, language, mixing, near_dedup, phrase_index, sharding, token_files
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARDS = 24
@@ -54,6 +54,10 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = common.fold_is(F.col("doc_id"), 4, 2)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pfair_mixing": op3_pfair_mixing,
     "op5_chat_parts": op5_chat_parts,
     "op6_feistel_shards": op6_feistel_shards,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_content_sort_dedup": op9_content_sort_dedup,
     "op10_token_parquet": op10_token_parquet,

@@ -93,3 +93,28 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str) ->
     return laid.join(pieces, same).withColumn(
         out, F.col("_shift") + F.col("_mid") - F.col("_first")
     ).drop("_mid", "_piece", "_p", "_first", "_rows", "_shift", *gs)
+
+
+HOT_SHARE = 1000  # a key is hot when it holds over 1/1000 of all rows: at most 1000 are
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """Left join of ``rows`` with ``table`` (one row per ``key``) when a few keys are hot.
+
+    ``size`` is the table's column with the number of rows that hold the key. Keys of over
+    1/1000 of the ``n_rows`` rows, at most 1000 of them, are broadcast; their rows take a
+    key of their own, so they spread evenly over the shuffled join of all other keys.
+    """
+    limit = max(HOT_SHARE, n_rows // HOT_SHARE)
+    values = [c for c in table.columns if c != key]
+    renamed = lambda t, tag: t.select(*[F.col(c).alias(f"_{tag}_{c}") for c in t.columns])
+    hot = renamed(table.filter(F.col(size) > limit), "hot")
+    rest = renamed(table.filter(F.col(size) <= limit), "rest")
+    is_hot = F.col(f"_hot_{size}").isNotNull()
+    spread = F.struct(F.when(~is_hot, F.col(key)).alias("k"), F.when(is_hot, F.xxhash64(*rows.columns)).alias("s"))
+    rest = rest.withColumn("_key", F.struct(F.col(f"_rest_{key}").alias("k"), F.lit(None).cast("long").alias("s")))
+    joined = rows.join(F.broadcast(hot), F.col(key) == F.col(f"_hot_{key}"), "left") \
+        .withColumn("_at", F.xxhash64(spread)) \
+        .join(rest.withColumn("_at2", F.xxhash64("_key")),
+              (F.col("_at") == F.col("_at2")) & (F.col(key) == F.col(f"_rest_{key}")), "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in values])
