@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscope.llm import chat, common, exact_dedup, language, mixing, near_dedup, phrase_index, sharding, token_files
+from cohortscope.llm import chat, common, exact_dedup, language, mixing, near_dedup, phrase_index, sharding, token_files, toxicity
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARDS = 24
@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = common.fold_is(F.col("doc_id"), 3, 1)
+    training = docs.filter(~held_out)
+    chars = toxicity.train_char_model(training)
+    model = toxicity.train_toxicity(training, table(spark, sf_dir, "labels"), chars)
+    scored = toxicity.score_toxicity(docs, model, ["doc_id", held_out.alias("held_out")])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -77,6 +87,7 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_phrase_decontamination": op2_phrase_decontamination,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op5_chat_parts": op5_chat_parts,
