@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscope.llm import chat, common, exact_dedup, language, mixing, near_dedup, phrase_index, sharding, token_files, toxicity
+from cohortscope.llm import chat, common, exact_dedup, language, maxent_lm, mixing, near_dedup, phrase_index, sharding, token_files, toxicity
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARDS = 24
@@ -41,6 +41,10 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents"), common.fold_is(F.col("doc_id"), 7, 2))
+
+
 def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_phrase_decontamination": op2_phrase_decontamination,
     "op3_pfair_mixing": op3_pfair_mixing,
+    "op4_maxent_lm": op4_maxent_lm,
     "op5_chat_parts": op5_chat_parts,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
