@@ -23,8 +23,9 @@ from cohortscope.llm.common import join_hot, stored
 from cohortscope.llm.sharding import _mix
 from cohortscope.llm.words import SPACED, blocks, no_nulls, words_of
 
-BINS, BANDS = 256, 32  # 8 bins a band: a pair of similarity 0.85 shares a bucket with p > 0.9999
-CELL_SHINGLES = 1_000_000  # shingles of one side of a block comparison
+BINS = 256
+MISS = 1e-4  # a pair at the threshold shares no bucket with less than this probability
+CELL_SHINGLES = 200_000  # shingles of one side of a block comparison
 
 _ORDERS = np.stack([np.random.default_rng([7, i]).permutation(BINS) for i in range(BINS)], axis=1)
 
@@ -73,18 +74,27 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key a band."""
+def band_width(percent: int) -> int:
+    """Bins a band: the most that keep the chance to miss a pair below ``MISS`` (0.85: 8)."""
+    share = percent / 100
+    fits = [r for r in range(1, 17) if (1 - share ** r) ** (BINS // r) < MISS]
+    return max(fits, default=1)
+
+
+def band_keys(sig: np.ndarray, width: int) -> np.ndarray:
+    """One 64-bit bucket key a band of ``width`` bins."""
+    bands = BINS // width
     with np.errstate(over="ignore"):
-        rows = sig.reshape(BANDS, BINS // BANDS)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for k in range(rows.shape[1]):
+        rows = sig[:bands * width].reshape(bands, width)
+        key = np.arange(1, bands + 1, dtype=np.uint64)
+        for k in range(width):
             key = _mix(key + rows[:, k])
     return key.view(np.int64)
 
 
-def _profile(rows: DataFrame, width: int) -> DataFrame:
+def _profile(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, n, digest`` of the shingle set and ``keys``, its buckets."""
+    bins = band_width(percent)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -94,7 +104,7 @@ def _profile(rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([band_keys(signature(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([band_keys(signature(s), bins) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ], ["doc_id", "n", "digest", "keys"])
 
     return rows.mapInArrow(profile, "doc_id long, n long, digest binary, keys array<long>")
@@ -261,7 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profiles = stored(_profile(rows, width), "profiles")
+    profiles = stored(_profile(rows, width, percent), "profiles")
     sized = profiles.filter("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_rows"), F.min("keys").alias("keys"))
     classes = stored(sized, "classes")
