@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortscope.llm.common import stored
+from cohortscope.llm.common import join_hot, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
-HOT_SHARE = 1000  # a group is hot when it holds over 1/1000 of all rows: at most 1000 are
+LEAD = 32  # characters of a text that splitters hold
 
 
 def normalised(text: Column) -> Column:
@@ -22,17 +22,21 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Copies are first merged where they lie (per input partition), so a text that makes up
     a third of the table goes on as one row per partition. Then the content sort: Spark
-    samples splitters over the texts, range-partitions on them and sorts each range
-    externally. The window over equal texts needs no further exchange; it walks the
-    sorted range and compares each text in full with its neighbour.
+    samples splitters, range-partitions on them and sorts each range externally. The
+    splitters are the first ``LEAD`` characters and a hash of the text, so the sample that
+    the driver sees has keys of bounded size, and texts that share a long beginning still
+    spread. The window needs no further exchange; it walks the sorted range and compares
+    each text in full with its neighbour.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     merged = rows.withColumn("part", F.spark_partition_id()).groupBy("norm", "part").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    equal = Window.partitionBy("norm").orderBy(F.asc_nulls_last("least"))
+    merged = merged.select(
+        F.substring("norm", 1, LEAD).alias("lead"), F.xxhash64("norm").alias("hash"), "norm", "least", "n")
+    equal = Window.partitionBy("lead", "hash", "norm").orderBy(F.asc_nulls_last("least"))
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        merged.select("norm", "least", "n").repartitionByRange("norm")
+        merged.repartitionByRange("lead", "hash")
         .withColumn("rank", F.row_number().over(equal))
         .withColumn("group_size", F.sum("n").over(whole))
         .filter("rank = 1")
@@ -48,32 +52,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``keep_id`` null and keeps them). Rows that repeat an id are marked alike. Other
     columns of ``docs``, whatever their names, are not read. An empty table gives no rows.
 
-    The marks return to the rows through the digest. Groups above 1/1000 of all rows, of
-    which there are at most 1000, are broadcast; their rows are spread by id for the
-    shuffled join that serves all other groups of two or more.
+    The marks return to the rows through the digest, hot groups apart from the others.
     """
-    shared = stored(duplicate_groups(docs, id_col, text_col).filter("group_size > 1"), "copies")
-    limit = max(HOT_SHARE, docs.count() // HOT_SHARE)
+    groups = stored(duplicate_groups(docs, id_col, text_col).filter("group_size > 1"), "copies")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
-    hot = shared.filter(F.col("group_size") > limit).select(
-        F.col("text_sha256").alias("hot_sha"), F.col("keep_id").alias("hot_keep"),
-        F.col("group_size").alias("hot_size"))
-    rest = shared.filter(F.col("group_size") <= limit).select(
-        F.col("text_sha256").alias("key"), F.col("keep_id").alias("rest_keep"),
-        F.col("group_size").alias("rest_size"))
-    spread = F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    marked = (
-        rows.join(F.broadcast(hot), F.col("text_sha256") == F.col("hot_sha"), "left")
-        .withColumn("key", F.when(F.col("hot_size").isNull(), F.col("text_sha256")).otherwise(spread))
-        .join(rest, "key", "left")
-    )
-    size = F.coalesce("hot_size", "rest_size", F.lit(1).cast("long"))
-    keep = F.when(F.col("hot_size").isNotNull(), F.col("hot_keep")).when(
-        F.col("rest_size").isNotNull(), F.col("rest_keep")).otherwise(F.col("doc_id"))
+    marked = join_hot(rows, groups, "text_sha256", "group_size", docs.count())
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return marked.select(
-        "doc_id", keep.alias("keep_id"), size.alias("group_size"),
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
