@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 #   extra decimal digits a division of integers keeps: 4
 #   the server's default text comparison folds case and accents: UNICODE_CI_AI
 DATE_TEXT_FORMAT = "yyyy-M-d"
+TIMESTAMP_TEXT_FORMAT = "yyyy-M-d H:mm:ss"
 MONTH_FORMAT = "yyyy-MM"
 DIV_EXTRA_DIGITS = 4
 CASE_ACCENT_INSENSITIVE = "UNICODE_CI_AI"
@@ -31,8 +32,13 @@ def _c(x: str | Column) -> Column:
 
 
 def dround(x: str | Column, digits: int) -> Column:
-    """Half-up rounding of the exact decimal value, returned as double."""
-    return F.round(_c(x).cast("decimal(38,10)"), digits).cast("double")
+    """Half-up rounding of the exact decimal value, returned as double.
+
+    A value too large for the decimal (1e28 and beyond, which has no digits after the
+    point as a double) is returned as it is.
+    """
+    exact = _c(x).try_cast("decimal(38,10)")
+    return F.coalesce(F.round(exact, digits).cast("double"), _c(x).cast("double"))
 
 
 def sql_dround(expr: str, digits: int) -> str:
@@ -86,9 +92,8 @@ PCT_DECIMAL_KEEP = 5
 
 def pct_text(num: str | Column, den: str | Column) -> Column:
     """``CONCAT(ROUND(num / den * 100, 2), '%')``: two decimals always, NULL stays NULL."""
-    value = F.round(
-        F.try_divide(_c(num).cast("double") * F.lit(100.0), _c(den)).cast("decimal(38,10)"), 2
-    ).cast("decimal(20,2)")
+    share = F.try_divide(_c(num).cast("double") * F.lit(100.0), _c(den))
+    value = F.round(share.try_cast("decimal(38,10)"), 2).try_cast("decimal(20,2)")
     return F.concat(value.cast("string"), F.lit("%"))
 
 
@@ -115,6 +120,13 @@ def safe_date(text: str | Column) -> Column:
     return F.try_to_date(F.trim(_c(text)), DATE_TEXT_FORMAT)
 
 
+def safe_timestamp(text: str | Column) -> Column:
+    """Date or date-time text (``yyyy-M-d[ H:mm:ss]``) to TIMESTAMP_NTZ; else NULL."""
+    t = F.trim(_c(text))
+    with_time = F.try_to_timestamp(t, F.lit(TIMESTAMP_TEXT_FORMAT)).cast("timestamp_ntz")
+    return F.coalesce(with_time, safe_date(t).cast("timestamp_ntz"))
+
+
 def month_label(x: str | Column) -> Column:
     return F.date_format(_c(x), MONTH_FORMAT)
 
@@ -126,17 +138,19 @@ def iso_yearweek(ts: str | Column) -> Column:
 
 
 def days_between(start: str | Column, end: str | Column, unit: str = "calendar") -> Column:
-    """Day difference ``end - start`` as long.
+    """Difference ``end - start`` as long, in days or hours.
 
     ``calendar``: difference of the calendar dates (23:00 -> 01:00 next day is 1).
     ``elapsed``: whole 24-hour units between the instants (same example is 0).
+    ``hours``: whole hours between the instants (same example is 2).
     """
     s, e = _c(start), _c(end)
     if unit == "calendar":
         return F.datediff(e.cast("date"), s.cast("date")).cast("long")
-    if unit == "elapsed":
+    if unit in ("elapsed", "hours"):
         return F.timestamp_diff(
-            "DAY", s.cast("timestamp_ntz"), e.cast("timestamp_ntz")
+            "DAY" if unit == "elapsed" else "HOUR",
+            s.cast("timestamp_ntz"), e.cast("timestamp_ntz"),
         ).cast("long")
     raise ValueError(f"unknown unit {unit!r}")
 
@@ -144,7 +158,13 @@ def days_between(start: str | Column, end: str | Column, unit: str = "calendar")
 def sql_days_between(start: str, end: str, unit: str = "calendar") -> str:
     if unit == "calendar":
         return f"date_diff('day', CAST({start} AS DATE), CAST({end} AS DATE))"
-    return f"date_sub('day', CAST({start} AS TIMESTAMP), CAST({end} AS TIMESTAMP))"
+    part = "hour" if unit == "hours" else "day"
+    return f"date_sub('{part}', CAST({start} AS TIMESTAMP), CAST({end} AS TIMESTAMP))"
+
+
+def _clean_list(text: str | Column) -> Column:
+    """List text with its escaped quotes made plain (the one cleaning rule of lists)."""
+    return F.replace(_c(text), F.lit('\\"'), F.lit('"'))
 
 
 def parse_list(text: str | Column) -> Column:
@@ -152,8 +172,7 @@ def parse_list(text: str | Column) -> Column:
 
     NULL and malformed text give NULL; ``[]`` gives an empty array.
     """
-    cleaned = F.replace(_c(text), F.lit('\\"'), F.lit('"'))
-    return F.from_json(cleaned, "array<string>")
+    return F.from_json(_clean_list(text), "array<string>")
 
 
 def list_dates(text: str | Column) -> Column:
@@ -161,6 +180,11 @@ def list_dates(text: str | Column) -> Column:
     return F.transform(parse_list(text), lambda v: safe_date(v))
 
 
+def list_timestamps(text: str | Column) -> Column:
+    """JSON list of dates or date-times to ``array<timestamp_ntz>``; bad entries are NULL."""
+    return F.transform(parse_list(text), lambda v: safe_timestamp(v))
+
+
 def list_length(text: str | Column) -> Column:
     """Number of elements of a JSON array text as long; NULL for NULL or bad text."""
-    return F.json_array_length(_c(text)).cast("long")
+    return F.json_array_length(_clean_list(text)).cast("long")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope.functions.exprs import dround, mean, pct, pct_text
+from cohortscope.operators.skew import salted_semi_join
 from cohortscope.plans.period import Period, restrict
 
 
@@ -82,13 +83,14 @@ def two_way_participation(
     """C3 members who sent an edge, members who received one, both rates as ``%`` text.
 
     Senders and receivers are reduced to distinct keys, then each is left-joined 1:1.
+    A NULL member key is no member (``COUNT(user_id)``).
     """
     m = members.select(F.col(member_key).alias("_k")).distinct()
     e = restrict(edges, edge_period, ts)
     senders = e.select(F.col(src).alias("_k")).distinct().withColumn("_s", F.lit(1))
     receivers = e.select(F.col(dst).alias("_k")).distinct().withColumn("_r", F.lit(1))
     joined = m.join(senders, "_k", "left").join(receivers, "_k", "left")
-    n, s, r = F.count(F.lit(1)), F.count("_s"), F.count("_r")
+    n, s, r = F.count("_k"), F.count("_s"), F.count("_r")
     return joined.agg(
         n.alias(names[0]), s.alias(names[1]), r.alias(names[2]),
         pct_text(s, n).alias(names[3]), pct_text(r, n).alias(names[4]),
@@ -106,15 +108,19 @@ def per_member_activity(
     members_name: str = "total_voters",
     stats: Sequence[str] = ("avg", "max", "min"),
 ) -> DataFrame:
-    """C4 average / max / min fact count per member; members without facts count 0."""
+    """C4 average / max / min fact count per member; members without facts count 0.
+
+    The number of members leaves a NULL key out (``COUNT(user_id)``); the mean, maximum and
+    minimum run over all joined rows, the NULL key's too.
+    """
     m = members.select(F.col(member_key).alias("_k")).distinct()
     counts = (
         restrict(facts, fact_period, ts)
         .groupBy(F.col(fact_user).alias("_k"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    joined = m.join(counts, "_k", "left").select(F.coalesce("_n", F.lit(0)).alias("_n"))
-    cols = [F.count(F.lit(1)).alias(members_name)]
+    joined = m.join(counts, "_k", "left").select("_k", F.coalesce("_n", F.lit(0)).alias("_n"))
+    cols = [F.count("_k").alias(members_name)]
     if "avg" in stats:
         cols.append(dround(mean("_n"), 2).alias(f"avg_{prefix}"))
     if "max" in stats:
@@ -141,9 +147,10 @@ def linked_members(
     target_key: str = "id", user: str = "user_id",
 ) -> DataFrame:
     """Users of ``links`` whose linked row exists in ``targets`` (a semi-join on the
-    link key), as distinct user keys. Used to build one set of ``cohort_overlap``."""
+    link key), as distinct user keys. Used to build one set of ``cohort_overlap``. A hot
+    link key is spread over several partitions."""
     t = targets.select(F.col(target_key).alias(link_key)).distinct()
-    return links.join(t, link_key, "left_semi").select(user).distinct()
+    return salted_semi_join(links, t, link_key, user).select(user).distinct()
 
 
 def participation_and_intensity(
@@ -159,7 +166,7 @@ def participation_and_intensity(
     ),
 ) -> DataFrame:
     """C6 members, members with facts, their share, and mean facts per participant
-    (members without facts are left out of the mean)."""
+    (members without facts are left out of the mean; a NULL key is no member)."""
     m = members.select(F.col(member_key).alias("_k")).distinct()
     counts = (
         restrict(facts, fact_period, ts)
@@ -167,7 +174,7 @@ def participation_and_intensity(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     joined = m.join(counts, "_k", "left")
-    n, p = F.count(F.lit(1)), F.count("_n")
+    n, p = F.count("_k"), F.count("_n")
     return joined.agg(
         n.alias(names[0]), p.alias(names[1]), pct(p, n).alias(names[2]),
         dround(mean("_n"), 2).alias(names[3]),

@@ -1,10 +1,9 @@
 """Group-based eligibility (E1-E5): users in large enough classes of large enough schools.
 
-Users are only ever joined to *per-group* relations (one row per class), never to other
-user-level tables row by row. The eligible-class relation is broadcast when a bounded
-count of the class table proves it small, so a class holding a third of all users never
-lands in one shuffle partition; otherwise it stays a shuffle join, whose skewed
-partitions AQE splits.
+Users are counted per class with partial aggregation, and only those per-class rows meet
+the class and school tables. So a class holding a third of all users is one row per task
+when it is shuffled, and no join carries raw users on the class key. The user id is the
+key of the user table: a user is in one class.
 """
 
 from __future__ import annotations
@@ -12,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.functions.exprs import PCT_DECIMAL_KEEP
-from cohortscope.operators.cohort import conversion_rate
-from cohortscope.plans.guards import bounded_broadcast
+from cohortscope.functions.exprs import PCT_DECIMAL_KEEP, pct
+from cohortscope.plans.period import Period, restrict
 
 
 def qualified_groups(
@@ -41,54 +39,62 @@ def large_parents(schools: DataFrame, min_size: int, size_col: str = "student_co
     return schools.filter(F.col(size_col) >= min_size).select(F.col("id").alias("school_id"))
 
 
-def eligible_groups(
-    users: DataFrame, groups: DataFrame, schools: DataFrame, min_school: int, min_class: int,
-    group: str = "group_id", member: str = "id",
+def class_sizes(
+    users: DataFrame, voters: DataFrame | None = None, group: str = "group_id",
+    member: str = "id", voter_key: str = "user_id",
 ) -> DataFrame:
-    """Classes that belong to a large school and have enough members (one row per class)."""
-    in_large = groups.join(large_parents(schools, min_school), "school_id", "left_semi").select(
-        F.col("id").alias(group)
+    """Per class: ``members`` and, with ``voters``, how many members are ``voters``.
+
+    Users meet voters one to one on the user key before they are counted.
+    """
+    u = users.select(F.col(group), F.col(member).alias("_id")).distinct()
+    if voters is None:
+        return u.groupBy(group).agg(F.count("_id").alias("members"))
+    v = voters.select(F.col(voter_key).alias("_id")).distinct().withColumn("_v", F.lit(1))
+    return u.join(v, "_id", "left").groupBy(group).agg(
+        F.count("_id").alias("members"), F.count("_v").alias("voters")
     )
-    big = qualified_groups(users, group, member, min_class).select(group)
-    return in_large.join(big, group, "left_semi").distinct()
 
 
-def eligible_members(
-    users: DataFrame, groups: DataFrame, schools: DataFrame, min_school: int = 40,
-    min_class: int = 4, group: str = "group_id", member: str = "id",
+def eligible_classes(
+    sizes: DataFrame, groups: DataFrame, schools: DataFrame, min_school: int, min_class: int,
+    group: str = "group_id",
 ) -> DataFrame:
-    """Users of eligible classes (all their rows).
-
-    Eligible classes are a subset of the class table, so the class table's row count
-    bounds them; it is the (cheap) relation the broadcast check counts.
-    """
-    elig = eligible_groups(users, groups, schools, min_school, min_class, group, member)
-    return users.join(bounded_broadcast(elig, bound_by=groups), group, "left_semi")
+    """The rows of ``sizes`` whose class is large enough and belongs to a large school."""
+    in_large = groups.join(large_parents(schools, min_school), "school_id", "left_semi").select(
+        F.col("id").alias(group)
+    )
+    return sizes.filter(F.col("members") >= min_class).join(in_large, group, "left_semi")
 
 
 def eligible_population(
     users: DataFrame, groups: DataFrame, schools: DataFrame, min_school: int = 40,
     min_class: int = 4, group: str = "group_id", member: str = "id",
 ) -> DataFrame:
-    """E3 distinct eligible users and distinct classes they are in."""
-    elig = eligible_members(users, groups, schools, min_school, min_class, group, member)
-    return elig.agg(
-        F.countDistinct(member).alias("student_cnt"), F.countDistinct(group).alias("group_cnt")
+    """E3 eligible users and the classes they are in: a sum and a count over classes."""
+    classes = eligible_classes(
+        class_sizes(users, group=group, member=member), groups, schools, min_school, min_class, group
+    )
+    return classes.agg(
+        F.coalesce(F.sum("members"), F.lit(0)).cast("long").alias("student_cnt"),
+        F.count(group).alias("group_cnt"),
     )
 
 
 def eligible_conversion(
     users: DataFrame, groups: DataFrame, schools: DataFrame, voters: DataFrame,
     min_school: int = 40, min_class: int = 4, group: str = "group_id", member: str = "id",
-    voter_key: str = "user_id",
+    voter_key: str = "user_id", voter_period: Period | None = None, ts: str = "created_at",
 ) -> DataFrame:
-    """E4 eligible users, how many of them are voters, and the share
+    """E4 eligible users, how many of them voted (in the period), and the share
     (``ROUND(voters * 100.0 / eligible, 2)``)."""
-    elig = eligible_members(users, groups, schools, min_school, min_class, group, member)
-    return conversion_rate(
-        elig, voters, base_key=member, target_key=voter_key,
-        base_name="eligible_student_cnt", converted_name="voted_student_cnt",
-        rate_name="voted_ratio", keep=PCT_DECIMAL_KEEP,
+    sizes = class_sizes(users, restrict(voters, voter_period, ts), group, member, voter_key)
+    classes = eligible_classes(sizes, groups, schools, min_school, min_class, group)
+    n = F.coalesce(F.sum("members"), F.lit(0)).cast("long")
+    v = F.coalesce(F.sum("voters"), F.lit(0)).cast("long")
+    return classes.agg(
+        n.alias("eligible_student_cnt"), v.alias("voted_student_cnt"),
+        pct(v, n, keep=PCT_DECIMAL_KEEP).alias("voted_ratio"),
     )
 
 

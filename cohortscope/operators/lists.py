@@ -11,7 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.functions.exprs import list_dates, list_length, mean, month_label, safe_date
+from cohortscope.functions.exprs import (
+    list_dates,
+    list_length,
+    list_timestamps,
+    mean,
+    month_label,
+    safe_date,
+)
 from cohortscope.plans.period import Period, restrict
 from cohortscope.sources.json_lists import explode_dates
 
@@ -42,6 +49,17 @@ def first_last_by_key(
     )
 
 
+def first_timestamp_by_key(
+    df: DataFrame,
+    key: str = "user_id",
+    list_col: str = "attendance_date_list",
+    name: str = "start_at",
+) -> DataFrame:
+    """L2 on lists of date-times: the first listed instant per key (bad entries ignored)."""
+    rows = df.select(F.col(key), list_timestamps(list_col).alias("times")).filter(F.size("times") > 0)
+    return rows.groupBy(key).agg(F.min(F.array_min("times")).alias(name))
+
+
 def first_last_overall(
     df: DataFrame,
     key: str = "user_id",
@@ -111,6 +129,7 @@ __all__ = [
     "explode_dates",
     "first_last_by_key",
     "first_last_overall",
+    "first_timestamp_by_key",
     "list_length_stats",
     "monthly_list_counts",
 ]

@@ -9,12 +9,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.functions.exprs import null_count
+from cohortscope.functions.exprs import list_length, null_count
 from cohortscope.plans.period import Period, restrict
 
 
-def preview(df: DataFrame, n: int = 10, order_by: Sequence[str] | None = None) -> DataFrame:
-    """P1 ``SELECT * ... LIMIT n``: a bounded preview.
+def browse(df: DataFrame) -> DataFrame:
+    """P1 / IO2 ``SELECT * FROM t``: the whole table, lazily (nothing is collected)."""
+    return df.select("*")
+
+
+def preview(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> DataFrame:
+    """P1 ``SELECT * ... LIMIT n``: a preview of ``n`` rows.
 
     With ``order_by`` the preview is a top-n on those columns (TakeOrderedAndProject, one
     bounded heap per partition), so it is a function of the data; without it, any n rows.
@@ -36,6 +41,12 @@ def empty_list_count(df: DataFrame, col: str, name: str = "empty_cnt") -> DataFr
     return df.filter(F.col(col) == "[]").agg(F.count(F.lit(1)).alias(name))
 
 
+def malformed_list_count(df: DataFrame, col: str, name: str = "malformed_cnt") -> DataFrame:
+    """Rows whose list text is present but is no JSON array (list operators skip them)."""
+    bad = F.col(col).isNotNull() & list_length(col).isNull()
+    return df.agg(F.count_if(bad).alias(name))
+
+
 def row_count(
     df: DataFrame, col: str | None = None, where: Column | None = None, name: str = "cnt"
 ) -> DataFrame:
@@ -83,7 +94,7 @@ def value_counts(
     col: str,
     count_col: str | None = None,
     where: Column | None = None,
-    order: str = "key",
+    order: str | None = None,
     k: int | None = None,
     name: str = "cnt",
     collation: str | None = None,
@@ -91,10 +102,13 @@ def value_counts(
     """P8 frequency table of ``col``.
 
     ``count_col=None`` counts rows (``COUNT(*)``); ``count_col=col`` counts non-NULL
-    values, so the NULL group gets 0. ``order='count'`` sorts by count descending with
+    values, so the NULL group gets 0. ``order=None`` leaves the rows unordered (no range
+    shuffle), ``order='key'`` sorts by the value, ``order='count'`` by count descending with
     the key as tie-break; ``k`` keeps the top k (a top-k report). ``collation`` groups
     values equal under it (shown by their smallest spelling).
     """
+    if order not in (None, "key", "count"):
+        raise ValueError(order)
     if where is not None:
         df = df.filter(where)
     target = F.lit(1) if count_col is None else F.col(count_col)
@@ -108,13 +122,22 @@ def value_counts(
         )
     if order == "count":
         out = out.orderBy(F.col(name).desc(), F.col(col).asc_nulls_first())
-    else:
+    elif order == "key":
         out = out.orderBy(F.col(col).asc_nulls_first())
     if k is not None:
         out = out.limit(k)
     return out
 
 
+def value_totals(
+    df: DataFrame, col: str, measure: str, k: int | None = None, name: str = "total",
+) -> DataFrame:
+    """Per value of ``col`` the SUM of an integer measure, largest first (``k``: top k)."""
+    out = df.groupBy(col).agg(F.sum(measure).cast("long").alias(name))
+    out = out.orderBy(F.col(name).desc_nulls_last(), F.col(col).asc_nulls_first())
+    return out if k is None else out.limit(k)
+
+
 def lookup(df: DataFrame, col: str, value, collation: str | None = None) -> DataFrame:
     """P9 all rows with ``col = value``; the literal is cast to the column's type (never a
     mixed-type comparison), and the binary equality is pushed to the scan. With

@@ -107,13 +107,16 @@ def retention_by_any_visit(
     list_col: str = "attendance_date_list",
     base_name: str = "total_voted_users",
 ) -> DataFrame:
-    """R3: members with *any* visit in each band (after the start day), with rates."""
+    """R3: members with *any* visit in each band (after the start day), with rates.
+
+    A start without a user is no member (``COUNT(DISTINCT user_id)``).
+    """
     flags = []
     for lo, hi, name in bands:
         hit = F.exists("_dates", _visit_in_band(lo, hi))
         flags.append(F.max(hit.cast("int")).alias(f"_{name}"))
     joined = _visits(starts, visits, user, list_col).groupBy(user, "start_date").agg(*flags)
-    n = F.count(F.lit(1))
+    n = F.count(user)
     cols = [n.alias(base_name)]
     for _, _, name in bands:
         hit = F.count_if(F.col(f"_{name}") == 1)

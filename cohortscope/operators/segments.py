@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope.functions.exprs import PCT_DECIMAL_KEEP, div, dround, flag_sum, pct
+from cohortscope.operators.skew import salted_semi_join
 from cohortscope.plans.period import Period, restrict
 
 
@@ -28,7 +29,10 @@ def compare_segments(
     flag_name: str = "vote_flag",
 ) -> DataFrame:
     """S1 label each fact by whether its user is a member; per label: users, facts,
-    value total, facts per user and value per user (each ratio 4 decimals, then 2)."""
+    value total, facts per user and value per user (each ratio 4 decimals, then 2).
+
+    Facts without a user belong to no member and count as facts, not as a user.
+    """
     f = restrict(facts, period, ts)
     if where is not None:
         f = f.filter(where)
@@ -39,7 +43,7 @@ def compare_segments(
     labelled = per_user.join(m, user, "left").withColumn(
         flag_name, F.when(F.col("_m").isNotNull(), F.lit(labels[0])).otherwise(F.lit(labels[1]))
     )
-    users, events, total = F.count(F.lit(1)), F.sum("_n"), F.sum("_v")
+    users, events, total = F.count(user), F.sum("_n"), F.sum("_v")
     return labelled.groupBy(flag_name).agg(
         users.alias("user_cnt"),
         events.cast("long").alias("total_events"),
@@ -132,12 +136,13 @@ def item_conversion(
     (``ROUND(voters * 100.0 / users, 2)``).
 
     Facts become distinct (item, user) pairs and members distinct keys before the join,
-    so the distinct counts are plain counts and no raw fact meets a raw member row.
+    so the distinct counts are plain counts and no raw fact meets a raw member row. An
+    item whose users are all NULL stays, with counts 0 and no rate.
     """
-    pairs = restrict(facts, period, ts).select(item, user).filter(F.col(user).isNotNull()).distinct()
+    pairs = restrict(facts, period, ts).select(item, user).distinct()
     m = members.select(F.col(member_key).alias(user)).distinct().withColumn("_m", F.lit(1))
     joined = pairs.join(m, user, "left")
-    n, v = F.count(F.lit(1)), F.count("_m")
+    n, v = F.count(user), F.count("_m")
     return joined.groupBy(item).agg(
         n.alias(names[0]), v.alias(names[1]), pct(v, n, keep=keep).alias(names[2])
     )
@@ -160,16 +165,12 @@ def member_linked_targets(
     with weight ``_w`` = how many such pairs point at it (its multiplicity in the join
     ``pairs JOIN members JOIN targets``).
 
-    The pairs are counted per key *before* the join with the targets, so that join is
-    per key and a hot key stays one row.
+    Links are shuffled twice: once on (user, salt), which serves the membership test and
+    the distinct and spreads a hot user, and once on the key, as counts per key and task,
+    so a hot key arrives as one row a task. The join with the targets is per key.
     """
     m = members.select(F.col(member_key).alias(link_user)).distinct()
-    pairs = (
-        restrict(links, link_period, ts)
-        .select(link_user, link_key)
-        .distinct()
-        .join(m, link_user, "left_semi")
-    )
+    pairs = salted_semi_join(restrict(links, link_period, ts), m, link_user, link_key)
     per_key = pairs.groupBy(link_key).agg(F.count(F.lit(1)).alias("_w"))
     t = restrict(targets, target_period, ts).select(
         F.col(target_key).alias(link_key), *[F.col(c) for c in cols]

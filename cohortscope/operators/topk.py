@@ -16,6 +16,9 @@ from cohortscope.functions.exprs import DIV_EXTRA_DIGITS, dround
 from cohortscope.plans.period import Period, restrict
 
 
+SUM_TYPE = "decimal(28,8)"  # sums as decimal(38,8): exact in any order
+
+
 def _label_and_rank(
     per_key: DataFrame, dim: DataFrame, fk: str, pk: str, label: str, order_col: str, k: int,
     dim_period: Period | None, dim_ts: str,
@@ -69,15 +72,18 @@ def top_k_measures(
 ) -> DataFrame:
     """K2 per key: SUM, AVG and COUNT of a measure, top k by the sum.
 
-    Sum and mean are rounded to ``digits`` decimals (the dialect's AVG keeps 4), so the
-    ranking does not depend on the order floating-point partials are added in.
+    The measure is summed as a decimal, so the total and the ranking do not depend on the
+    order in which partial sums meet. Sum and mean are then rounded to ``digits`` decimals
+    (the dialect's AVG keeps 4).
     """
     f = restrict(facts, facts_period, ts)
     if where is not None:
         f = f.filter(where)
+    exact = F.col(measure).try_cast(SUM_TYPE)
+    total = F.sum(exact).cast("double")
     per_key = f.groupBy(fk).agg(
-        dround(F.sum(measure), digits).alias(f"total_{measure}"),
-        dround(F.avg(measure), digits).alias(f"avg_{measure}"),
+        dround(total, digits).alias(f"total_{measure}"),
+        dround(F.try_divide(total, F.count(exact)), digits).alias(f"avg_{measure}"),
         F.count(F.lit(1)).alias("record_cnt"),
     )
     out = _label_and_rank(per_key, dim, fk, pk, label, f"total_{measure}", k, dim_period, dim_ts)

@@ -4,10 +4,9 @@ the raw tables.
 
 Spark side: operators from ``cohortscope.operators`` over ``Bindings``; plans are
 declarative so Catalyst pushes periods into the scans and prunes columns.
-Oracle side: plain SQL over the driver tables with the bindings as CTEs. It is written
-the way the original statements are written (raw joins, COUNT(DISTINCT)), so it also
-checks that our rewrites (dedupe before join, semi-joins, per-key pre-aggregation,
-higher-order functions instead of explode) give the same numbers.
+Oracle side: SQL over the driver tables with the bindings as CTEs, written from each
+operator's definition (membership tests, per-user tables, filtered aggregates) and not from
+the Spark plan, so it is an independent check.
 
 Periods and thresholds are chosen for the driver tables (events span January 2024,
 orders 1995 to 2001); see FIXTURES.md.
@@ -43,31 +42,30 @@ from cohortscope.operators import (
     topk,
 )
 from cohortscope.plans.period import Period
-from cohortscope.session import configure
+from cohortscope.session import configure_once
 from cohortscope.sources.bindings import Bindings, sql_with
 from cohortscope.sources.json_lists import explode_dates
 
 # --- periods (fixed parameters of the analyses on the driver tables) -----------------
 EVENTS_ALL = Period.half_open("2024-01-01", "2024-02-01")
 VOTE_WINDOW = Period.between("2024-01-01", "2024-01-20")
-PURCHASE_WINDOW = Period.half_open("2024-01-01", "2024-01-06")
+VOTE_DAY = Period.half_open("2024-01-03", "2024-01-04")  # not every user votes on a given day
 REQUEST_WINDOW = Period.half_open("2024-01-01", "2024-01-04")
 RECEIPT_WINDOW = Period.half_open("2024-01-01", "2024-01-04")
-EARLY_PURCHASE = Period.half_open("2024-01-01", "2024-01-03")
-VIEW_WINDOW = Period.half_open("2024-01-01", "2024-01-03")
 POINT_WINDOW = Period.between("2024-01-01", "2024-01-31")
 ORDERS_ALL = Period.half_open("1995-01-01", "2002-01-01")
 ORDER_WINDOW = Period.between("1996-01-01", "1999-12-31")
 SHIP_WINDOW = Period.half_open("1996-01-01", "1998-01-01")
 RETENTION_WINDOW = Period.half_open("1996-01-01", "2000-01-01")
-LATE_PIECES = Period.half_open("2001-07-25", "2002-01-01")
 EARLY_F_ORDERS = Period.half_open("1995-01-01", "1996-06-01")
 SIGNUP_WINDOW = Period.between("1995-01-01", "2024-01-31")
 SIGNUP_PERIOD = Period.half_open("1996-01-01", "1999-01-01")
 SIGNUP_VOTE_WINDOW = Period.between("2024-01-01", "2024-01-31")
-MIN_SCHOOL = 20
-MIN_CLASS = 60
+QUESTION_WINDOW = Period.half_open("2024-01-01", "2024-01-21")
+MIN_SCHOOL = 5
+MIN_CLASS = 20
 LOOKUP_USER = 42
+LOOKUP_TYPE = "signup"
 
 
 @dataclass(frozen=True)
@@ -84,7 +82,7 @@ REGISTRY: dict[str, Query] = {}
 def register(name: str, operator: str, sql: str | None):
     def deco(fn: Callable[[Bindings], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            configure(spark)  # pinned zone / ANSI / AQE, whoever made the session
+            configure_once(spark)  # pinned zone / ANSI / AQE, the first time a session is used
             return fn(Bindings(spark, sf_dir))
 
         build.__name__ = name
@@ -94,10 +92,6 @@ def register(name: str, operator: str, sql: str | None):
     return deco
 
 
-def purchasers(b: Bindings) -> DataFrame:
-    return b.votes().filter(F.col("status") == "purchase")
-
-
 # ===================================================================== profiling (P)
 @register("preview_payments", "P1", sql_with(
     "SELECT * FROM payments ORDER BY created_at, user_id, productId LIMIT 10", "payments"))
@@ -105,6 +99,25 @@ def _(b):
     return profile.preview(b.payments(), 10, order_by=["created_at", "user_id", "productId"])
 
 
+@register("browse_payments", "P1", sql_with("SELECT * FROM payments", "payments"))
+def _(b):
+    return profile.browse(b.payments())
+
+
+@register("malformed_lists", "P3", sql_with(
+    "SELECT count(*) FILTER (WHERE attendance_date_list IS NOT NULL "
+    "AND json_valid(attendance_date_list) = false) AS malformed_cnt FROM attendance", "attendance"))
+def _(b):
+    return profile.malformed_list_count(b.attendance(), "attendance_date_list")
+
+
+@register("malformed_props", "P3",
+          "SELECT count(*) FILTER (WHERE props IS NOT NULL) AS malformed_cnt FROM events")
+def _(b):
+    # The event payload is a JSON object, so as a list every one of them is malformed.
+    return profile.malformed_list_count(b.events, "props")
+
+
 @register("completeness_payments", "P3", sql_with(
     "SELECT count(*) AS total_rows, "
     "CAST(sum(CASE WHEN created_at IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_created_at "
@@ -174,21 +187,21 @@ def _(b):
     "SELECT delta_point, count(*) AS cnt FROM point_history GROUP BY delta_point "
     "ORDER BY delta_point", "point_history"))
 def _(b):
-    return profile.value_counts(b.point_history(), "delta_point")
+    return profile.value_counts(b.point_history(), "delta_point", order="key")
 
 
 @register("point_earn_distribution", "P8", sql_with(
     "SELECT delta_point, count(*) AS cnt FROM point_history WHERE delta_point > 0 "
     "GROUP BY delta_point ORDER BY delta_point", "point_history"))
 def _(b):
-    return profile.value_counts(b.point_history(), "delta_point", where=F.col("delta_point") > 0)
+    return profile.value_counts(b.point_history(), "delta_point", where=F.col("delta_point") > 0, order="key")
 
 
 @register("point_spend_distribution", "P8", sql_with(
     "SELECT delta_point, count(*) AS cnt FROM point_history WHERE delta_point < 0 "
     "GROUP BY delta_point ORDER BY delta_point", "point_history"))
 def _(b):
-    return profile.value_counts(b.point_history(), "delta_point", where=F.col("delta_point") < 0)
+    return profile.value_counts(b.point_history(), "delta_point", where=F.col("delta_point") < 0, order="key")
 
 
 @register("status_counts", "P8", sql_with(
@@ -229,6 +242,29 @@ def _(b):
     return profile.value_counts(b.schools(), "address", count_col="student_count", order="count", k=10)
 
 
+@register("top_school_addresses_by_students", "K2", sql_with(
+    "SELECT address, CAST(sum(student_count) AS BIGINT) AS total FROM schools GROUP BY address "
+    "ORDER BY total DESC NULLS LAST, address ASC NULLS FIRST LIMIT 10", "schools"))
+def _(b):
+    return profile.value_totals(b.schools(), "address", "student_count", k=10)
+
+
+@register("lookup_event_type", "P9", f"SELECT * FROM events WHERE event_type = '{LOOKUP_TYPE}'")
+def _(b):
+    return profile.lookup(b.events, "event_type", LOOKUP_TYPE)
+
+
+@register("lookup_event_type_folded", "P9",
+          f"SELECT * FROM events WHERE lower(event_type) = '{LOOKUP_TYPE}'")
+def _(b):
+    return profile.lookup(b.events, "event_type", LOOKUP_TYPE.upper(), CASE_ACCENT_INSENSITIVE)
+
+
+@register("lookup_user_by_text", "P9", f"SELECT * FROM events WHERE user_id = {LOOKUP_USER}")
+def _(b):
+    return profile.lookup(b.events, "user_id", str(LOOKUP_USER))
+
+
 @register("lookup_user_events", "P9", f"SELECT * FROM events WHERE user_id = {LOOKUP_USER}")
 def _(b):
     return profile.lookup(b.events, "user_id", LOOKUP_USER)
@@ -269,25 +305,19 @@ def _(b):
 @register("friend_list_stats", "L5", sql_with(
     f"SELECT {sql_mean('n')} AS avg_friend_count, max(n) AS max_friend_count, "
     "min(n) AS min_friend_count FROM (SELECT CAST(json_array_length(u.friend_id_list) AS BIGINT) "
-    f"AS n FROM users_with_friends u WHERE {SIGNUP_PERIOD.sql('u.created_at')} AND EXISTS ("
-    "SELECT 1 FROM votes r WHERE r.user_id = u.id "
-    f"AND r.status = 'purchase' AND {EARLY_PURCHASE.sql('r.created_at')}))",
-    "users_with_friends", "votes"))
+    f"AS n FROM users_with_lists u WHERE {SIGNUP_PERIOD.sql('u.created_at')} AND u.id IN ("
+    f"SELECT user_id FROM votes WHERE {VOTE_DAY.sql('created_at')}))",
+    "users_with_lists", "votes"))
 def _(b):
-    members = cohort.cohort(purchasers(b), period=EARLY_PURCHASE)
-    return lists.list_length_stats(b.users(with_friends=True), members, user_period=SIGNUP_PERIOD)
+    members = cohort.cohort(b.votes(), period=VOTE_DAY)
+    return lists.list_length_stats(b.users(with_lists=True), members, user_period=SIGNUP_PERIOD)
 
 
 @register("distinct_group_schools", "P6", sql_with(
-    "SELECT count(DISTINCT school_id) AS school_cnt, count(DISTINCT id) AS group_cnt FROM groups "
-    "WHERE id IN (SELECT group_id FROM users)", "groups", "users"))
+    "SELECT count(DISTINCT school_id) AS school_cnt, count(DISTINCT id) AS group_cnt FROM groups",
+    "groups"))
 def _(b):
-    # Classes in use: the class table semi-joined with the users, so the work grows
-    # with the user table (the class table alone is fixed-size in the driver data).
-    in_use = b.groups().join(
-        b.users().select(F.col("group_id").alias("id")).distinct(), "id", "left_semi"
-    )
-    return profile.distinct_count(in_use, {"school_cnt": "school_id", "group_cnt": "id"})
+    return profile.distinct_count(b.groups(), {"school_cnt": "school_id", "group_cnt": "id"})
 
 
 @register("distinct_voters_all_time", "P6", sql_with(
@@ -413,25 +443,25 @@ def _(b):
 @register("candidate_piece_top_users", "A8", sql_with(
     "SELECT user_id, count(question_piece_id) AS question_piece_cnt FROM user_candidates "
     f"WHERE {SHIP_WINDOW.sql('created_at')} AND user_id IN (SELECT user_id FROM votes "
-    f"WHERE status = 'purchase' AND {EVENTS_ALL.sql('created_at')}) GROUP BY user_id "
+    f"WHERE {VOTE_DAY.sql('created_at')}) GROUP BY user_id "
     "ORDER BY question_piece_cnt DESC, user_id LIMIT 20", "user_candidates", "votes"))
 def _(b):
     return activity.joined_item_counts(
-        b.user_candidates(), purchasers(b), k=20,
-        facts_period=SHIP_WINDOW, cohort_period=EVENTS_ALL,
+        b.user_candidates(), b.votes(), k=20, facts_period=SHIP_WINDOW, cohort_period=VOTE_DAY,
     )
 
 
 @register("candidate_piece_top_users_fanout", "A8", sql_with(
-    "SELECT uc.user_id, count(uc.question_piece_id) AS question_piece_cnt FROM user_candidates uc "
-    "LEFT JOIN votes vt ON uc.user_id = vt.user_id "
-    f"WHERE {SHIP_WINDOW.sql('uc.created_at')} AND vt.status = 'purchase' AND "
-    f"{EVENTS_ALL.sql('vt.created_at')} GROUP BY uc.user_id "
-    "ORDER BY question_piece_cnt DESC, uc.user_id LIMIT 20", "user_candidates", "votes"))
+    "SELECT f.user_id, f.n * m.n AS question_piece_cnt FROM "
+    "(SELECT user_id, count(question_piece_id) AS n FROM user_candidates "
+    f"WHERE {SHIP_WINDOW.sql('created_at')} GROUP BY ALL) f, "
+    "(SELECT user_id, count(*) AS n FROM votes "
+    f"WHERE {VOTE_DAY.sql('created_at')} GROUP BY ALL) m WHERE f.user_id = m.user_id "
+    "ORDER BY question_piece_cnt DESC, f.user_id LIMIT 20", "user_candidates", "votes"))
 def _(b):
     return activity.joined_item_counts(
-        b.user_candidates(), purchasers(b), k=20,
-        facts_period=SHIP_WINDOW, cohort_period=EVENTS_ALL, fanout=True,
+        b.user_candidates(), b.votes(), k=20, facts_period=SHIP_WINDOW, cohort_period=VOTE_DAY,
+        fanout=True,
     )
 
 
@@ -445,11 +475,12 @@ def _(b):
 
 
 @register("top_opened_questions", "K2", sql_with(
-    f"SELECT v.question_id, q.question_text, {sql_dround('sum(v.opened_times)', 4)} "
-    f"AS total_opened_times, {sql_dround('avg(v.opened_times)', 4)} AS avg_opened_times, "
-    "count(*) AS record_cnt FROM votes v JOIN questions q ON v.question_id = q.id "
-    "GROUP BY v.question_id, q.question_text "
-    "ORDER BY total_opened_times DESC, v.question_id, q.question_text LIMIT 10",
+    "SELECT CAST(id AS INTEGER) AS question_id, question_text, total_opened_times, avg_opened_times, record_cnt "
+    "FROM questions, LATERAL (SELECT "
+    f"{sql_dround('CAST(sum(CAST(opened_times AS DECIMAL(28,8))) AS DOUBLE)', 4)} AS total_opened_times, "
+    f"{sql_dround('CAST(sum(CAST(opened_times AS DECIMAL(28,8))) AS DOUBLE) / count(opened_times)', 4)} "
+    "AS avg_opened_times, count(*) AS record_cnt FROM votes WHERE votes.question_id = questions.id) t "
+    "WHERE record_cnt > 0 ORDER BY total_opened_times DESC, id, question_text LIMIT 10",
     "votes", "questions"))
 def _(b):
     return topk.top_k_measures(b.votes(), b.questions())
@@ -466,6 +497,17 @@ def _(b):
     )
 
 
+@register("top_voted_questions_in_periods", "K1", sql_with(
+    "SELECT CAST(id AS INTEGER) AS question_id, question_text, vote_cnt FROM questions q, (SELECT question_id, "
+    f"count(*) AS vote_cnt FROM votes WHERE {VOTE_WINDOW.sql('created_at')} GROUP BY question_id) t "
+    f"WHERE t.question_id = q.id AND {QUESTION_WINDOW.sql('q.created_at')} "
+    "ORDER BY vote_cnt DESC, id, question_text LIMIT 10", "votes", "questions"))
+def _(b):
+    return topk.top_k_entities(
+        b.votes(), b.questions(), facts_period=VOTE_WINDOW, dim_period=QUESTION_WINDOW
+    )
+
+
 # ============================================================== cohorts, conversion (C)
 @register("voters_in_period", "C1", sql_with(
     f"SELECT DISTINCT user_id FROM votes WHERE {VOTE_WINDOW.sql('created_at')}", "votes"))
@@ -487,13 +529,17 @@ def _(b):
 
 
 @register("attendance_vote_conversion", "C2", sql_with(
-    "SELECT count(DISTINCT a.user_id) AS total_users, count(DISTINCT r.user_id) AS voted_users, "
-    f"{sql_pct('count(DISTINCT r.user_id)', 'count(DISTINCT a.user_id)')} AS voted_rate "
-    "FROM attendance a LEFT JOIN votes r ON a.user_id = r.user_id", "attendance", "votes"))
-def _(b):
+    "SELECT count(*) AS total_users, count(*) FILTER (WHERE voted) AS voted_users, "
+    f"{sql_pct('count(*) FILTER (WHERE voted)', 'count(*)')} AS voted_rate FROM ("
+    f"SELECT DISTINCT user_id, user_id IN (SELECT user_id FROM votes WHERE {VOTE_DAY.sql('created_at')}) "
+    f"AS voted FROM attendance_dates WHERE {ORDER_WINDOW.sql('att_date', 'DATE')})",
+    "attendance_dates", "votes"))
+def _(b):
+    days = explode_dates(b.attendance(), "user_id", "attendance_date_list")
+    base = days.filter(ORDER_WINDOW.mask("att_date", as_type="date"))
     return cohort.conversion_rate(
-        b.attendance(), b.votes(), base_name="total_users", converted_name="voted_users",
-        rate_name="voted_rate",
+        base, cohort.cohort(b.votes(), period=VOTE_DAY), base_name="total_users",
+        converted_name="voted_users", rate_name="voted_rate",
     )
 
 
@@ -551,10 +597,7 @@ def _(b):
     )
 
 
-_PURCHASE_MEMBERS_SQL = (
-    "SELECT DISTINCT user_id FROM votes WHERE status = 'purchase' AND "
-    f"{PURCHASE_WINDOW.sql('created_at')}"
-)
+_DAY_MEMBERS_SQL = f"SELECT DISTINCT user_id FROM votes WHERE {VOTE_DAY.sql('created_at')}"
 
 
 @register("friend_request_participation", "C3", sql_with(
@@ -562,7 +605,7 @@ _PURCHASE_MEMBERS_SQL = (
     "count(r.receive_user_id) AS receiver_cnt, "
     f"{sql_pct_text('count(s.send_user_id)', 'count(v.user_id)')} AS sender_rate, "
     f"{sql_pct_text('count(r.receive_user_id)', 'count(v.user_id)')} AS receiver_rate "
-    f"FROM ({_PURCHASE_MEMBERS_SQL}) v "
+    f"FROM ({_DAY_MEMBERS_SQL}) v "
     "LEFT JOIN (SELECT DISTINCT send_user_id FROM friend_requests "
     f"WHERE {REQUEST_WINDOW.sql('created_at')}) s ON v.user_id = s.send_user_id "
     "LEFT JOIN (SELECT DISTINCT receive_user_id FROM friend_requests "
@@ -570,27 +613,29 @@ _PURCHASE_MEMBERS_SQL = (
     "votes", "friend_requests"))
 def _(b):
     return cohort.two_way_participation(
-        cohort.cohort(purchasers(b), period=PURCHASE_WINDOW), b.friend_requests(),
+        cohort.cohort(b.votes(), period=VOTE_DAY), b.friend_requests(),
         edge_period=REQUEST_WINDOW,
     )
 
 
-def _per_member_sql(period: Period | None) -> str:
+def _per_member_sql(
+    period: Period | None, members: str = _DAY_MEMBERS_SQL, tables: tuple[str, ...] = ("votes",)
+) -> str:
     where = f"WHERE {period.sql('created_at')} " if period else ""
     return sql_with(
         f"SELECT count(v.user_id) AS total_voters, "
         f"{sql_dround(sql_mean('COALESCE(s.send_cnt, 0)'), 2)} AS avg_send_cnt, "
         "max(COALESCE(s.send_cnt, 0)) AS max_send_cnt, "
         "min(COALESCE(s.send_cnt, 0)) AS min_send_cnt "
-        f"FROM ({_PURCHASE_MEMBERS_SQL}) v LEFT JOIN (SELECT send_user_id, count(*) AS send_cnt "
+        f"FROM ({members}) v LEFT JOIN (SELECT send_user_id, count(*) AS send_cnt "
         f"FROM friend_requests {where}GROUP BY send_user_id) s ON v.user_id = s.send_user_id",
-        "votes", "friend_requests")
+        *tables, "friend_requests")
 
 
 @register("friend_requests_per_voter", "C4", _per_member_sql(REQUEST_WINDOW))
 def _(b):
     return cohort.per_member_activity(
-        cohort.cohort(purchasers(b), period=PURCHASE_WINDOW), b.friend_requests(),
+        cohort.cohort(b.votes(), period=VOTE_DAY), b.friend_requests(),
         fact_period=REQUEST_WINDOW,
     )
 
@@ -598,7 +643,28 @@ def _(b):
 @register("friend_requests_per_voter_alltime", "C4", _per_member_sql(None))
 def _(b):
     return cohort.per_member_activity(
-        cohort.cohort(purchasers(b), period=PURCHASE_WINDOW), b.friend_requests()
+        cohort.cohort(b.votes(), period=VOTE_DAY), b.friend_requests()
+    )
+
+
+@register("friend_requests_per_voter_unknown", "C4", _per_member_sql(
+    REQUEST_WINDOW, "SELECT DISTINCT user_id FROM voters_outer", ("voters_outer",)))
+def _(b):
+    # The outer join leaves one NULL member: it is in the mean but not in the member count.
+    return cohort.per_member_activity(
+        cohort.cohort(b.voters_outer()), b.friend_requests(), fact_period=REQUEST_WINDOW
+    )
+
+
+@register("event_participation_unknown", "C6", sql_with(
+    "SELECT count(user_id) AS total_voted_users, count(n) AS event_participated_users, "
+    f"{sql_pct('count(n)', 'count(user_id)')} AS event_participation_rate, "
+    f"{sql_dround(sql_mean('n'), 2)} AS avg_event_cnt_per_participant FROM (SELECT DISTINCT o.user_id, "
+    "(SELECT nullif(count(*), 0) FROM event_receipts e WHERE e.user_id = o.user_id AND "
+    f"{RECEIPT_WINDOW.sql('e.created_at')}) AS n FROM voters_outer o)", "voters_outer", "event_receipts"))
+def _(b):
+    return cohort.participation_and_intensity(
+        cohort.cohort(b.voters_outer()), b.event_receipts(), fact_period=RECEIPT_WINDOW
     )
 
 
@@ -618,16 +684,17 @@ def _(b):
 
 
 @register("voter_candidate_overlap", "C5", sql_with(
-    "SELECT count(DISTINCT vt.user_id) AS common_user_cnt FROM votes vt "
-    "JOIN user_candidates cand ON vt.user_id = cand.user_id "
-    "JOIN question_pieces piece ON cand.question_piece_id = piece.id "
-    f"WHERE vt.status = 'purchase' AND {LATE_PIECES.sql('piece.created_at')}",
+    "SELECT count(*) AS common_user_cnt FROM ("
+    f"SELECT user_id FROM votes WHERE {VOTE_DAY.sql('created_at')} INTERSECT "
+    f"SELECT user_id FROM user_candidates WHERE {SHIP_WINDOW.sql('created_at')} AND question_piece_id IN "
+    f"(SELECT id FROM question_pieces WHERE {ORDER_WINDOW.sql('created_at')}))",
     "votes", "user_candidates", "question_pieces"))
 def _(b):
-    pieces = b.question_pieces().filter(LATE_PIECES.mask("created_at"))
+    pieces = b.question_pieces().filter(ORDER_WINDOW.mask("created_at"))
+    links = b.user_candidates().filter(SHIP_WINDOW.mask("created_at"))
     return cohort.cohort_overlap([
-        (purchasers(b), "user_id"),
-        (cohort.linked_members(b.user_candidates(), pieces), "user_id"),
+        (cohort.cohort(b.votes(), period=VOTE_DAY), "user_id"),
+        (cohort.linked_members(links, pieces), "user_id"),
     ])
 
 
@@ -644,12 +711,12 @@ def _(b):
     "SELECT count(v.user_id) AS total_voted_users, count(e.user_id) AS event_participated_users, "
     f"{sql_pct('count(e.user_id)', 'count(v.user_id)')} AS event_participation_rate, "
     f"{sql_dround(sql_mean('e.event_cnt'), 2)} AS avg_event_cnt_per_participant "
-    f"FROM ({_PURCHASE_MEMBERS_SQL}) v LEFT JOIN (SELECT user_id, count(*) AS event_cnt "
+    f"FROM ({_DAY_MEMBERS_SQL}) v LEFT JOIN (SELECT user_id, count(*) AS event_cnt "
     f"FROM event_receipts WHERE {RECEIPT_WINDOW.sql('created_at')} GROUP BY user_id) e "
     "ON v.user_id = e.user_id", "votes", "event_receipts"))
 def _(b):
     return cohort.participation_and_intensity(
-        cohort.cohort(purchasers(b), period=PURCHASE_WINDOW), b.event_receipts(),
+        cohort.cohort(b.votes(), period=VOTE_DAY), b.event_receipts(),
         fact_period=RECEIPT_WINDOW,
     )
 
@@ -663,27 +730,26 @@ def _(b):
 
 # ===================================================================== segments (S)
 @register("point_segments", "S1", sql_with(
-    "SELECT vote_flag, count(DISTINCT user_id) AS user_cnt, count(*) AS total_events, "
-    "CAST(sum(delta_point) AS BIGINT) AS total_point, "
-    f"{sql_dround(sql_div('count(*)', 'count(DISTINCT user_id)'), 2)} AS avg_events_per_user, "
-    f"{sql_dround(sql_div('sum(delta_point)', 'count(DISTINCT user_id)'), 2)} AS avg_point_per_user "
-    "FROM (SELECT ph.user_id, ph.delta_point, CASE WHEN mem.user_id IS NOT NULL THEN 'voted' "
-    "ELSE 'not_voted' END AS vote_flag FROM point_history ph LEFT JOIN ("
-    "SELECT DISTINCT user_id FROM votes WHERE status = 'view' AND "
-    f"{VIEW_WINDOW.sql('created_at')}) mem ON ph.user_id = mem.user_id "
-    f"WHERE ph.delta_point > 0 AND {POINT_WINDOW.sql('ph.created_at')}) flagged GROUP BY vote_flag",
-    "point_history", "votes"))
-def _(b):
-    viewers = cohort.cohort(b.votes().filter(F.col("status") == "view"), period=VIEW_WINDOW)
+    "SELECT if(voted, 'voted', 'not_voted') AS vote_flag, count(user_id) AS user_cnt, "
+    "CAST(sum(n) AS BIGINT) AS total_events, CAST(sum(points) AS BIGINT) AS total_point, "
+    f"{sql_dround(sql_div('sum(n)', 'count(user_id)'), 2)} AS avg_events_per_user, "
+    f"{sql_dround(sql_div('sum(points)', 'count(user_id)'), 2)} AS avg_point_per_user "
+    "FROM (SELECT user_id, count(*) AS n, sum(delta_point) AS points, "
+    f"user_id IN (SELECT user_id FROM votes WHERE {VOTE_DAY.sql('created_at')}) AS voted "
+    f"FROM point_history WHERE delta_point > 0 AND {POINT_WINDOW.sql('created_at')} "
+    "GROUP BY user_id) GROUP BY 1", "point_history", "votes"))
+def _(b):
     return segments.compare_segments(
-        b.point_history(), viewers, where=F.col("delta_point") > 0, period=POINT_WINDOW
+        b.point_history(), cohort.cohort(b.votes(), period=VOTE_DAY),
+        where=F.col("delta_point") > 0, period=POINT_WINDOW,
     )
 
 
 @register("segment_active_members", "S2", sql_with(
-    "SELECT u.ban_status, count(DISTINCT u.id) AS ban_cnt FROM users u JOIN votes vt "
-    f"ON u.id = vt.user_id WHERE {ORDERS_ALL.sql('u.created_at')} AND "
-    f"{EVENTS_ALL.sql('vt.created_at')} GROUP BY u.ban_status", "users", "votes"))
+    "SELECT ban_status, count(id) AS ban_cnt FROM users "
+    f"WHERE {ORDERS_ALL.sql('created_at')} AND id IN "
+    f"(SELECT user_id FROM votes WHERE {EVENTS_ALL.sql('created_at')}) GROUP BY ban_status",
+    "users", "votes"))
 def _(b):
     return segments.segment_members(
         b.users(), b.votes(), user_period=ORDERS_ALL, fact_period=EVENTS_ALL
@@ -691,12 +757,11 @@ def _(b):
 
 
 @register("segment_completion", "S3", sql_with(
-    "SELECT u.ban_status, count(*) AS total_votes, "
-    "CAST(sum(CASE WHEN r.status = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS completed_votes, "
-    f"{sql_pct('sum(CASE WHEN r.status = ' + chr(39) + 'purchase' + chr(39) + ' THEN 1 ELSE 0 END)', 'count(*)')} "
-    "AS completion_rate_pct FROM votes r JOIN users u ON r.user_id = u.id "
-    f"WHERE {EVENTS_ALL.sql('r.created_at')} AND {ORDERS_ALL.sql('u.created_at')} "
-    "GROUP BY u.ban_status ORDER BY completion_rate_pct DESC", "votes", "users"))
+    "SELECT ban_status, CAST(sum(n) AS BIGINT) AS total_votes, CAST(sum(done) AS BIGINT) AS completed_votes, "
+    f"{sql_pct('sum(done)', 'sum(n)')} AS completion_rate_pct FROM users, (SELECT user_id, count(*) AS n, "
+    "count(*) FILTER (WHERE status = 'purchase') AS done FROM votes "
+    f"WHERE {EVENTS_ALL.sql('created_at')} GROUP BY user_id) t "
+    f"WHERE user_id = id AND {ORDERS_ALL.sql('users.created_at')} GROUP BY ban_status", "votes", "users"))
 def _(b):
     return segments.segment_completion(
         b.votes(), b.users(), done_value="purchase", user_period=ORDERS_ALL,
@@ -725,47 +790,59 @@ def _(b):
     return segments.item_conversion(b.payments(), b.votes(), period=ORDER_WINDOW)
 
 
+@register("product_day_vote_conversion_unknown", "S5", sql_with(
+    "SELECT productId, count(u) AS payed_cnt, count(u) FILTER (WHERE voted) AS voted_cnt, "
+    f"{sql_pct('count(u) FILTER (WHERE voted)', 'count(u)', keep=PCT_DECIMAL_KEEP)} AS vote_rate FROM ("
+    "SELECT DISTINCT productId, user_id AS u, coalesce(user_id IN (SELECT user_id FROM votes "
+    f"WHERE {VOTE_DAY.sql('created_at')}), false) AS voted FROM payments_outer) GROUP BY productId",
+    "payments_outer", "votes"))
+def _(b):
+    # Most products of a day have no payer who ever voted: they stay with counts 0.
+    return segments.item_conversion(b.payments_outer(), cohort.cohort(b.votes(), period=VOTE_DAY))
+
+
+# Pieces in the period with the number of members linked to each.
+_LINKED = {"linked": (
+    "SELECT question_id, is_skipped, (SELECT count(DISTINCT user_id) FROM user_candidates k "
+    f"WHERE k.question_piece_id = q.id AND {SHIP_WINDOW.sql('k.created_at')} AND k.user_id IN "
+    f"(SELECT user_id FROM votes WHERE {VOTE_DAY.sql('created_at')})) AS w "
+    f"FROM question_pieces q WHERE {ORDER_WINDOW.sql('created_at')}"
+)}
+
+
 @register("candidate_skip_rate", "S6", sql_with(
-    "SELECT count(piece.question_id) AS total_question_cnt, "
-    "CAST(sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skipped_question_cnt, "
-    f"{sql_pct('sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END)', 'count(*)')} AS skip_rate_pct "
-    "FROM (SELECT DISTINCT user_id, question_piece_id FROM user_candidates) uc "
-    "JOIN (SELECT DISTINCT user_id FROM votes WHERE status = 'purchase') mem "
-    "ON uc.user_id = mem.user_id JOIN question_pieces piece ON uc.question_piece_id = piece.id",
-    "user_candidates", "votes", "question_pieces"))
-def _(b):
-    return segments.flag_rate(b.user_candidates(), purchasers(b), b.question_pieces())
-
-
-_SKIP_LINKS_SQL = (
-    "FROM (SELECT DISTINCT user_id, question_piece_id FROM user_candidates "
-    f"WHERE {SHIP_WINDOW.sql('created_at')}) uc "
-    "JOIN (SELECT DISTINCT user_id FROM votes WHERE status = 'purchase') mem "
-    "ON uc.user_id = mem.user_id JOIN question_pieces piece ON uc.question_piece_id = piece.id "
-    f"WHERE {ORDER_WINDOW.sql('piece.created_at')}"
-)
+    "SELECT coalesce(CAST(sum(w) FILTER (WHERE question_id IS NOT NULL) AS BIGINT), 0) AS total_question_cnt, "
+    "CAST(sum(w * is_skipped) AS BIGINT) AS skipped_question_cnt, "
+    f"{sql_pct('sum(w * is_skipped)', 'sum(w)')} AS skip_rate_pct FROM linked", "user_candidates",
+    "votes", "question_pieces", local=_LINKED))
+def _(b):
+    return segments.flag_rate(
+        b.user_candidates(), cohort.cohort(b.votes(), period=VOTE_DAY), b.question_pieces(),
+        link_period=SHIP_WINDOW, target_period=ORDER_WINDOW,
+    )
 
 
 @register("candidate_skip_rate_distinct_questions", "S6", sql_with(
-    "SELECT count(DISTINCT piece.question_id) AS total_cnt, "
-    "CAST(sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skip_cnt, "
-    f"{sql_pct('sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END)', 'count(DISTINCT piece.question_id)')} "
-    f"AS skip_rate {_SKIP_LINKS_SQL}", "user_candidates", "votes", "question_pieces"))
+    "SELECT count(*) AS total_cnt, CAST(sum(skips) AS BIGINT) AS skip_cnt, "
+    f"{sql_pct('sum(skips)', 'count(*)')} AS skip_rate FROM (SELECT question_id, "
+    "sum(w * is_skipped) AS skips FROM linked WHERE w > 0 GROUP BY question_id)", "user_candidates",
+    "votes", "question_pieces", local=_LINKED))
 def _(b):
     return segments.flag_rate(
-        b.user_candidates(), purchasers(b), b.question_pieces(), denominator="distinct",
+        b.user_candidates(), cohort.cohort(b.votes(), period=VOTE_DAY), b.question_pieces(),
+        denominator="distinct",
         names=("total_cnt", "skip_cnt", "skip_rate"),
         link_period=SHIP_WINDOW, target_period=ORDER_WINDOW,
     )
 
 
 @register("candidate_skip_split", "S6", sql_with(
-    "SELECT CAST(sum(CASE WHEN piece.is_skipped = 0 THEN 1 ELSE 0 END) AS BIGINT) AS skip_0_cnt, "
-    "CAST(sum(CASE WHEN piece.is_skipped = 1 THEN 1 ELSE 0 END) AS BIGINT) AS skip_1_cnt "
-    f"{_SKIP_LINKS_SQL}", "user_candidates", "votes", "question_pieces"))
+    "SELECT CAST(sum(w) - sum(w * is_skipped) AS BIGINT) AS skip_0_cnt, "
+    "CAST(sum(w * is_skipped) AS BIGINT) AS skip_1_cnt FROM linked", "user_candidates", "votes",
+    "question_pieces", local=_LINKED))
 def _(b):
     return segments.flag_split(
-        b.user_candidates(), purchasers(b), b.question_pieces(),
+        b.user_candidates(), cohort.cohort(b.votes(), period=VOTE_DAY), b.question_pieces(),
         link_period=SHIP_WINDOW, target_period=ORDER_WINDOW,
     )
 
@@ -852,6 +929,20 @@ def _(b):
     )
 
 
+@register("hours_attendance_to_spend", "T1", _with_local(_timing_sql(
+    "SELECT user_id, start_at FROM first_attendance_times",
+    _FIRST_SPEND_SQL.format(expr="min(created_at)", extra=""),
+    "hours", strict=False, share=True, avg_digits=2,
+    names=("user_cnt", "avg_hours", "min_hours", "max_hours")),
+    "first_attendance_times", "point_history"))
+def _(b):
+    return timing.time_to_event(
+        lists.first_timestamp_by_key(b.attendance_times()),
+        timing.first_event(b.point_history(), where=F.col("delta_point") < 0, name="end_at"),
+        unit="hours", share=True, names=("user_cnt", "avg_hours", "min_hours", "max_hours"),
+    )
+
+
 @register("time_vote_to_spend", "T1", _with_local(_timing_sql(
     "SELECT user_id, min(created_at) AS start_at FROM votes "
     f"WHERE {VOTE_WINDOW.sql('created_at')} GROUP BY user_id",
@@ -894,15 +985,13 @@ def _retention_sql(period: Period | None, bands, any_visit: bool) -> str:
     )
     cols = []
     if any_visit:
-        body_from = (
-            "FROM starts v LEFT JOIN (SELECT DISTINCT v.user_id, "
-            "date_diff('day', v.vote_date, a.att_date) AS day_diff FROM starts v "
-            "JOIN attendance_dates a ON v.user_id = a.user_id AND a.att_date > v.vote_date) r "
-            "ON v.user_id = r.user_id"
-        )
-        n = "count(DISTINCT v.user_id)"
+        body_from = "FROM starts v"
+        n = "count(v.user_id)"
         for lo, hi, name in bands:
-            hit = f"count(DISTINCT CASE WHEN r.day_diff BETWEEN {lo} AND {hi} THEN v.user_id END)"
+            hit = (
+                "count(*) FILTER (WHERE EXISTS (FROM attendance_dates a WHERE a.user_id = v.user_id AND "
+                f"a.att_date - v.vote_date >= {lo} AND a.att_date - v.vote_date <= {hi}))"
+            )
             cols += [f"{hit} AS {name}", f"{sql_pct(hit, n)} AS {name}_rate"]
     else:
         body_from = (
@@ -927,16 +1016,16 @@ def _(b):
 
 
 @register("retention_cumulative", "R2",
-          _retention_sql(None, retention.CUMULATIVE_BANDS, any_visit=False))
+          _retention_sql(RETENTION_WINDOW, retention.CUMULATIVE_BANDS, any_visit=False))
 def _(b):
-    starts = retention.start_days(b.first_actions())
+    starts = retention.start_days(b.first_actions(), period=RETENTION_WINDOW)
     return retention.retention_by_first_revisit(starts, b.attendance(), retention.CUMULATIVE_BANDS)
 
 
 @register("retention_any_visit", "R3",
-          _retention_sql(None, retention.ANY_VISIT_BANDS, any_visit=True))
+          _retention_sql(RETENTION_WINDOW, retention.ANY_VISIT_BANDS, any_visit=True))
 def _(b):
-    starts = retention.start_days(b.first_actions())
+    starts = retention.start_days(b.first_actions(), period=RETENTION_WINDOW)
     return retention.retention_by_any_visit(starts, b.attendance(), retention.ANY_VISIT_BANDS)
 
 
@@ -977,11 +1066,12 @@ def _(b):
     "count(DISTINCT v.user_id) AS voted_student_cnt, "
     f"{sql_pct('count(DISTINCT v.user_id)', 'count(DISTINCT e.user_id)', keep=PCT_DECIMAL_KEEP)} "
     "AS voted_ratio "
-    f"FROM ({_ELIGIBLE_SQL}) e LEFT JOIN (SELECT DISTINCT user_id FROM votes) v "
+    f"FROM ({_ELIGIBLE_SQL}) e LEFT JOIN ({_DAY_MEMBERS_SQL}) v "
     "ON e.user_id = v.user_id", "users", "groups", "schools", "votes"))
 def _(b):
     return eligibility.eligible_conversion(
-        b.users(), b.groups(), b.schools(), b.votes(), min_school=MIN_SCHOOL, min_class=MIN_CLASS
+        b.users(), b.groups(), b.schools(), b.votes(), min_school=MIN_SCHOOL, min_class=MIN_CLASS,
+        voter_period=VOTE_DAY,
     )
 
 

@@ -1,4 +1,4 @@
-"""Size-checked broadcast and plan checks."""
+"""Plan checks."""
 
 from __future__ import annotations
 
@@ -6,30 +6,6 @@ import contextlib
 import io
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A side is broadcast only when a bounded count proves it has at most this many rows.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(
-    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, bound_by: DataFrame | None = None
-) -> DataFrame:
-    """Broadcast ``df`` only if a bounded count proves it has at most ``max_rows`` rows.
-
-    The count runs on ``bound_by`` when given: a relation that is known to have at least
-    as many rows as ``df`` (e.g. the dimension table ``df`` is a subset of) and is cheap
-    to count, so the check does not compute ``df`` a second time. The check is
-    ``limit(max_rows + 1).count()``: it stops once the bound is passed, so it costs at
-    most ``max_rows + 1`` rows of work whatever the table size. Beyond the bound the
-    join stays a shuffle join, which AQE may still turn into a broadcast from measured
-    sizes and whose skewed partitions it splits.
-    """
-    probe = df if bound_by is None else bound_by
-    if probe.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
 
 def physical_plan(df: DataFrame, mode: str = "formatted") -> str:
     buf = io.StringIO()

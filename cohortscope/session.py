@@ -23,19 +23,31 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def configure_once(spark: SparkSession) -> SparkSession:
+    """:func:`configure`, the first time a session is seen; later changes by the caller stay."""
+    if spark.conf.get("cohortscope.configured", None) is None:
+        configure(spark)
+        spark.conf.set("cohortscope.configured", "true")
+    return spark
+
+
 def build_session(
     master: str = "local[*]",
     app_name: str = "cohortscope",
-    shuffle_partitions: int = 8,
+    shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """Create (or reuse) a session with the settings above. The web UI stays off."""
+    """Create (or reuse) a session with the settings above. The web UI stays off.
+
+    ``shuffle_partitions`` is for small local runs; by default Spark's own setting holds.
+    """
     builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**SQL_SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -77,8 +77,11 @@ class Bindings:
         )
 
     def questions(self) -> DataFrame:
+        """Parts; a question's time spreads over January 2024 by the part's number."""
         return self.table("part").select(
-            F.col("p_partkey").alias("id"), F.col("p_name").alias("question_text")
+            F.col("p_partkey").alias("id"),
+            F.col("p_name").alias("question_text"),
+            F.timestamp_add("HOUR", (F.col("p_partkey") % 720).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("created_at"),
         )
 
     def payments(self) -> DataFrame:
@@ -114,14 +117,35 @@ class Bindings:
             F.col("ts").alias("created_at"),
         )
 
-    def users(self, with_friends: bool = False) -> DataFrame:
-        """Customers: class = nation, segment = ban status, sign-up = first order time.
-
-        ``with_friends`` adds ``friend_id_list``: JSON text of the distinct users the
-        customer sent requests to (NULL when none). In the analysed data model this list
-        is a stored column; here it is derived. The set is partially aggregated before
-        its shuffle and is bounded by the receiver domain (``k`` takes 100 values in the
-        driver data), so a sender with a third of all clicks still builds a small set.
+    def attendance_times(self) -> DataFrame:
+        """user_id, attendance_date_list with instants: per event user, the first event of
+        every day as JSON text (bounded by the calendar like ``attendance``)."""
+        first = self.events.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.min("ts").alias("at"))
+        return first.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(
+            F.date_format("at", "yyyy-M-d H:mm:ss")))).alias("attendance_date_list"))
+
+    def voters_outer(self) -> DataFrame:
+        """Every customer left-joined with the votes: ``user_id`` and ``created_at`` of the
+        vote, NULL for a customer without one."""
+        v = self.votes().select("user_id", "created_at")
+        return self.table("customer").select("c_custkey").join(
+            v, F.col("c_custkey") == F.col("user_id"), "left").select("user_id", "created_at")
+
+    def payments_outer(self) -> DataFrame:
+        """Payments with the voter's id instead of the payer's: NULL where the payer never
+        voted, so a product may have no known user at all."""
+        v = self.votes().select(F.col("user_id").alias("voter")).distinct()
+        return self.payments().join(v, F.col("user_id") == F.col("voter"), "left").select(
+            F.col("voter").alias("user_id"), F.concat("productId", F.lit(" "), F.date_format(
+                "created_at", "yyyy-MM-dd")).alias("productId"), "created_at")
+
+    def users(self, with_lists: bool = False) -> DataFrame:
+        """Customers: class = whole square root of the id (so classes differ in size at any
+        scale), segment = ban status, sign-up = first order time.
+
+        ``with_lists`` adds ``friend_id_list``, a stored list per user in the analysed data
+        model. Here it is the user's list of order days, which the calendar bounds; a list
+        of all receivers of a hub's requests would not be bounded.
         """
         signup = self.orders.groupBy(F.col("o_custkey").alias("id")).agg(
             F.min("o_orderdate").alias("created_at")
@@ -130,38 +154,31 @@ class Bindings:
             self.table("customer")
             .select(
                 F.col("c_custkey").alias("id"),
-                F.col("c_nationkey").cast("long").alias("group_id"),
+                F.floor(F.sqrt("c_custkey")).alias("group_id"),
                 F.col("c_mktsegment").alias("ban_status"),
             )
             .join(signup, "id", "left")
         )
-        if with_friends:
-            friends = (
-                self.friend_requests()
-                .groupBy(F.col("send_user_id").alias("id"))
-                .agg(
-                    F.to_json(F.array_sort(F.collect_set("receive_user_id"))).alias(
-                        "friend_id_list"
-                    )
-                )
-            )
-            users = users.join(friends, "id", "left")
+        if with_lists:
+            lists = self.attendance().select(
+                F.col("user_id").alias("id"), F.col("attendance_date_list").alias("friend_id_list"))
+            users = users.join(lists, "id", "left")
         return users
 
     def groups(self) -> DataFrame:
-        """Classes: nations, each in one region (school)."""
-        return self.table("nation").select(
-            F.col("n_nationkey").cast("long").alias("id"),
-            F.col("n_regionkey").cast("long").alias("school_id"),
-        )
+        """Classes: the users' classes, dealt over the regions (schools)."""
+        group = F.floor(F.sqrt("c_custkey"))
+        return self.table("customer").select(group.alias("id")).distinct().select(
+            "id", F.pmod("id", F.lit(5)).cast("long").alias("school_id"))
 
     def schools(self) -> DataFrame:
-        """Schools: regions; student_count = suppliers in the region (NULL when none)."""
-        nation = self.table("nation")
+        """Schools: regions; student_count = suppliers whose number ends in at least as many
+        zeros as the region's number (NULL when none), so sizes differ at any scale."""
+        zeros = F.length(F.regexp_extract(F.col("s_suppkey").cast("string"), "(0*)$", 1))
         per_region = (
             self.table("supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .groupBy(F.col("n_regionkey").alias("r_regionkey"))
+            .select(F.explode(F.sequence(F.lit(0), zeros)).alias("r_regionkey"))
+            .groupBy("r_regionkey")
             .agg(F.count(F.lit(1)).cast("int").alias("student_count"))
         )
         return (
@@ -212,7 +229,10 @@ SQL_BINDINGS: dict[str, str] = {
         f"SELECT user_id, {_K_SQL} AS question_id, event_id AS question_piece_id, "
         "value AS opened_times, event_type AS status, ts AS created_at FROM events"
     ),
-    "questions": "SELECT p_partkey AS id, p_name AS question_text FROM part",
+    "questions": (
+        "SELECT p_partkey AS id, p_name AS question_text, "
+        "CAST('2024-01-01' AS TIMESTAMP) + to_hours(CAST(p_partkey % 720 AS INTEGER)) AS created_at FROM part"
+    ),
     "payments": (
         "SELECT o_custkey AS user_id, o_orderpriority AS productId, "
         "o_orderdate AS created_at FROM orders"
@@ -230,27 +250,37 @@ SQL_BINDINGS: dict[str, str] = {
         "WHERE event_type = 'signup'"
     ),
     "users": (
-        "SELECT c.c_custkey AS id, CAST(c.c_nationkey AS BIGINT) AS group_id, "
+        "SELECT c.c_custkey AS id, CAST(floor(sqrt(c.c_custkey)) AS BIGINT) AS group_id, "
         "c.c_mktsegment AS ban_status, s.created_at FROM customer c "
         "LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS created_at FROM orders "
         "GROUP BY o_custkey) s ON s.o_custkey = c.c_custkey"
     ),
-    "users_with_friends": (
-        "SELECT u.*, f.friend_id_list FROM users u LEFT JOIN ("
-        "SELECT send_user_id, CAST(to_json(list_sort(list_distinct(list(receive_user_id)))) "
-        "AS VARCHAR) AS friend_id_list FROM friend_requests GROUP BY send_user_id) f "
-        "ON f.send_user_id = u.id"
+    "users_with_lists": (
+        "SELECT u.*, a.attendance_date_list AS friend_id_list FROM users u "
+        "LEFT JOIN attendance a ON a.user_id = u.id"
+    ),
+    "first_attendance_times": (
+        "SELECT user_id, date_trunc('second', min(ts)) AS start_at FROM events GROUP BY user_id"
+    ),
+    "voters_outer": (
+        "SELECT v.user_id, v.created_at FROM customer c LEFT JOIN votes v ON v.user_id = c.c_custkey"
+    ),
+    "payments_outer": (
+        "SELECT (SELECT max(v.user_id) FROM votes v WHERE v.user_id = p.user_id) AS user_id, "
+        "p.productId || ' ' || strftime(p.created_at, '%Y-%m-%d') AS productId, p.created_at FROM payments p"
     ),
     "groups": (
-        "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS school_id "
-        "FROM nation"
+        "SELECT DISTINCT CAST(floor(sqrt(c_custkey)) AS BIGINT) AS id, "
+        "CAST(floor(sqrt(c_custkey)) AS BIGINT) % 5 AS school_id FROM customer"
     ),
     "schools": (
         "SELECT CAST(r.r_regionkey AS BIGINT) AS id, r.r_name AS school_type, "
         "r.r_name AS address, c.student_count FROM region r LEFT JOIN ("
-        "SELECT n.n_regionkey, CAST(count(*) AS INTEGER) AS student_count FROM supplier s "
-        "JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_regionkey) c "
-        "ON c.n_regionkey = r.r_regionkey"
+        "SELECT z.zeros AS n, CAST(count(*) AS INTEGER) AS student_count FROM supplier s "
+        "JOIN (SELECT unnest(range(0, 12)) AS zeros) z "
+        "ON length(regexp_extract(CAST(s.s_suppkey AS VARCHAR), '(0*)$', 1)) >= z.zeros "
+        "GROUP BY z.zeros) c "
+        "ON c.n = r.r_regionkey"
     ),
     "question_pieces": (
         "SELECT o_orderkey AS id, o_custkey AS question_id, "
@@ -270,7 +300,9 @@ SQL_BINDINGS: dict[str, str] = {
 
 # Bindings that refer to other bindings.
 SQL_BINDING_DEPS: dict[str, tuple[str, ...]] = {
-    "users_with_friends": ("friend_requests", "users"),
+    "users_with_lists": ("attendance", "users"),
+    "voters_outer": ("votes",),
+    "payments_outer": ("votes", "payments"),
     "attendance_dates": ("attendance",),
 }
 

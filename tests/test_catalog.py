@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cohortscope.plans import catalog
 from cohortscope.plans.guards import physical_plan, plan_violations
 from conftest import SF_SMALL, rows
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-NAMES = list(entry.queries())
+NAMES = list(catalog.queries())
 TYPE_MAP = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
     "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
@@ -41,7 +42,8 @@ def _canon(cols, data):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -75,24 +77,54 @@ def test_entry_smoke(spark):
     assert df.schema.simpleString().startswith("struct<total_voted_users:bigint,revisit_d7:bigint")
 
 
-# Shuffles each plan may have at most (the planned shape, before AQE). A change that adds
-# an exchange to one of these is a scale regression and should fail here.
+# Shuffles each plan may have at most with broadcast joins off, as at scale (the planned
+# shape, before AQE). A change that adds an exchange is a scale regression and fails here.
 MAX_EXCHANGES = {
     "retention_interval": 3, "retention_cumulative": 3, "retention_any_visit": 3,
     "time_first_to_second_action": 3, "time_vote_to_spend": 3,
-    "candidate_skip_rate": 4, "eligible_population": 6, "eligible_conversion": 7,
-    "top_voted_questions": 1, "top_opened_questions": 1, "user_vote_conversion": 3,
-    "friend_request_participation": 4, "point_segments": 3, "segment_completion": 4,
+    "candidate_skip_rate": 6, "candidate_skip_split": 6, "eligible_population": 9,
+    "eligible_conversion": 11, "top_voted_questions": 3, "top_opened_questions": 3,
+    "user_vote_conversion": 4, "friend_request_participation": 5, "point_segments": 4,
+    "segment_completion": 5, "status_counts": 1,
 }
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, old)
+
+
 @pytest.mark.parametrize("name", sorted(MAX_EXCHANGES))
-def test_shuffle_budget(spark, name):
+def test_shuffle_budget(spark, no_broadcast, name):
     import re
-    plan = physical_plan(entry.queries()[name](spark, "/root/testdata/sf0.1"))
+    plan = physical_plan(catalog.queries()[name](spark, "/root/testdata/sf0.1"))
     assert len(re.findall(r"\(\d+\) Exchange", plan)) <= MAX_EXCHANGES[name]
 
 
+def test_links_are_shuffled_twice(spark, no_broadcast):
+    """S6 moves the links once for membership and distinct, once as counts per piece."""
+    plan = physical_plan(catalog.queries()["candidate_skip_rate"](spark, "/root/testdata/sf0.1"), "simple")
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("_salt" in k and "user_id" in k for k in keys) == 2  # links and members
+    assert not any("_salt" not in k and "user_id" in k and "question_piece_id" in k for k in keys)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_class_rule_selects_some_classes(spark, sf):
+    """The threshold must keep some classes and drop some, or E1-E4 check nothing."""
+    from cohortscope.sources.bindings import Bindings
+
+    b = Bindings(spark, f"/root/testdata/sf{sf}")
+    n = b.users().select("group_id").distinct().count()
+    kept = catalog.queries()["qualified_classes"](spark, f"/root/testdata/sf{sf}").count()
+    large = b.schools().filter(f"student_count >= {catalog.MIN_SCHOOL}").count()
+    assert 0 < kept < n and 0 < large < 5
+
+
 def test_every_survey_operator_is_registered():
     from cohortscope.plans.catalog import REGISTRY
 

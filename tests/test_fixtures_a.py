@@ -81,7 +81,7 @@ def test_top_k_with_two_ids_sharing_a_text(spark, vote):
 
 def test_point_history_signs(spark):
     ph = spark.createDataFrame([(1, 5), (1, -3), (2, 0), (2, 5)], "user_id long, delta_point int")
-    assert rows(profile.value_counts(ph, "delta_point")) == [(-3, 1), (0, 1), (5, 2)]
+    assert rows(profile.value_counts(ph, "delta_point", order="key")) == [(-3, 1), (0, 1), (5, 2)]
     assert rows(profile.value_counts(ph, "delta_point", where=F.col("delta_point") > 0)) == [(5, 2)]
 
 

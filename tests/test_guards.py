@@ -1,31 +1,27 @@
-from cohortscope.plans.guards import bounded_broadcast, physical_plan
-from cohortscope.session import checkpoint_dir
+from cohortscope.operators.skew import salted_semi_join
+from cohortscope.plans.guards import plan_violations
+from cohortscope.session import checkpoint_dir, configure_once
+from conftest import rows
 
 
-def _join_plan(spark, small, bound_rows, bound_by=None):
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no automatic broadcast
-    try:
-        side = bounded_broadcast(small, max_rows=bound_rows, bound_by=bound_by)
-        return physical_plan(big.join(side, "k", "left_semi"))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-
-
-def test_broadcast_only_within_the_bound(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    assert "BroadcastHashJoin" in _join_plan(spark, small, bound_rows=10)
-    assert "BroadcastHashJoin" not in _join_plan(spark, small, bound_rows=9)
+def test_checkpoint_dir_comes_from_the_session(spark):
+    current = checkpoint_dir(spark)
+    assert current and current == spark.sparkContext.getCheckpointDir()
 
 
-def test_bound_checked_on_the_superset(spark):
-    small = spark.range(5).withColumnRenamed("id", "k")
-    superset = spark.range(50)
-    assert "BroadcastHashJoin" not in _join_plan(spark, small, bound_rows=10, bound_by=superset)
-    assert "BroadcastHashJoin" in _join_plan(spark, small, bound_rows=50, bound_by=superset)
+def test_session_is_configured_once(spark):
+    configure_once(spark)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    configure_once(spark)
+    kept = spark.conf.get("spark.sql.adaptive.skewJoin.enabled")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    assert kept == "false"
 
 
-def test_checkpoint_dir_comes_from_the_session(spark):
-    current = checkpoint_dir(spark)
-    assert current and current == spark.sparkContext.getCheckpointDir()
+def test_salted_semi_join_gives_distinct_pairs(spark):
+    facts = spark.createDataFrame(
+        [(1, 10), (1, 10), (1, 11), (2, 10), (None, 10), (3, None)], "user_id long, item long")
+    members = spark.createDataFrame([(1,), (3,), (None,)], "user_id long")
+    out = salted_semi_join(facts, members, "user_id", "item")
+    assert sorted(rows(out), key=str) == [(1, 10), (1, 11), (3, None)]
+    assert plan_violations(out) == []
