@@ -108,27 +108,26 @@ def windows_of(items: DataFrame, width: int = 10, id_col: str = "item_id", text_
 
 
 def _match(postings: dict[str, np.ndarray], first: np.ndarray, size: np.ndarray,
-           steps: list[dict], slop: int) -> np.ndarray:
-    """Start positions of one window in one block."""
+           steps: list[dict], slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start positions of one window in one block, numbers of their documents)."""
     lead = steps[0]
     starts = postings[lead["term"]] - lead["offset"]
     doc = np.searchsorted(first, starts + lead["offset"], "right") - 1
-    fits = starts >= first[doc]
     if not slop:
-        fits &= starts + len(steps) <= first[doc] + size[doc]
-    starts, doc = starts[fits], doc[fits]
+        fits = (starts >= first[doc]) & (starts + len(steps) <= first[doc] + size[doc])
+        starts, doc = starts[fits], doc[fits]
     for step in steps[1:]:
         if not len(starts):
             break
         listed = postings.get(step["term"])
         if listed is None:
-            return starts[:0]
+            return starts[:0], doc[:0]
         low = np.maximum(starts + step["offset"] - slop, first[doc])
         high = np.minimum(starts + step["offset"] + slop, first[doc] + size[doc] - 1)
         at = np.searchsorted(listed, low)
         ok = (at < len(listed)) & (listed[np.minimum(at, len(listed) - 1)] <= high)
         starts, doc = starts[ok], doc[ok]
-    return starts
+    return starts, doc
 
 
 def search(index: PhraseIndex, windows: DataFrame, slop: int = 0) -> DataFrame:
@@ -178,13 +177,12 @@ def search(index: PhraseIndex, windows: DataFrame, slop: int = 0) -> DataFrame:
                  zip(rest.column("term").to_pylist(), rest.column("positions").to_pylist())}
         first = docs.column("first").to_numpy().astype(np.int64)
         size = docs.column("n_words").to_numpy()
-        cover = np.zeros(int(first[-1] + size[-1]) + GAP + 2, np.int32)
+        cover = np.zeros(int(first[-1] + size[-1]) + 2, np.int32)
         items: dict[int, set[str]] = {}
         for item, steps in zip(wanted.column("item").to_pylist(), wanted.column("steps").to_pylist()):
-            starts = _match(lists, first, size, steps, slop)
-            if len(starts):
-                doc = np.searchsorted(first, starts, "right") - 1
-                np.add.at(cover, starts, 1)
+            starts, doc = _match(lists, first, size, steps, slop)
+            if len(starts):  # by proximity a window may reach beyond its document's ends
+                np.add.at(cover, np.maximum(starts, first[doc]), 1)
                 np.add.at(cover, np.minimum(starts + len(steps), first[doc] + size[doc]), -1)
                 for d in np.unique(doc).tolist():
                     items.setdefault(d, set()).add(item)

@@ -1,0 +1,15 @@
+import os
+import sys
+
+import pytest
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
+sys.path.insert(0, os.path.dirname(os.path.dirname(HERE)))
+
+
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    from cohortscope.llm.common import ship_package
+
+    ship_package(spark)
