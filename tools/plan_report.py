@@ -13,8 +13,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
-from cohortscope.plans.catalog import REGISTRY  # noqa: E402
+from cohortscope.plans.catalog import REGISTRY, queries  # noqa: E402
 from cohortscope.plans.guards import physical_plan, plan_violations  # noqa: E402
 from cohortscope.session import build_session  # noqa: E402
 
@@ -28,7 +27,7 @@ def main() -> None:
     spark = build_session("local[8]")
     print("| query | op | scans | shuffles | BHJ | SMJ | top-k heap | Expand | pushed filters | forbidden |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in entry.queries().items():
+    for name, fn in queries().items():
         df = fn(spark, sf_dir)
         plan = physical_plan(df)
         scans = re.findall(r"Location: InMemoryFileIndex \[file:[^\]]*/(\w+)\.parquet\]", plan)
