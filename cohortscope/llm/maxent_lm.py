@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,25 +30,24 @@ OWN = UNITS // 2  # units of single tokens; unit 0 is the end of a text
 BUCKETS = UNITS - OWN
 CLASS_ROWS, MEMBER_ROWS = 1 << 14, 1 << 15  # hashed weight rows of the two softmaxes
 PAST = UNITS  # stands for what comes before a text
-CHUNK = 1 << 15  # weights that are averaged together
-STEP = 8192  # tokens of one gradient update
+CHUNK = 1 << 13  # weights that are averaged together
+STEP = 4_096  # tokens of one gradient update
+LIMIT = 60.0  # scores are cut to +-LIMIT, so their exponentials never overflow
 RATE = 0.5
 
 _BLOCK = ("block long, ids array<long>, held array<boolean>, firsts array<int>, words binary, "
           "terms array<string>, trained array<long>, buckets array<int>")
 
 
-def bucket_of(terms: list[str]) -> np.ndarray:
-    """Bucket of a token that has no unit of its own, from its last two letters."""
-    out = np.empty(len(terms), np.int64)
-    memo: dict[str, int] = {}
-    for k, term in enumerate(terms):
-        bare = term.rstrip(".,;:!?")
-        end = f"{bare[-2:]}\0{len(bare) != len(term)}"
-        if end not in memo:
-            memo[end] = int.from_bytes(_digest(end), "little") % BUCKETS
-        out[k] = memo[end]
-    return out
+def bucket_of(terms: pa.Array) -> np.ndarray:
+    """Bucket of a token that has no unit of its own, from its last two letters and whether a
+    stop follows."""
+    bare = pc.utf8_rtrim(terms, ".,;:!?")
+    stop = pc.not_equal(pc.binary_length(bare), pc.binary_length(terms))
+    ends = pc.binary_join_element_wise(pc.utf8_slice_codeunits(bare, -2), pc.if_else(stop, ".", ""), " ")
+    coded = ends.dictionary_encode()
+    buckets = np.array([int.from_bytes(_digest(e), "little") % BUCKETS for e in coded.dictionary.to_pylist()], np.int64)
+    return buckets[coded.indices.to_numpy()] if len(terms) else np.zeros(0, np.int64)
 
 
 def _digest(text: str) -> bytes:
@@ -72,7 +72,7 @@ def token_blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str)
                 one(held, pa.bool_()), one(firsts.astype(np.int32), pa.int32()),
                 pa.array([words.astype("<i4").tobytes()], pa.binary()),
                 pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms),
-                one(trained, pa.int64()), one(bucket_of(terms.to_pylist()).astype(np.int32), pa.int32()),
+                one(trained, pa.int64()), one(bucket_of(terms).astype(np.int32), pa.int32()),
             ], ["block", "ids", "held", "firsts", "words", "terms", "trained", "buckets"])
             block += 1
 
@@ -146,15 +146,25 @@ def _member_rows(last: np.ndarray, before: np.ndarray, cls: np.ndarray) -> list[
     return [cls, CLASSES + _hashed(last * CLASSES + cls, 1, rest), CLASSES + _hashed(before * CLASSES + cls, 2, rest)]
 
 
-def _log_softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
+def _scores(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     score = weights[rows[0]]
     for r in rows[1:]:
         score += weights[r]
-    if bias is not None:
-        score += bias
-    score -= score.max(axis=1, keepdims=True)
-    score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
-    return score
+    return np.clip(score, -LIMIT, LIMIT, out=score)
+
+
+def _softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    share = _scores(weights, rows)
+    np.exp(share, out=share)
+    share /= (share @ np.ones(share.shape[1], np.float32))[:, None]
+    return share
+
+
+def _log_softmax_at(weights: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    score = _scores(weights, rows)
+    picked = score[np.arange(len(target)), target].astype(np.float64)
+    np.exp(score, out=score)
+    return picked - np.log((score @ np.ones(score.shape[1], np.float32)).astype(np.float64))
 
 
 class _Learner:
@@ -177,17 +187,18 @@ class _Learner:
     def learn(self, units: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
         cls, member = units // MEMBERS, units % MEMBERS
         for which, rows, target in ((0, _class_rows(last, before), cls), (1, _member_rows(last, before, cls), member)):
-            grad = np.exp(_log_softmax(self.weights[which], rows))
+            grad = _softmax(self.weights[which], rows)
             grad[np.arange(len(target)), target] -= 1
             for r in rows:
                 self._descend(which, r, grad)
         self.tokens += len(units)
 
 
-def _units_of_block(row: dict, local_units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(units of all tokens with an end after each text, starts of texts and the end, word number or -1)."""
-    words = np.frombuffer(row["words"], "<i4")
-    firsts = np.asarray(row["firsts"], np.int64)
+def _units_of_block(block, k: int, local_units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(units of all tokens with an end after each text, starts of texts and the end, word
+    number or -1) of row ``k`` of a batch or table of blocks."""
+    words = np.frombuffer(block.column("words")[k].as_buffer(), "<i4")
+    firsts = block.column("firsts")[k].values.to_numpy().astype(np.int64)
     shift = np.arange(len(firsts))
     at = np.insert(words.astype(np.int64), firsts[1:], -1)
     units = np.where(at < 0, 0, local_units[at] if len(local_units) else 0)
@@ -211,7 +222,7 @@ def train_weights(corpus: Corpus, trainers: int = 256, rounds: int = 1) -> Weigh
     spark = corpus.blocks.sparkSession
     shape = (CLASS_ROWS * MEMBERS, MEMBER_ROWS * MEMBERS)
     flat = np.zeros(sum(shape), np.float32)
-    own = corpus.own
+    own = pa.array(list(corpus.own), pa.string())  # in order of their units, from 1
     rows = corpus.blocks.select("held", "firsts", "words", "terms", "buckets").coalesce(trainers)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(flat)
@@ -221,13 +232,10 @@ def train_weights(corpus: Corpus, trainers: int = 256, rounds: int = 1) -> Weigh
             learner = _Learner(start[:shape[0]].reshape(CLASS_ROWS, CLASSES), start[shape[0]:].reshape(MEMBER_ROWS, MEMBERS))
             for batch in batches:
                 for k in range(batch.num_rows):
-                    row = {c: batch.column(c)[k].as_py() for c in ("words", "firsts")}
-                    terms = batch.column("terms")[k].values.to_pylist()
                     units = OWN + batch.column("buckets")[k].values.to_numpy().astype(np.int64)
-                    for j, term in enumerate(terms):
-                        if term in own:
-                            units[j] = own[term]
-                    token, firsts, _ = _units_of_block(row, units)
+                    found = pc.fill_null(pc.index_in(batch.column("terms")[k].values, value_set=own), -1).to_numpy()
+                    units = np.where(found >= 0, found + 1, units)
+                    token, firsts, _ = _units_of_block(batch, k, units)
                     last, before = _past(token, firsts)
                     held = batch.column("held")[k].values.to_numpy(zero_copy_only=False)
                     use = np.flatnonzero(np.repeat(~held, np.diff(firsts)))
@@ -276,7 +284,6 @@ def score_corpus(corpus: Corpus, weights: Weights) -> DataFrame:
 
     def score(block: pa.Table, counted: pa.Table) -> pa.Table:
         model = shared.value
-        row = {c: block.column(c)[0].as_py() for c in ("words", "firsts")}
         units = OWN + block.column("buckets")[0].values.to_numpy().astype(np.int64)
         c = np.zeros(len(units))
         local = counted.column("local").to_numpy()
@@ -284,7 +291,7 @@ def score_corpus(corpus: Corpus, weights: Weights) -> DataFrame:
         units[local] = counted.column("unit").to_numpy()
         inner = np.where(units < OWN, 0.0, np.log10((c + 1) / mass[np.maximum(units - OWN, 0)]))
         base = np.log10((c + 1) / total)
-        token, firsts, at = _units_of_block(row, units)
+        token, firsts, at = _units_of_block(block, 0, units)
         last, before = _past(token, firsts)
         end = at < 0
         value = np.where(end, 0.0, inner[at] if len(inner) else 0.0)
@@ -292,9 +299,9 @@ def score_corpus(corpus: Corpus, weights: Weights) -> DataFrame:
         seen = np.where(end, ends > 0, (c > 0)[at] if len(c) else False)
         for a in range(0, len(token), STEP):
             u, x, y = token[a:a + STEP], last[a:a + STEP], before[a:a + STEP]
-            cls, pick = u // MEMBERS, np.arange(len(u))
-            outer = _log_softmax(model.classes, _class_rows(x, y))[pick, cls]
-            outer += _log_softmax(model.members, _member_rows(x, y, cls))[pick, u % MEMBERS]
+            cls = u // MEMBERS
+            outer = _log_softmax_at(model.classes, _class_rows(x, y), cls)
+            outer += _log_softmax_at(model.members, _member_rows(x, y, cls), u % MEMBERS)
             value[a:a + STEP] += outer / np.log(10)
         starts, n = firsts[:-1], np.diff(firsts)
         return pa.Table.from_arrays([
