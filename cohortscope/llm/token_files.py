@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +25,8 @@ from cohortscope.llm.words import blocks, no_nulls, ragged, split
 
 END_ID = 2
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
-CACHE_CHUNKS = 500_000  # distinct chunks a Python worker remembers before it starts afresh
+ENCODE_CHUNKS = 20_000  # chunks handed to the tokenizer at a time
+CACHE_CHUNKS = 1_000_000  # distinct chunks a Python worker remembers before it starts afresh
 
 # Ids fit two bytes as dictionary indices; the dictionary of 49k ids takes 200 kB a row group.
 # Pages of at most 1000 documents with min/max in the page index let a reader skip to a doc_id.
@@ -39,16 +43,21 @@ WRITE_OPTIONS = {
 class ChunkEncoder:
     """Ids of texts by a tokenizer whose pre-tokens never span white space.
 
-    Texts are cut at white space, and between an ASCII letter and a final full stop or
-    comma; each distinct chunk is encoded once and remembered. A text that holds the start
-    of a special token ("<|") is encoded as it stands. Both ways give the ids that encoding
-    the whole text gives; a tokenizer of another kind is used on whole texts only.
+    Texts are cut at white space, and between a letter and a final full stop or comma; each
+    distinct chunk is encoded once and remembered. A chunk of letters only is one pre-token,
+    so it goes to the tokenizer in its normal form without the steps that would find that
+    out. A text that holds the start of a special token ("<|") is encoded as it stands. All
+    ways give the ids that encoding the whole text gives; a tokenizer of another kind is
+    used on whole texts only.
     """
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.words = Tokenizer.from_file(file)  # for a word that is one pre-token in normal form
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.by_chunk = self._chunks_alike()
         self._forget()
 
@@ -56,55 +65,73 @@ class ChunkEncoder:
         """Whether the tokenizer lower-cases and drops white space, as the chunk way needs."""
         probe = "Ab, cD.\nef  x1.y é. "
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        cut = [i for c in "ab , cd . ef x1.y é.".split() for i in self.tokenizer.encode(c, add_special_tokens=False).ids]
+        cut = [i for c in "ab , cd . ef x1.y é .".split() for i in self.tokenizer.encode(c, add_special_tokens=False).ids]
         return whole == cut
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
-
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        self.known = pa.array([], pa.string())
+        self.ids = np.zeros(0, np.int32)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids in a row) of chunks not met before."""
+        word = np.zeros(len(chunks), bool)
+        forms = list(chunks)
+        for k, c in enumerate(chunks):
+            if c.isalpha() and "Σ" not in c and (c.isascii() or is_normalized("NFC", c)):
+                low = c.lower()
+                if low.isalpha():
+                    word[k], forms[k] = True, low
+        ids: list[list[int]] = [[]] * len(chunks)
+        for tokenizer, picked in ((self.words, np.flatnonzero(word)), (self.tokenizer, np.flatnonzero(~word))):
+            for a in range(0, len(picked), ENCODE_CHUNKS):
+                part = picked[a:a + ENCODE_CHUNKS].tolist()
+                for k, e in zip(part, tokenizer.encode_batch_fast([forms[k] for k in part], add_special_tokens=False)):
+                    ids[k] = e.ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """Numbers of distinct chunks in the store of known ones, which takes up new ones."""
         if len(self.known) > CACHE_CHUNKS:
             self._forget()
-        new = [c for c in chunks if c not in self.known]
-        for a in range(0, len(new), 20_000):
-            part = new[a:a + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                got = e.ids
-                while self.used + len(got) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used:self.used + len(got)] = got
-                self.known[chunk] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(got))
-                self.used += len(got)
-        return np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))
+        found = pc.index_in(chunks, value_set=self.known)
+        new = pc.is_null(found)
+        fresh = chunks.filter(new)
+        sizes, ids = self._encode_new(fresh.to_pylist())
+        number = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        number[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+        return number
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids of all texts in a row), the end id after each text."""
         odd = np.ones(len(texts), bool) if not self.by_chunk else \
             pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts)
-        plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-z])([.,])( |\n|$)", r"\1 \2\3")
+        plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"(\pL)([.,])( |\n|$)", r"\1 \2\3")
         firsts, words = split(plain)
         coded = words.dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_pylist())
-        word = numbers[coded.indices.to_numpy()] if len(numbers) else np.zeros(0, np.int64)
-        size = np.asarray(self.sizes, np.int64)[word]
-        ids = self.ids[ragged(np.asarray(self.starts, np.int64)[word], size)]
+        number = self._numbers(coded.dictionary)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        size = self.sizes[number]
+        ids = self.ids[ragged(self.starts[number], size)]
         upto = np.concatenate([[0], np.cumsum(size)])[firsts]
         sizes = np.diff(upto) + 1
-        ids = np.insert(ids, upto[1:], END_ID)
+        whole = np.full(len(ids) + len(texts), END_ID, np.int32)
+        place = np.ones(len(whole), bool)
+        place[np.cumsum(sizes) - 1] = False
+        whole[place] = ids
+        ids = whole
         if odd.any():
             pieces = np.split(ids, np.cumsum(sizes)[:-1])
             for k in np.flatnonzero(odd):
                 own = self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids
                 pieces[k] = np.array([*own, END_ID], np.int32)
             sizes, ids = np.array([len(p) for p in pieces], np.int64), np.concatenate(pieces)
-        return sizes, ids.astype(np.int32)
+        return sizes, ids
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -148,6 +175,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, order: list |
     return read_tokens(docs.sparkSession, path)
 
 
+def stored_order(docs: DataFrame) -> list:
+    """Columns that sort ``docs``, as read from Spark's Parquet files, in the order written.
+
+    A table that was not read from files has no such order; its id decides.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return ["doc_id"]
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("int"), name, F.col("_metadata.row_index")]
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The token table at ``path``."""
     return spark.read.schema(SCHEMA).parquet(path)
