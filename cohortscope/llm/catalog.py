@@ -16,7 +16,7 @@ SHARDS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    common.ship_package(spark)
+    common.prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -104,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_phrase_decontamination": phrase_index.ORACLE_SQL,
+    "op7_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op5_chat_parts": chat.ORACLE_SQL,
     "op9_content_sort_dedup": exact_dedup.ORACLE_SQL,
 }

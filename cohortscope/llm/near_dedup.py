@@ -294,3 +294,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     component = F.when(F.col("n_rows").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, k + 1, k + 3), ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 2))) AS k FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+    FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+    WHERE 100 * shared >= 85 * (p.n + q.n - shared)
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM words
+    UNION
+    SELECT r.x, l.y FROM reach r JOIN (SELECT x, y FROM links UNION SELECT y, x FROM links) l ON l.x = r.y
+), least AS (
+    SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, w.doc_id = l.component_id AS kept
+FROM words w JOIN least l ON l.doc_id = w.doc_id LEFT JOIN sizes s ON s.doc_id = w.doc_id
+"""

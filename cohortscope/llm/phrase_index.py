@@ -209,3 +209,34 @@ def search(index: PhraseIndex, windows: DataFrame, slop: int = 0) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
     """Index ``docs`` and search the windows of ``items``; the result of :func:`search`."""
     return search(build_index(docs), windows_of(items, width), slop)
+
+
+ORACLE_SQL = r"""
+WITH lowered AS (
+    SELECT 0 AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+    UNION ALL SELECT 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), words AS (
+    SELECT kind, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered
+), wins AS (
+    SELECT DISTINCT id AS item_id, least(10, len(w)) AS size, array_to_string(list_slice(w, k + 1, k + 10), ' ') AS win
+    FROM (SELECT id, w, unnest(range(0, greatest(1, len(w) - 9))) AS k FROM words WHERE kind = 1 AND len(w) > 0)
+), runs AS (
+    SELECT id AS doc_id, size, k, array_to_string(list_slice(w, k + 1, k + size), ' ') AS win
+    FROM (SELECT id, w, size, unnest(range(0, len(w) - size + 1)) AS k
+          FROM words, (SELECT DISTINCT size FROM wins) WHERE kind = 0 AND len(w) >= size)
+), found AS (
+    SELECT doc_id, item_id, k, runs.size FROM runs JOIN wins ON runs.win = wins.win AND runs.size = wins.size
+), hits AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, k + unnest(range(0, size)) AS p FROM found) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id
+)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit,
+    coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256,
+    coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hits h ON h.doc_id = w.id LEFT JOIN items i ON i.doc_id = w.id WHERE w.kind = 0
+"""

@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(HERE)))
 
 @pytest.fixture(autouse=True)
 def shipped(spark):
-    from cohortscope.llm.common import ship_package
+    from cohortscope.llm.common import prepare
 
-    ship_package(spark)
+    prepare(spark)

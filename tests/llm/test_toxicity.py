@@ -11,9 +11,9 @@ SF = "/root/testdata/sf0.1"
 
 @pytest.fixture(scope="module")
 def chars(spark):
-    from cohortscope.llm.common import ship_package
+    from cohortscope.llm.common import prepare
 
-    ship_package(spark)
+    prepare(spark)
     return toxicity.train_char_model(table(spark, SF, "documents"))
 
 
