@@ -94,7 +94,7 @@ def value_counts(
     col: str,
     count_col: str | None = None,
     where: Column | None = None,
-    order: str | None = None,
+    order: str | None = "key",
     k: int | None = None,
     name: str = "cnt",
     collation: str | None = None,

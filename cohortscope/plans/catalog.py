@@ -187,27 +187,29 @@ def _(b):
     "SELECT delta_point, count(*) AS cnt FROM point_history GROUP BY delta_point "
     "ORDER BY delta_point", "point_history"))
 def _(b):
-    return profile.value_counts(b.point_history(), "delta_point", order="key")
+    return profile.value_counts(b.point_history(), "delta_point")
 
 
 @register("point_earn_distribution", "P8", sql_with(
     "SELECT delta_point, count(*) AS cnt FROM point_history WHERE delta_point > 0 "
     "GROUP BY delta_point ORDER BY delta_point", "point_history"))
 def _(b):
-    return profile.value_counts(b.point_history(), "delta_point", where=F.col("delta_point") > 0, order="key")
+    return profile.value_counts(b.point_history(), "delta_point", where=F.col("delta_point") > 0)
 
 
 @register("point_spend_distribution", "P8", sql_with(
     "SELECT delta_point, count(*) AS cnt FROM point_history WHERE delta_point < 0 "
     "GROUP BY delta_point ORDER BY delta_point", "point_history"))
 def _(b):
-    return profile.value_counts(b.point_history(), "delta_point", where=F.col("delta_point") < 0, order="key")
+    return profile.value_counts(b.point_history(), "delta_point", where=F.col("delta_point") < 0)
 
 
 @register("status_counts", "P8", sql_with(
     "SELECT status, count(status) AS status_cnt FROM votes GROUP BY status", "votes"))
 def _(b):
-    return profile.value_counts(b.votes(), "status", count_col="status", name="status_cnt")
+    return profile.value_counts(
+        b.votes(), "status", count_col="status", name="status_cnt", order=None
+    )
 
 
 @register("status_counts_folded", "P8", sql_with(
@@ -216,14 +218,14 @@ def _(b):
 def _(b):
     return profile.value_counts(
         b.votes(), "status", count_col="status", name="status_cnt",
-        collation=CASE_ACCENT_INSENSITIVE,
+        collation=CASE_ACCENT_INSENSITIVE, order=None,
     )
 
 
 @register("segment_user_counts", "P8", sql_with(
     "SELECT ban_status, count(*) AS cnt FROM users GROUP BY ban_status", "users"))
 def _(b):
-    return profile.value_counts(b.users(), "ban_status")
+    return profile.value_counts(b.users(), "ban_status", order=None)
 
 
 @register("top_candidate_users", "P8", sql_with(
