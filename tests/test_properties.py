@@ -63,11 +63,11 @@ def test_histogram_and_monthly_sums(b):
 def test_semi_join_and_distinct_join_forms_agree(b):
     members = cohort.cohort(b.votes().filter(F.col("status") == "purchase"),
                             period=Period.half_open("2024-01-01", "2024-01-03"))
-    users = b.users(with_friends=True)
+    users = b.users(with_lists=True)
     semi = one(lists.list_length_stats(users, members))
     joined = (users.join(members.withColumnRenamed("user_id", "id"), "id")
               .select("id", F.json_array_length("friend_id_list").alias("n")).distinct()
-              .agg(F.max("n").alias("mx"), F.min("n").alias("mn")))
+              .agg(F.max("n").alias("mx"), F.min("n").alias("mn"), F.avg("n").alias("avg")))
     j = one(joined)
-    assert (semi["max_friend_count"], semi["min_friend_count"]) == (j["mx"], j["mn"]) == (19, 3)
-    assert semi["avg_friend_count"] == pytest.approx(12.2268)
+    assert (semi["max_friend_count"], semi["min_friend_count"]) == (j["mx"], j["mn"])
+    assert j["mx"] > j["mn"] and semi["avg_friend_count"] == pytest.approx(j["avg"], abs=1e-4)
