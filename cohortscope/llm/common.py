@@ -30,11 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a session (as ``--py-files`` would).
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
-    The code then runs wherever an executor starts, without the repository on its disk.
+
+def prepare(spark: SparkSession) -> None:
+    """Ready a session for operators that run Python on the executors, once a session.
+
+    Sends this package to the workers (as ``--py-files`` would), so the code runs wherever an
+    executor starts, and bounds Arrow batches by bytes: texts may be very long, and a batch
+    lies in memory on both sides. A bound the user set stays.
     """
+    if spark.conf.get(BATCH_SETTING, None) in (None, "64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     sent = spark.conf.get("cohortscope.sent", None)
     if sent == spark.sparkContext.applicationId:
         return

@@ -16,14 +16,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.llm.words import blocks, no_nulls
+from cohortscope.llm.words import blocks, lean, no_nulls
 
 UNDETERMINED = "und"
 MAX_LANGUAGES = 4096
-_ROWS = 1 << 14  # n-gram vectors held at a time (64 MB at 1024 dimensions)
+_ROWS = 1 << 13  # n-gram vectors held at a time (32 MB at 1024 dimensions)
+_BLOCK_BYTES = 1 << 20  # text taken up at a time; its letters need some 50 times as much memory
 
 
 @dataclass(frozen=True)
@@ -138,9 +140,10 @@ def train_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     ``MAX_LANGUAGES`` languages raise ValueError. No rows give no prototypes.
     """
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", _BLOCK_BYTES):
             firsts, gram, parts, _ = _ngrams(no_nulls(batch.column("text")).to_pylist(), n)
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             size, weights = len(parts), {}
@@ -148,11 +151,11 @@ def train_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
                 counts = np.zeros(size, dtype=np.int64)
                 for d in np.flatnonzero(langs == lang):
                     counts += np.bincount(gram[firsts[d]:firsts[d + 1]], minlength=size)
-                weights[lang] = counts.astype(np.float64)
-            for low in range(0, size, _ROWS):
-                rows = _vectors(parts[low:low + _ROWS], dim, seed).astype(np.float64)
+                weights[lang] = counts.astype(np.float32)
+            for low in range(0, size, _ROWS):  # whole numbers below 2 ** 24: exact in 32 bits
+                rows = _vectors(parts[low:low + _ROWS], dim, seed)
                 for lang, counts in weights.items():
-                    sums[lang] = sums.get(lang, 0.0) + counts[low:low + _ROWS] @ rows
+                    sums[lang] = sums.get(lang, 0.0) + (counts[low:low + _ROWS] @ rows).astype(np.float64)
         yield pa.RecordBatch.from_pydict(
             {"lang": list(sums), "v": [np.rint(v).astype(np.int64) for v in sums.values()]},
             schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.int64()))]))
@@ -173,20 +176,30 @@ def train_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
 
 def identify(docs: DataFrame, profiles: Profiles, carry: list[str] | list[Column],
-             text_col: str = "text") -> DataFrame:
+             text_col: str = "text", text_in: str | None = None) -> DataFrame:
     """``carry`` columns with ``lang_pred`` and ``score`` of every row's whole text.
 
+    ``text_in`` names a carried struct whose field ``text_col`` is the text, so that whole
+    rows can be carried without sending their text twice.
+
     ``score`` is the best cosine (below 0: 0). Null texts, texts without a letter, and all
     texts if there are no prototypes get ``und`` and 0. Of equal cosines the language that
     sorts first wins. Carry names must not be ``_text``, ``lang_pred`` or ``score``.
     """
-    rows = docs.select(*carry, F.col(text_col).alias("_text"))
+    rows = docs.select(*carry) if text_in else docs.select(*carry, F.col(text_col).alias("_text"))
     kept = [f for f in rows.schema.fields if f.name != "_text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            text = pc.struct_field(whole.column(text_in), text_col) if text_in else whole.column("_text")
+            carried = whole.select([f.name for f in kept])
+            yield from judge(carried.append_column("_text", text))
+
+    def judge(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names = np.array([*profiles.languages, UNDETERMINED], dtype=object)
-        for batch in blocks(batches, "_text"):
+        for batch in blocks([whole], "_text", _BLOCK_BYTES):
             firsts, gram, parts, has = _ngrams(no_nulls(batch.column("_text")).to_pylist(), profiles.n)
             best, cosine = np.full(len(has), len(names) - 1), np.zeros(len(has))
             if len(profiles.languages):

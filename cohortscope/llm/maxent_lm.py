@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope.llm.common import stored
-from cohortscope.llm.words import SPACED, blocks, no_nulls, words_of
+from cohortscope.llm.words import SPACED, blocks, give_back, lean, no_nulls, words_of
 
 CLASSES, MEMBERS = 32, 32
 UNITS = CLASSES * MEMBERS
@@ -59,6 +59,7 @@ def _digest(text: str) -> bytes:
 def token_blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
     """The corpus as blocks of about 8 MB: words as numbers of the block's own vocabulary."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, "text"):
@@ -227,6 +228,7 @@ def train_weights(corpus: Corpus, trainers: int = 256, rounds: int = 1) -> Weigh
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(flat)
 
+        @lean
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = shared.value
             learner = _Learner(start[:shape[0]].reshape(CLASS_ROWS, CLASSES), start[shape[0]:].reshape(MEMBER_ROWS, MEMBERS))
@@ -304,6 +306,7 @@ def score_corpus(corpus: Corpus, weights: Weights) -> DataFrame:
             outer += _log_softmax_at(model.members, _member_rows(x, y, cls), u % MEMBERS)
             value[a:a + STEP] += outer / np.log(10)
         starts, n = firsts[:-1], np.diff(firsts)
+        give_back()
         return pa.Table.from_arrays([
             block.column("ids")[0].values, block.column("held")[0].values, pa.array(n),
             pa.array(np.add.reduceat(seen.astype(np.int64), starts)), pa.array(np.full(len(n), n_train, np.int64)),

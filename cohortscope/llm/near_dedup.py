@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm.common import join_hot, stored
 from cohortscope.llm.sharding import _mix
-from cohortscope.llm.words import SPACED, blocks, no_nulls, words_of
+from cohortscope.llm.words import SPACED, blocks, lean, no_nulls, words_of
 
 BINS = 256
+BLOCK_BYTES = 4 << 20
 MISS = 1e-4  # a pair at the threshold shares no bucket with less than this probability
 CELL_SHINGLES = 200_000  # shingles of one side of a block comparison
 
@@ -96,10 +97,11 @@ def _profile(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, n, digest`` of the shingle set and ``keys``, its buckets."""
     bins = band_width(percent)
 
+    @lean
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             sets = shingle_sets(no_nulls(batch.column("text")), width)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
@@ -113,8 +115,9 @@ def _profile(rows: DataFrame, width: int, percent: int) -> DataFrame:
 def _sets(rows: DataFrame, width: int) -> DataFrame:
     """``doc, shingles`` (sorted hashes as bytes)."""
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             made = shingle_sets(no_nulls(batch.column("text")), width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "shingles"])
@@ -148,6 +151,7 @@ def star_edges(members: DataFrame) -> DataFrame:
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``hub, doc`` edges whose whole sets are similar enough."""
 
+    @lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [_similar(a, b, percent) for a, b in

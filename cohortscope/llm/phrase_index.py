@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope.llm.common import stored
-from cohortscope.llm.words import ALNUM, blocks, no_nulls, words_of
+from cohortscope.llm.words import ALNUM, blocks, give_back, lean, no_nulls, words_of
 
 GAP = 64  # empty positions between documents of a block; above any slop
 BLOCK_BYTES = 8 << 20
@@ -53,6 +53,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     about ``BLOCK_BYTES`` of text, or one longer text.
     """
 
+    @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, "text", BLOCK_BYTES):
@@ -92,6 +93,7 @@ def windows_of(items: DataFrame, width: int = 10, id_col: str = "item_id", text_
     Null texts and texts without words have no window; a null id is the empty string.
     """
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             firsts, words, terms = words_of(no_nulls(batch.column("text")), ALNUM)
@@ -196,6 +198,7 @@ def search(index: PhraseIndex, windows: DataFrame, slop: int = 0) -> DataFrame:
             out["n_hit"].append(int((spans[:, 1] - spans[:, 0]).sum()))
             out["items"].append(sorted(items[d]))
             out["spans"].append([{"start": int(a), "end": int(b)} for a, b in spans])
+        give_back()
         return pa.Table.from_pydict(out, schema=schema)
 
     found = used.groupBy("block").cogroup(pairs.groupBy("at")).applyInArrow(

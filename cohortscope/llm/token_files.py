@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortscope.llm.words import blocks, no_nulls, ragged, split
+from cohortscope.llm.words import blocks, lean, no_nulls, ragged, split
 
 END_ID = 2
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -55,7 +55,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.words = Tokenizer.from_file(file)  # for a word that is one pre-token in normal form
+        self.words = Tokenizer(self.tokenizer.model)  # for a word that is one pre-token in normal form
         self.words.normalizer = normalizers.Sequence([])
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.by_chunk = self._chunks_alike()
@@ -159,9 +159,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, order: list |
     keys = [f"_o{k}" for k in range(len(order or []))] + ["doc_id"]
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").select("doc_id", "text")
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = _encoder(tokenizer_file), TaskContext.get().partitionId(), 0
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 4 << 20):
             sizes, ids = encoder.encode(no_nulls(batch.column("text")))
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays([
@@ -203,6 +204,7 @@ def part_starts(tokens: DataFrame) -> DataFrame:
 def token_digest(tokens: DataFrame) -> DataFrame:
     """Read a token table back: ``doc_id, start, n_tokens, ids_crc32`` of what the files hold."""
 
+    @lean
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.llm.words import SPACED, blocks, no_nulls, words_of
+from cohortscope.llm.words import SPACED, blocks, lean, no_nulls, words_of
 
 # Letters that a symbol can stand for. Fixed values.
 LOOKALIKES = {
@@ -39,6 +39,7 @@ _EDGE = ".,;:?!%&*#\"'()[]{}<>«»“”‘’…-_~`^|/\\="
 SUBSTITUTE, COLLAPSE, SKIP, MASK = 0.7, 3.0, 0.5, 3.5
 
 FEATURE_BITS = 18
+BLOCK_BYTES = 4 << 20
 PREFIXES = (4, 5)
 
 _DISGUISED = re.compile(
@@ -75,6 +76,7 @@ def train_char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     At most ``SIZE`` cubed counts come to the driver, whatever the corpus. No rows: uniform.
     """
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE ** 3, np.int64)
         for batch in blocks(batches, "text"):
@@ -282,8 +284,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, chars: CharModel, per_cla
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
         .join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "y")
 
+    @lean
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             doc, feature, _ = _features(batch, chars)
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             found = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])]
@@ -308,8 +311,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: list[str | Colu
     kept = [f for f in rows.schema.fields if f.name != "text"]
     pair = pa.list_(pa.struct([("seen", pa.string()), ("read", pa.string())]))
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             doc, feature, notes = _features(batch, model.chars)
             z = np.bincount(doc, weights=model.weights[feature], minlength=batch.num_rows) + model.bias
             said = [[{"seen": a, "read": b} for a, b in n] for n in notes]

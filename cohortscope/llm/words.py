@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def lean(function):
+    """Decorator of a function over batches: memory goes back when its task ends."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def byte_table(is_word) -> np.ndarray:
     """256 bytes: A-Z in lower case, word bytes as they are, all others a space.
 
@@ -64,12 +89,14 @@ def words_of(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def blocks(batches, text: str, max_bytes: int = 8 << 20):
-    """Cut record batches into pieces of about ``max_bytes`` of text (one long text: more)."""
+    """Cut record batches into even pieces of about ``max_bytes`` of text (one long text: more)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        piece = np.cumsum(sizes, dtype=np.int64) // max_bytes
+        upto = np.cumsum(sizes, dtype=np.int64)
+        parts = max(1, round(int(upto[-1]) / max_bytes))
+        piece = np.maximum(upto - 1, 0) * parts // max(1, int(upto[-1]))
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
