@@ -28,17 +28,17 @@ def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and texts that resemble no language of the corpus."""
-    common.ship_package(spark)
+    common.prepare(spark)
     profiles = language.train_profiles(docs)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("body"))
-    judged = language.identify(whole, profiles, ["row"], "body")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    judged = language.identify(whole, profiles, ["row"], "text", text_in="row")
     known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_COSINE)
     return judged.filter(known).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate class: five-word shingles, similarity 0.8."""
-    common.ship_package(spark)
+    common.prepare(spark)
     return _without(docs, near_dedup.near_duplicates(docs).filter(~F.col("kept")), "near-copies")
 
 
@@ -57,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token files in the order of the mix; returns what the files hold, per document."""
-    common.ship_package(spark)
+    common.prepare(spark)
     path = f"{common.shared_dir(spark)}/tables/corpus-tokens-{uuid.uuid4().hex}"
     made = token_files.write_tokens(
         docs, path, os.path.join(TOKENIZERS, "word_bpe_49k.json"), order=token_files.stored_order(docs))
