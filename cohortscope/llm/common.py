@@ -80,8 +80,9 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str) ->
     No group passes through one task: rows are range-partitioned on group and order, so a
     hot group spreads over many partitions; each (partition, group) piece is numbered where
     it lies and shifted by the sizes of the group's earlier pieces. The table of pieces has
-    at most (partitions + groups) rows. Rows equal in all of ``group`` and ``order`` are
-    numbered in no particular order among themselves.
+    at most (partitions + groups) rows, and groups must be of a bounded number (sources), so
+    it is broadcast and the rows are not moved again. Rows equal in all of ``group`` and
+    ``order`` are numbered in no particular order among themselves.
     """
     keys = [*group, *order]
     laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -97,7 +98,7 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str) ->
     same = F.col("_piece") == F.col("_p")
     for k, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
-    return laid.join(pieces, same).withColumn(
+    return laid.join(F.broadcast(pieces), same).withColumn(
         out, F.col("_shift") + F.col("_mid") - F.col("_first")
     ).drop("_mid", "_piece", "_p", "_first", "_rows", "_shift", *gs)
 
