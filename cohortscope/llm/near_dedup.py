@@ -134,13 +134,17 @@ def _similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def star_edges(members: DataFrame) -> DataFrame:
-    """``hub, doc``: from ``key, doc`` (buckets), the hub of each bucket to its other members.
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """``key, doc, n``: the rows ``key, doc`` of buckets with ``n`` > 1 members, as a table."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return stored(members.join(sizes, "key"), "buckets")
+
 
-    At most one edge a member and bucket; a bucket of one member has none.
+def star_edges(shared: DataFrame) -> DataFrame:
+    """``hub, doc``: from ``key, doc, n`` (buckets), the hub of each bucket to its other members.
+
+    At most one edge a member and bucket.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(members.join(sizes, "key"), "buckets")
     mass = shared.groupBy("doc").agg(F.sum("n").alias("mass"))
     weighed = shared.join(mass, "doc")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("mass", (-F.col("doc")).alias("least"))).alias("h")) \
@@ -280,14 +284,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
         F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_rows"), F.min("keys").alias("keys"))
     classes = stored(sized, "classes")
     members = classes.filter("doc IS NOT NULL").select(F.explode("keys").alias("key"), "doc")
-    edges = stored(star_edges(members), "star-edges")
-    met = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key")
+    shared = shared_buckets(members)
+    edges = stored(star_edges(shared), "star-edges")
     near = stored(edges.select("hub").union(edges.select("doc")).distinct().toDF("doc"), "near-docs")
     sets = stored(_sets(rows.join(near, F.col("doc_id") == F.col("doc"), "left_semi"), width), "near-sets",
                   {"compression": "none"})
     links = stored(confirm(edges, sets, percent), "links")
     labels = stored(components(links), "labels")
-    apart = stored(_apart(met, labels), "apart")
+    apart = stored(_apart(shared.select("key", "doc"), labels), "apart")
     late = stored(_late_links(apart, labels, sets, percent), "late-links")
     labels = components(links.toDF("u", "v").union(late)) if late.limit(1).count() else labels
 

@@ -99,7 +99,7 @@ def test_components_of_long_chains(spark):
 
 def test_stars_bound_the_pairs(spark):
     members = spark.range(500).selectExpr("1L AS key", "id AS doc").union(spark.range(3).selectExpr("id + 5 AS key", "id AS doc"))
-    assert near_dedup.star_edges(members).count() == 499
+    assert near_dedup.star_edges(near_dedup.shared_buckets(members)).count() == 499
 
 
 def test_odd_and_empty_tables(spark):
