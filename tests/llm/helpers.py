@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, norm string, score double, "
           "shard int, slot long, position long, lang_pred string, block long, row string, key string, n long")
 LONG = "Lorem ipsum dolor sit amet. " * 40_000
@@ -39,3 +41,11 @@ def spaced_words(text):
 
 def plain_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+
+
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    """Workers know the package; test modules import this fixture."""
+    from cohortscope.llm.common import prepare
+
+    prepare(spark)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm import chat
 from cohortscope.llm.catalog import op5_chat_parts
+from helpers import shipped  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 PIECES = ["</turn>\n", "<turn:user>\n", "&lt;", "&amp;", "<part:image>", "&", "<", ">", "\\", "é", "😀", "a b", "\n", ""]

@@ -3,7 +3,7 @@ import re
 
 from cohortscope.llm import common
 from cohortscope.llm.exact_dedup import exact_dedup
-from helpers import no_docs, odd_docs
+from helpers import no_docs, odd_docs, shipped  # noqa: F401
 
 
 def norm(t):

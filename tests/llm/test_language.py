@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm import language
 from cohortscope.llm.catalog import op8_hyperdimensional_language, table
-from helpers import no_docs, odd_docs
+from helpers import no_docs, odd_docs, shipped  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm import common, maxent_lm
 from cohortscope.llm.catalog import op4_maxent_lm, table
-from helpers import no_docs, odd_docs, spaced_words
+from helpers import no_docs, odd_docs, shipped, spaced_words  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 

@@ -1,7 +1,7 @@
 import pytest
 
 from cohortscope.llm.mixing import MAX_SOURCES, edf_cycle, mix_sources, phases, quanta
-from helpers import no_docs, odd_docs
+from helpers import no_docs, odd_docs, shipped  # noqa: F401
 
 
 @pytest.mark.parametrize("weights", [

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from cohortscope.llm import near_dedup
-from helpers import no_docs, odd_docs, spaced_words
+from helpers import no_docs, odd_docs, shipped, spaced_words  # noqa: F401
 
 
 def shingles(text, width):

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from cohortscope.llm import catalog
+from helpers import shipped  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from cohortscope.llm import phrase_index
-from helpers import no_docs, odd_docs, plain_words
+from helpers import no_docs, odd_docs, plain_words, shipped  # noqa: F401
 
 
 def brute(docs, items, width):

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from cohortscope.llm import common
 from cohortscope.llm.catalog import table
-from helpers import no_docs, odd_docs, plain_words, spaced_words
+from helpers import no_docs, odd_docs, plain_words, shipped, spaced_words  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

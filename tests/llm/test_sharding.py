@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from cohortscope.llm.sharding import invert, locate, permute, row_at, shard_documents
-from helpers import no_docs, odd_docs
+from helpers import no_docs, odd_docs, shipped  # noqa: F401
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 24, 100, 1000, 4097])

@@ -6,7 +6,7 @@ import pytest
 
 from cohortscope.llm import common, token_files
 from cohortscope.llm.catalog import TOKENIZERS
-from helpers import no_docs, odd_docs
+from helpers import no_docs, odd_docs, shipped  # noqa: F401
 
 FILE = f"{TOKENIZERS}/word_bpe_49k.json"
 ODD = ["", "  \n ", "Σας ΣΑΣ, ÉTÉ. a.b c.,d e. f, it's I'M don't <|endoftext|> x", "<|ENDOFTEXT|>", "é á. ̸. X̸. İst.",

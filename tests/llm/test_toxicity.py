@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm import toxicity
 from cohortscope.llm.catalog import op1_noisy_channel_toxicity, table
-from helpers import no_docs, odd_docs
+from helpers import no_docs, odd_docs, shipped  # noqa: F401
 
 SF = "/root/testdata/sf0.1"
 
