@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
-from pyspark.sql import DataFrame
+import math
+import uuid
+from array import array
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortscope.llm.common import number_rows
+from cohortscope.llm.common import number_rows, shared_dir
 
 MAX_SOURCES = 1000
-CYCLE = 1000  # slots after which the schedule repeats: weights are multiples of 1/CYCLE
+CHUNK = 64  # blocks of a source whose places lie in one row of the plan
+PIECE = 1 << 18  # blocks whose places are written together
+LAST = 1 << 62  # deadlines beyond it (weights under about 1e-18) are given as this
 
 
 def quanta(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
@@ -82,17 +89,103 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int)
     return out
 
 
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
+Place = tuple[str, int, int, int, int, float]  # source, block, slot, release, deadline, weight
+
+
+def exact_places(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[Place]:
+    """The schedule slot by slot: of the released blocks the earliest deadline runs.
+
+    Block i of a source of share w is released at floor(i/w) and due at ceil((i+1)/w), in
+    whole numbers, so each source is less than one block from its target at any length. A
+    new phase starts when a source has no block left; the others share its weight. Holds one
+    block of each source at a time.
+    """
+    whole = whole_weights(weights)
+    left, done, base = {s: b for s, b in blocks.items() if b}, dict.fromkeys(blocks, 0), 0
+    while left:
+        total, t = sum(whole[s] for s in left), 0
+        share = {s: whole[s] / total for s in left}
+        released = [(0, s, 0) for s in left]
+        heapq.heapify(released)
+        ready: list[tuple[int, str, int, int]] = []
+        while True:
+            while released and released[0][0] <= t:
+                start, s, i = heapq.heappop(released)
+                heapq.heappush(ready, (-(-(i + 1) * total // whole[s]), s, i, start))
+            due, s, i, start = heapq.heappop(ready)
+            yield s, done[s], base + t, base + start, min(base + due, LAST), share[s]
+            heapq.heappush(released, ((i + 1) * total // whole[s], s, i + 1))
+            done[s] += 1
+            left[s] -= 1
+            t += 1
+            if not left[s]:
+                break
+        del left[s]
+        base += t
+
+
+def cycle_places(blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int) -> Iterator[Place]:
+    """The places of a schedule that repeats after ``cycle`` slots, source by source."""
+    for p in phases(blocks, weights, cycle):
+        q, length = p["q"], p["length"]
+        for j in range(p["first"], p["until"]):
+            turn, i = divmod(j - p["first"], q)
+            start = p["base"] + turn * length
+            yield (p["source"], j, start + p["at"][i], start + i * length // q,
+                   start - (-(i + 1) * length // q), q / length)
+
+
 _PLAN = T.StructType([
-    T.StructField("_s", T.StringType()),
-    T.StructField("_phases", T.ArrayType(T.StructType([
-        T.StructField("first", T.LongType()), T.StructField("until", T.LongType()),
-        T.StructField("base", T.LongType()), T.StructField("q", T.LongType()),
-        T.StructField("length", T.LongType()), T.StructField("at", T.ArrayType(T.LongType()))]))),
+    T.StructField("_s", T.StringType()), T.StructField("_chunk", T.LongType()),
+    T.StructField("_slot", T.ArrayType(T.LongType())), T.StructField("_release", T.ArrayType(T.LongType())),
+    T.StructField("_deadline", T.ArrayType(T.LongType())), T.StructField("_weight", T.ArrayType(T.DoubleType())),
 ])
+_ARROW = pa.schema([
+    ("_s", pa.string()), ("_chunk", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("_slot", "_release", "_deadline")],
+    ("_weight", pa.list_(pa.float64()))])
+
+
+def _stored_plan(spark: SparkSession, places: Iterator[Place]) -> DataFrame:
+    """The places as a table in the shared folder, a row for ``CHUNK`` blocks of a source.
+
+    Written piece by piece: the driver holds ``PIECE`` places and one row of each source.
+    """
+    path = f"{shared_dir(spark)}/tables/plan-{uuid.uuid4().hex}"
+    opened: dict[str, tuple[int, array, array, array, array]] = {}
+    full: list[tuple] = []
+    wrote = False
+
+    def write() -> None:
+        made = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*full), _ARROW)], schema=_ARROW)
+        spark.createDataFrame(made, _PLAN).coalesce(1).write.mode("append").option("compression", "zstd").parquet(path)
+        full.clear()
+
+    for s, block, *place in places:
+        if block % CHUNK == 0:
+            if s in opened:
+                full.append((s, *opened[s]))
+            opened[s] = (block // CHUNK, array("q"), array("q"), array("q"), array("d"))
+            if len(full) * CHUNK >= PIECE:
+                write()
+                wrote = True
+        for column, value in zip(opened[s][1:], place):
+            column.append(value)
+    full += [(s, *row) for s, row in opened.items()]
+    if full:
+        write()
+        wrote = True
+    return spark.read.schema(_PLAN).parquet(path) if wrote else spark.createDataFrame([], _PLAN)
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
-                temperature: float = 0.7, block_rows: int = 16, cycle: int = CYCLE,
+                temperature: float = 0.7, block_rows: int = 16, cycle: int | None = None,
                 source_col: str = "source", id_col: str = "doc_id",
                 carry: list[str] | None = None) -> DataFrame:
     """Place every row of ``docs`` in a stream that interleaves sources by target weight.
@@ -100,7 +193,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     Returns ``doc_id, source``, the ``carry`` columns, ``block`` (number within the source),
     ``weight`` (in the row's phase), ``release``, ``deadline`` and ``slot`` (in blocks) and
     ``position`` (sort key of the stream, slot by slot). No row is dropped or repeated: when
-    a source is used up, the rest go on with its weight shared out in proportion.
+    a source is used up, the rest go on with its weight shared out in proportion. Within a
+    phase each source is always less than one block from its target weight; only if ``cycle``
+    is given, weights are rounded to whole slots of a cycle that repeats.
 
     ``weights`` maps sources (``None``: rows without a source) to target weights; sources
     it leaves out, and all sources if it is ``None``, weigh their row count to the power of
@@ -127,28 +222,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
         target = {s: asked.get(s, natural[s] * scale) for s in counts}
     else:
         target = natural
-    plan: dict[str, list[dict]] = {}
-    for p in phases({s: -(-n // block_rows) for s, n in counts.items()}, target, cycle):
-        plan.setdefault(p.pop("source"), []).append(p)
-    planned = spark.createDataFrame(
-        [(s, [(p["first"], p["until"], p["base"], p["q"], p["length"], p["at"]) for p in ps])
-         for s, ps in plan.items()], _PLAN)
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    planned = _stored_plan(spark, cycle_places(blocks, target, cycle) if cycle else exact_places(blocks, target))
 
     numbered = number_rows(rows, ["_key"], ["doc_id"], "_n")
-    block = F.floor(F.col("_n") / block_rows)
-    # Broadcast: one row per source, at most sources x cycle numbers in all.
-    placed = numbered.withColumn("block", block.cast("long")).join(
-        F.broadcast(planned), F.col("_key") == F.col("_s")
-    ).withColumn("_p", F.filter("_phases", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["until"]))[0])
-    q, length = F.col("_p.q"), F.col("_p.length")
-    j = F.col("block") - F.col("_p.first")
-    turn, i = F.expr("(block - _p.first) div _p.q"), j % q
-    start = F.col("_p.base") + turn * length
-    slot = start + F.get(F.col("_p.at"), i.cast("int"))
+    block = F.floor(F.col("_n") / block_rows).cast("long")
+    # One row of the plan meets CHUNK * block_rows rows at most, so no source is hot here.
+    placed = numbered.withColumn("block", block).withColumn("_at", F.expr(f"block div {CHUNK}")).join(
+        planned, (F.col("_key") == F.col("_s")) & (F.col("_at") == F.col("_chunk")))
+    of = lambda name: F.get(F.col(name), (F.col("block") % CHUNK).cast("int"))
     return placed.select(
         "doc_id", "source", *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)], "block",
-        (q / length).alias("weight"),
-        (start + F.floor(i * length / q)).cast("long").alias("release"),
-        (start + F.ceil((i + 1) * length / q)).cast("long").alias("deadline"),
-        slot.alias("slot"),
-        (slot * block_rows + F.col("_n") % block_rows).alias("position"))
+        of("_weight").alias("weight"), of("_release").alias("release"), of("_deadline").alias("deadline"),
+        of("_slot").alias("slot"), (of("_slot") * block_rows + F.col("_n") % block_rows).alias("position"))

@@ -1,5 +1,6 @@
 import pytest
 
+from cohortscope.llm import mixing
 from cohortscope.llm.mixing import MAX_SOURCES, edf_cycle, mix_sources, phases, quanta
 from helpers import no_docs, odd_docs, shipped  # noqa: F401
 
@@ -87,3 +88,32 @@ def test_limits_are_errors(spark):
         mix_sources(many)
     with pytest.raises(ValueError):
         mix_sources(many.limit(3), {"1": 0})
+
+
+@pytest.mark.parametrize("weights", [
+    {"a": 1, "b": 1, "c": 1}, {"a": 1, "b": 1e-6}, {"a": 0.7, "b": 0.2, "c": 0.1},
+    {**{"hot": 0.5}, **{f"s{k}": 0.025 for k in range(20)}}, {"a": 3 ** 0.7, "b": 17 ** 0.7, "c": 2.0 ** -40},
+])
+def test_target_weights_hold_over_many_cycles(weights):
+    """Against the asked weights, not the rounded ones, for as long as every source has blocks."""
+    from fractions import Fraction
+
+    exact = {s: Fraction(w) / sum(Fraction(x) for x in weights.values()) for s, w in weights.items()}
+    have = dict.fromkeys(weights, 0)
+    places = mixing.exact_places(dict.fromkeys(weights, 10 ** 9), weights)
+    for t in range(30_000):
+        s, block, slot, release, deadline, _ = next(places)
+        assert block == have[s] and slot == t and release <= t < deadline
+        assert release == block / exact[s] // 1 and deadline == min(-(-(block + 1) / exact[s] // 1), mixing.LAST)
+        have[s] += 1
+        if t % 7 == 0:
+            assert all(abs(n - (t + 1) * exact[x]) < 1 for x, n in have.items())
+
+
+def test_equal_weights_of_a_long_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 1 << 10)  # the plan is written in several pieces
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source")
+    got = mix_sources(docs, {"s0": 1, "s1": 1, "s2": 1}, block_rows=1).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(9000)) and sorted(r.doc_id for r in got) == list(range(9000))
+    for t in range(0, 9000, 3):
+        assert sorted(r.source for r in got[t:t + 3]) == ["s0", "s1", "s2"]
