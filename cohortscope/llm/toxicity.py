@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -42,12 +43,15 @@ FEATURE_BITS = 18
 BLOCK_BYTES = 4 << 20
 PREFIXES = (4, 5)
 
-_DISGUISED = re.compile(
-    r"[^\W\d_].*[0-9@$!|+(<{#€£¡*._~^`​-‍­·-]|[0-9@$!|+(<{#€£¡*].*[^\W\d_]|(.)\1\1|[а-я]")
+_LETTERS = re.compile(r"[^\W\d_]")
+_SYMBOLS = re.compile(r"[0-9@$!|+(<{#€£¡*]")
+_MARKS = re.compile(r"[0-9@$!|+(<{#€£¡*._~^`​-‍­·-]")
+_CYRILLIC = re.compile(r"[а-я]")
 _REPEATED = re.compile(r"(.)\1\1")
 _NOISE = re.compile(r"([^\w\s])\1{2,}")  # runs of one symbol, as in decorations
+_JOINTS = re.compile(r"[._~·-]+")  # separators that may also join whole words
 _PLAIN_EDGE = ".,;:?!\"'()%&#"
-MAX_TOKEN = 40  # longer tokens are links, keys or hashes, not words
+KEPT_READINGS, KEPT_LENGTH = 1 << 17, 40  # readings a task remembers, and the longest token among them
 _SPACED = re.compile(r"(?<!\S)[^\s.,;:]((?:[ ._*-][^\s.,;:]){2,})(?![^\s.,;:!?])")
 
 
@@ -57,6 +61,31 @@ class CharModel:
 
     logp: np.ndarray
 
+    @cached_property
+    def table(self) -> list[float]:
+        return self.logp.ravel().tolist()
+
+    @cached_property
+    def readings(self) -> dict[str, str]:
+        return {}
+
+    def read(self, token: str) -> str:
+        """The token's reading as one word and, where separators join longer pieces, theirs too.
+
+        Readings of short tokens are remembered.
+        """
+        said = self.readings.get(token)
+        if said is None:
+            said = restore(token, self)
+            pieces = [p for p in _JOINTS.split(token) if p]
+            if sum(len(p) > 1 for p in pieces) > 1:
+                said = " ".join([said, *[restore(p, self) for p in pieces if len(p) > 1]])
+            if len(token) <= KEPT_LENGTH:
+                if len(self.readings) >= KEPT_READINGS:
+                    self.readings.clear()
+                self.readings[token] = said
+        return said
+
 
 def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(letters with two boundaries before and one after each word, word number of each)."""
@@ -130,32 +159,48 @@ def restore(token: str, model: CharModel, spaced: bool = False) -> str:
 
     Symbols without a reading stay as breaks. The literal letters are one of the readings.
     """
-    logp = model.logp
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    lattice = _readings(token)
+    logp = model.table
+    # State: the last two letters. A path is its cost and its last character, linked to those before.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
 
-    def step(state: tuple[int, int], cost: float, text: str, out: str) -> tuple[tuple[int, int], float, str]:
+    def step(a: int, b: int, cost: float, path: tuple | None, out: str) -> tuple[int, int, float, tuple | None]:
         for c in out:
             k = 0 if c in " \0" else _LETTER.get(c, SIZE - 1)
-            cost += float(logp[state[0], state[1], k])
-            state = (0, 0) if k == 0 else (state[1], k)
-            text += " " if k == 0 else c
-        return state, cost, text
-
-    for options in lattice:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for state, (cost, text) in paths.items():
-            starts = [(state, cost, text)]
-            if spaced and text and text[-1] != " ":
-                starts.append(step(state, cost, text, " "))
-            for s, c, t in starts:
+            cost += logp[(a * SIZE + b) * SIZE + k]
+            a, b = (b, k) if k else (0, 0)
+            path = (path, c if k else " ")
+        return a, b, cost, path
+
+    for options in _readings(token):
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in paths.items():
+            starts = [(a, b, cost, path)]
+            if spaced and path and path[1] != " ":
+                starts.append(step(a, b, cost, path, " "))
+            for x, y, c, t in starts:
                 for out, price in options:
-                    at, total, said = step(s, c - price, t, out)
-                    if at not in new or new[at][0] < total:
-                        new[at] = (total, said)
+                    p, q, total, said = step(x, y, c - price, t, out)
+                    if (p, q) not in new or new[p, q][0] < total:
+                        new[p, q] = (total, said)
         paths = new
-    ends = [step(state, cost, text, " ")[1:] for state, (cost, text) in paths.items()]
-    return max(ends)[1].strip()
+    ends = [step(a, b, cost, path, " ")[2:] for (a, b), (cost, path) in paths.items()]
+    best = max(cost for cost, _ in ends)
+    return max(_spelt(path) for cost, path in ends if cost == best).strip()
+
+
+def _spelt(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def _disguised(word: str) -> bool:
+    """Letters with marks behind them or symbols before them, runs, Cyrillic letters: in linear time."""
+    letter, symbol = _LETTERS.search(word), _SYMBOLS.search(word)
+    return bool(letter and _MARKS.search(word, letter.end()) or symbol and _LETTERS.search(word, symbol.end())
+                or _REPEATED.search(word) or _CYRILLIC.search(word))
 
 
 def _hash(words: list[str], salt: int) -> np.ndarray:
@@ -176,8 +221,8 @@ def _features(batch: pa.RecordBatch, model: CharModel) -> tuple[np.ndarray, np.n
     for k, w in enumerate(clean):
         if w and (not w.isalpha() or _REPEATED.search(w) or w != seen[k].strip(_PLAIN_EDGE)):
             word = _NOISE.sub("", seen[k].lower()).strip(_PLAIN_EDGE)
-            if len(word) <= MAX_TOKEN and _DISGUISED.search(word):
-                said = restore(word, model)
+            if _disguised(word):
+                said = model.read(word)
                 if said and said != w:
                     read[k] = said
     notes: list[list[tuple[str, str]]] = [[] for _ in range(len(texts))]
@@ -196,7 +241,7 @@ def _features(batch: pa.RecordBatch, model: CharModel) -> tuple[np.ndarray, np.n
     for d in np.flatnonzero(apart):
         for m in _SPACED.finditer(texts[int(d)].as_py().lower()):
             letters = re.sub(r"[ ._*-]", "", m.group(0))
-            if 3 <= len(letters) <= 60:
+            if len(letters) >= 3:
                 said = restore(letters, model, spaced=True)
                 notes[d].append((m.group(0), said))
                 for w in said.split():

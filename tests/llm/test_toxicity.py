@@ -80,3 +80,21 @@ def test_odd_and_empty_tables(spark, chars):
     none = toxicity.train_toxicity(no_docs(spark), labels, toxicity.train_char_model(no_docs(spark)))
     assert toxicity.score_toxicity(no_docs(spark), none, ["doc_id"]).collect() == []
     assert all(r.score < 0.01 for r in toxicity.score_toxicity(docs, none, ["doc_id"]).collect())
+
+
+def readings(spark, chars, texts):
+    model = toxicity.ToxicityModel(chars, np.zeros(1 << toxicity.FEATURE_BITS, np.float32), 0.0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in toxicity.score_toxicity(docs, model, ["doc_id"]).collect()}
+    return [" ".join(x.read for x in got[k]).split() for k in range(len(texts))]
+
+
+def test_disguises_of_any_length_are_read(spark, chars):
+    said = "you are such an idiot and a loser that this is all that there is to say about you and the trash"
+    bare = said.replace(" ", "")
+    spaced, run, joined, hyphens, long = readings(spark, chars, [
+        " ".join(bare), "what an " + "i" * 60 + "diot", "you.are.such.an.idiot.and.this.is.what.they.say.about.you",
+        "you-are-such-an-1d10t-and-this-is-what-they-say-about-you", " ".join(bare * 40)])
+    assert "".join(spaced) == bare and any(w.startswith("idiot") for w in spaced)
+    assert run == ["idiot"] and "idiot" in joined and "idiot" in hyphens
+    assert "".join(long) == bare * 40 and sum(w.startswith("idiot") for w in long) >= 35
