@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortscope.llm.common import stored
 from cohortscope.llm.words import SPACED, blocks, lean, no_nulls, words_of
 
 # Letters that a symbol can stand for. Fixed values.
@@ -46,7 +47,10 @@ PREFIXES = (4, 5)
 _LETTERS = re.compile(r"[^\W\d_]")
 _SYMBOLS = re.compile(r"[0-9@$!|+(<{#€£¡*]")
 _MARKS = re.compile(r"[0-9@$!|+(<{#€£¡*._~^`​-‍­·-]")
-_CYRILLIC = re.compile(r"[а-я]")
+_FOREIGN = "".join(c for c in LOOKALIKES if c.isalpha() and not c.isascii())
+_CYRILLIC = re.compile(rf"[а-я{_FOREIGN}]")
+_UNLIKELY = re.compile(rf"([^\W\d_])\1|[{_FOREIGN}]")  # a doubled letter or a look-alike letter
+FREQUENT, SUPPORT = 1_000_000, 20  # a frequent word: one of at most so many words, seen so often
 _REPEATED = re.compile(r"(.)\1\1")
 _NOISE = re.compile(r"([^\w\s])\1{2,}")  # runs of one symbol, as in decorations
 _JOINTS = re.compile(r"[._~·-]+")  # separators that may also join whole words
@@ -57,9 +61,10 @@ _SPACED = re.compile(r"(?<!\S)[^\s.,;:]((?:[ ._*-][^\s.,;:]){2,})(?![^\s.,;:!?])
 
 @dataclass(frozen=True)
 class CharModel:
-    """Natural-log trigram probabilities, ``SIZE`` cubed."""
+    """Natural-log trigram probabilities, ``SIZE`` cubed, and the frequent words of the corpus."""
 
     logp: np.ndarray
+    known: frozenset[str] = frozenset()
 
     @cached_property
     def table(self) -> list[float]:
@@ -102,12 +107,13 @@ def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def train_char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     """Character trigram counts over all words of ``docs`` that are letters only, smoothed.
 
-    At most ``SIZE`` cubed counts come to the driver, whatever the corpus. No rows: uniform.
+    At most ``SIZE`` cubed counts come to the driver, whatever the corpus, and the words with a
+    doubled or look-alike letter that make up 1/``FREQUENT`` of all words. No rows: uniform.
     """
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE ** 3, np.int64)
+        total, seen = np.zeros(SIZE ** 3, np.int64), 0
         for batch in blocks(batches, "text"):
             _, index, terms = words_of(no_nulls(batch.column("text")), SPACED)
             if not len(terms):
@@ -117,24 +123,36 @@ def train_char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
             weight = np.bincount(index, minlength=len(words))[kept]
             if not kept:
                 continue
+            seen += int(weight.sum())
+            doubled = [(w, n) for w, n in ((words[k].lower(), n) for k, n in zip(kept, weight.tolist())) if _UNLIKELY.search(w)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(doubled), pa.int64()), pa.array([w for w, _ in doubled], pa.string()),
+                 pa.array([n for _, n in doubled], pa.int64())], ["gram", "word", "n"])
             letters, owner = _coded([words[k] for k in kept])
             whole = owner[2:] == owner[:-2]
             gram = (letters[:-2] * SIZE + letters[1:-1]) * SIZE + letters[2:]
             total += np.bincount(gram[whole], weights=weight[owner[2:][whole]], minlength=SIZE ** 3).astype(np.int64)
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["gram", "n"])
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, n long") \
-        .groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(SIZE ** 3)
-    for r in counted:
-        counts[r["gram"]] = r["n"]
+        # Gram -1: the number of words.
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1, *found.tolist()], pa.int64()), pa.nulls(len(found) + 1, pa.string()),
+             pa.array([seen, *total[found].tolist()], pa.int64())], ["gram", "word", "n"])
+
+    counted = stored(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, word string, n long")
+                     .groupBy("gram", "word").agg(F.sum("n").alias("n")).filter(f"word IS NULL OR n >= {SUPPORT}"), "letters")
+    counts, seen = np.zeros(SIZE ** 3), 0
+    for r in counted.filter("word IS NULL").collect():
+        if r["gram"] < 0:
+            seen = r["n"]
+        else:
+            counts[r["gram"]] = r["n"]
+    often = counted.filter(F.col("word").isNotNull() & (F.col("n") * FREQUENT >= seen)).select("word").collect()
     tri = counts.reshape(SIZE, SIZE, SIZE)
     bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
     p1 = (uni + 1) / (uni.sum() + SIZE)
     p2 = (bi + 5 * p1) / (bi.sum(axis=1, keepdims=True) + 5)
     p3 = (tri + 5 * p2) / (tri.sum(axis=2, keepdims=True) + 5)
-    return CharModel(np.log(p3).astype(np.float32))
+    return CharModel(np.log(p3).astype(np.float32), frozenset(r["word"] for r in often))
 
 
 def _readings(token: str) -> list[list[tuple[str, float]]]:
@@ -196,11 +214,12 @@ def _spelt(path: tuple | None) -> str:
     return "".join(reversed(out))
 
 
-def _disguised(word: str) -> bool:
-    """Letters with marks behind them or symbols before them, runs, Cyrillic letters: in linear time."""
+def _disguised(word: str, known: frozenset[str]) -> bool:
+    """Letters with marks behind them or symbols before them, runs, Cyrillic letters, doubled
+    letters of a word that is not frequent: in linear time."""
     letter, symbol = _LETTERS.search(word), _SYMBOLS.search(word)
     return bool(letter and _MARKS.search(word, letter.end()) or symbol and _LETTERS.search(word, symbol.end())
-                or _REPEATED.search(word) or _CYRILLIC.search(word))
+                or _REPEATED.search(word) or _CYRILLIC.search(word) or (_UNLIKELY.search(word) and word not in known))
 
 
 def _hash(words: list[str], salt: int) -> np.ndarray:
@@ -219,9 +238,9 @@ def _features(batch: pa.RecordBatch, model: CharModel) -> tuple[np.ndarray, np.n
     clean = [w.strip(_EDGE).lower() for w in seen]
     read: dict[int, str] = {}
     for k, w in enumerate(clean):
-        if w and (not w.isalpha() or _REPEATED.search(w) or w != seen[k].strip(_PLAIN_EDGE)):
+        if w and (not w.isalpha() or w != seen[k].strip(_PLAIN_EDGE) or (_UNLIKELY.search(w) and w not in model.known)):
             word = _NOISE.sub("", seen[k].lower()).strip(_PLAIN_EDGE)
-            if _disguised(word):
+            if _disguised(word, model.known):
                 said = model.read(word)
                 if said and said != w:
                     read[k] = said

@@ -98,3 +98,11 @@ def test_disguises_of_any_length_are_read(spark, chars):
     assert "".join(spaced) == bare and any(w.startswith("idiot") for w in spaced)
     assert run == ["idiot"] and "idiot" in joined and "idiot" in hyphens
     assert "".join(long) == bare * 40 and sum(w.startswith("idiot") for w in long) >= 35
+
+
+def test_lower_case_words_of_letters_are_read(spark, chars):
+    """Look-alike letters and doubled letters pass through the scoring, frequent words stay."""
+    lookalike, capital, doubled, both, plain = readings(spark, chars, [
+        "what an idi\u043et", "What an IDI\u041eT", "what an iiddioott he is", "a mm\u043er\u043en", " ".join(sorted(chars.known))])
+    assert lookalike == capital == doubled == ["idiot"] and both == ["moron"]
+    assert len(chars.known) > 5 and plain == []
