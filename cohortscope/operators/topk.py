@@ -74,16 +74,20 @@ def top_k_measures(
 
     The measure is summed as a decimal, so the total and the ranking do not depend on the
     order in which partial sums meet. Sum and mean are then rounded to ``digits`` decimals
-    (the dialect's AVG keeps 4).
+    (the dialect's AVG keeps 4). A key with a value too large for the decimal (1e20 and
+    beyond, infinite) is summed as a double.
     """
     f = restrict(facts, facts_period, ts)
     if where is not None:
         f = f.filter(where)
     exact = F.col(measure).try_cast(SUM_TYPE)
-    total = F.sum(exact).cast("double")
+    plain = F.col(measure).try_cast("double")
+    large = F.coalesce(F.bool_or(exact.isNull() & plain.isNotNull()), F.lit(False))
+    total = F.when(large, F.sum(plain)).otherwise(F.sum(exact).cast("double"))
+    n = F.when(large, F.count(plain)).otherwise(F.count(exact))
     per_key = f.groupBy(fk).agg(
         dround(total, digits).alias(f"total_{measure}"),
-        dround(F.try_divide(total, F.count(exact)), digits).alias(f"avg_{measure}"),
+        dround(F.try_divide(total, n), digits).alias(f"avg_{measure}"),
         F.count(F.lit(1)).alias("record_cnt"),
     )
     out = _label_and_rank(per_key, dim, fk, pk, label, f"total_{measure}", k, dim_period, dim_ts)

@@ -84,3 +84,15 @@ def test_top_k_with_periods_on_both_sides(spark):
     )
     # q3's votes are outside the fact period; q2 is outside the question period
     assert rows(out) == [(1, "q1", 2)]
+
+
+def test_top_measures_keep_values_beyond_the_decimal(spark):
+    from cohortscope.operators.topk import top_k_measures
+
+    facts = spark.createDataFrame(
+        [(1, 1e21), (1, 2e21), (1, None), (2, 5.5), (2, 1.5), (3, float("inf")), (3, 1.0), (4, None)],
+        "question_id long, opened_times double")
+    dim = spark.createDataFrame([(k, f"q{k}") for k in (1, 2, 3, 4)], "id long, question_text string")
+    got = [tuple(r) for r in top_k_measures(facts, dim).collect()]
+    inf = float("inf")
+    assert got == [(3, "q3", inf, inf, 2), (1, "q1", 3e21, 1.5e21, 3), (2, "q2", 7.0, 3.5, 2), (4, "q4", None, None, 1)]
