@@ -27,9 +27,14 @@ def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter and texts that resemble no language of the corpus."""
+    """Drop texts without a letter and texts that resemble no language of the corpus.
+
+    Where no row names a language there is nothing to resemble: all texts with a letter stay.
+    """
     common.prepare(spark)
     profiles = language.train_profiles(docs)
+    if not profiles.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     judged = language.identify(whole, profiles, ["row"], "text", text_in="row")
     known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_COSINE)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cohortscope.llm import common
 from cohortscope.llm.catalog import table
@@ -70,3 +72,11 @@ def test_odd_and_empty_tables(spark):
 
 def test_stages_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "mixing", "tokens"]
+
+
+def test_texts_stay_where_no_row_names_a_language(spark):
+    docs = odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, docs, SF)
+    assert kept.dtypes == docs.dtypes
+    want = [r for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert len(want) == 7 and sorted(map(str, kept.collect())) == sorted(map(str, want))
