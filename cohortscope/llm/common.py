@@ -74,15 +74,19 @@ def fold_is(doc_id: Column, parts: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(crc, F.lit(parts)) == remainder, F.lit(False))
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[str], out: str, total: str | None = None,
+                few_groups: bool = True) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... in ``order`` within each ``group`` (``[]``: all rows).
 
+    ``total`` names a further column for the number of rows of the group.
+
     No group passes through one task: rows are range-partitioned on group and order, so a
     hot group spreads over many partitions; each (partition, group) piece is numbered where
     it lies and shifted by the sizes of the group's earlier pieces. The table of pieces has
-    at most (partitions + groups) rows, and groups must be of a bounded number (sources), so
-    it is broadcast and the rows are not moved again. Rows equal in all of ``group`` and
-    ``order`` are numbered in no particular order among themselves.
+    at most (partitions + groups) rows. Where groups are of a bounded number (sources), it is
+    broadcast and the rows are not moved again; with ``few_groups=False`` Spark chooses the
+    join by the table's size, and a shuffled one deals by piece, which is even. Rows equal in
+    all of ``group`` and ``order`` are numbered in no particular order among themselves.
     """
     keys = [*group, *order]
     laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -95,10 +99,12 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str) ->
     earlier = (Window.partitionBy(*gs) if gs else Window.partitionBy(F.lit(0))).orderBy("_p") \
         .rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    if total:
+        pieces = pieces.withColumn(total, F.sum("_rows").over(Window.partitionBy(*gs) if gs else Window.partitionBy(F.lit(0))))
     same = F.col("_piece") == F.col("_p")
     for k, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
-    return laid.join(F.broadcast(pieces), same).withColumn(
+    return laid.join(F.broadcast(pieces) if few_groups else pieces, same).withColumn(
         out, F.col("_shift") + F.col("_mid") - F.col("_first")
     ).drop("_mid", "_piece", "_p", "_first", "_rows", "_shift", *gs)
 
