@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscope.llm import chat, common, exact_dedup, language, maxent_lm, merkle, mixing, near_dedup, phrase_index, sharding, token_files, toxicity
+from cohortscope.llm import chat, common, divergence, exact_dedup, language, maxent_lm, merkle, mixing, near_dedup, phrase_index, sharding, token_files, toxicity
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARDS = 24
@@ -90,6 +90,10 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(tokens)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
     cut = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_content_sort_dedup": op9_content_sort_dedup,
     "op10_token_parquet": op10_token_parquet,
+    "op11_source_divergence": op11_source_divergence,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -115,6 +120,7 @@ ORACLES: dict[str, str] = {
     "op7_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op5_chat_parts": chat.ORACLE_SQL,
     "op9_content_sort_dedup": exact_dedup.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
 

@@ -1,0 +1,106 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cohortscope.llm import divergence, perfect_hash
+from helpers import lowered, no_docs, odd_docs, shipped  # noqa: F401
+
+
+def expected(rows, min_docs, top):
+    """rows: (lang, source, text)."""
+    docs = [(a or "", b or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered(t))) for a, b, t in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        held = Counter(t for d in own for t in set(d[2]))
+        kept = sorted(t for t, n in held.items() if n >= min_docs)
+        counts = {s: Counter(t for d in own if d[1] == s for t in d[2]) for s in {d[1] for d in own}}
+
+        def shares(c):
+            total = sum(c[t] for t in kept)
+            return {t: 1 + 10**9 * (c[t] + 5) // (total + 5 * len(kept)) for t in kept}
+
+        p = {s: shares(c) for s, c in counts.items()}
+        q = shares(sum(counts.values(), Counter()))
+        for s in p:
+            pairs = [(sum(abs(p[s][t] - p[o][t]) for t in kept), o) for o in p if o != s]
+            terms = [(p[s][t] - q[t], t) for t in kept if counts[s][t] and p[s][t] > q[t]]
+            for part, found, last in (("pair", pairs, None), ("term", terms, top)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, i, v, r + 1) for r, (v, i) in enumerate(found[:last])]
+    return sorted(out)
+
+
+def check(docs, min_docs, top=50, **kw):
+    rows = [(r.lang, r.source, r.text) for r in docs.collect()]
+    got = sorted(map(tuple, divergence.divergence(docs, min_docs, top, **kw).collect()))
+    assert got == expected(rows, min_docs, top)
+    return got
+
+
+def made_up(spark, n, n_sources, seed=5):
+    """A third of all rows in one source; one language without frequent terms."""
+    rnd = random.Random(seed)
+    words = [f"{c}é{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200) for c in "xY"]
+    rows = []
+    for k in range(n):
+        source = "hot" if k % 3 == 0 else f"s{rnd.randrange(n_sources)}"
+        text = " ".join(rnd.choices(words, weights=range(1, len(words) + 1), k=rnd.randrange(1, 60)))
+        rows.append((rnd.choice(["en", "en", "en", "de"]), source, text))
+    rows += [("rare", "a", "never twice"), ("rare", "b", None), ("rare", "c", "other words")]
+    return spark.createDataFrame(rows, "lang string, source string, text string").repartition(4)
+
+
+def test_odd_rows_against_brute_force(spark):
+    check(odd_docs(spark), 1)
+    check(odd_docs(spark), 2, top=2)
+
+
+def test_hot_source_and_language_without_terms(spark):
+    got = check(made_up(spark, 300, 9), 20, top=5)
+    assert ("rare", "a", "pair", "b", 0, 1) in got
+
+
+def test_bounds_change_nothing(spark, monkeypatch):
+    """Several rounds of hashes, full dense slots, several blocks of sources and of shards."""
+    for name, value in (("SHARD_TERMS", 8), ("DENSE_SLOTS", 300), ("SOURCE_BLOCK", 3), ("WIDE", 2)):
+        monkeypatch.setattr(divergence, name, value)
+    check(made_up(spark, 200, 12), 5, round_bytes=3000)
+
+
+def test_share_is_exact_beyond_long_products(spark):
+    n, total, terms = 3 * 10**14 + 7, 10**15 + 1, 12345
+    (row,) = spark.range(1).select(divergence.share(
+        F.lit(n).cast("long"), F.lit(total).cast("long"), F.lit(terms).cast("long")).alias("p")).collect()
+    assert row.p == 1 + 10**9 * (n + 5) // (total + 5 * terms)
+
+
+def test_empty_table(spark):
+    assert divergence.divergence(no_docs(spark)).collect() == []
+
+
+def test_shards_as_spark_deals_them(spark):
+    words = ["a", "straße", "x" * 100, "日本", ""]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(7))).collect()
+    assert perfect_hash.shards_of([w.encode() for w in words], 7).tolist() == [r[0] for r in rows]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.text(max_size=8), min_size=1, max_size=300), st.sets(st.text(max_size=8), max_size=50))
+def test_perfect_and_verified(words, strangers):
+    words = sorted(words)
+    seed, displaced, slot = perfect_hash.build([w.encode() for w in words])
+    assert sorted(slot) == list(range(len(words)))
+    placed = [""] * len(words)
+    for w, s in zip(words, slot):
+        placed[s] = w
+    shards = perfect_hash.Shards(1, np.array([0]), np.array([seed]), np.array([len(words)]), displaced, pa.array(placed))
+    asked = sorted(words) + sorted(strangers - set(words))
+    found = shards.lookup(pa.array(asked, pa.string()))
+    assert [int(s) for s in found] == [placed.index(w) if w in words else -1 for w in asked]
