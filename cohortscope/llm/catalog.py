@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscope.llm import chat, common, divergence, exact_dedup, language, maxent_lm, merkle, mixing, near_dedup, phrase_index, sharding, token_files, toxicity
+from cohortscope.llm import chat, common, divergence, exact_dedup, language, maxent_lm, merkle, mixing, near_dedup, phrase_index, sharding, token_files, toxicity, warc
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARDS = 24
@@ -94,6 +94,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{common.shared_dir(spark)}/tables/warc-{uuid.uuid4().hex}"
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
     cut = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_content_sort_dedup": op9_content_sort_dedup,
     "op10_token_parquet": op10_token_parquet,
     "op11_source_divergence": op11_source_divergence,
+    "op12_warc": op12_warc,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -121,6 +128,7 @@ ORACLES: dict[str, str] = {
     "op5_chat_parts": chat.ORACLE_SQL,
     "op9_content_sort_dedup": exact_dedup.ORACLE_SQL,
     "op11_source_divergence": divergence.ORACLE_SQL,
+    "op12_warc": warc.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
 
