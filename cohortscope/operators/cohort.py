@@ -130,27 +130,45 @@ def per_member_activity(
     return joined.agg(*cols)
 
 
+MASK_SETS = 62  # sets that one mask column marks
+
+
 def cohort_overlap(sets: Sequence[tuple[DataFrame, str]], name: str = "common_user_cnt") -> DataFrame:
     """C5 number of distinct users present in every set (each already restricted).
 
-    The first set's distinct keys are semi-joined with each other set's distinct keys.
+    One shuffle for any number of sets: all keys are stacked with the bit of their set, and
+    the bits are ORed per user. The OR is partially aggregated before the shuffle, so a user
+    with a third of all rows sends one row per partition, and no set needs to be distinct.
+    A user counts when all bits are set. NULL is no user. Sets beyond ``MASK_SETS`` take
+    further mask columns.
     """
-    first_df, first_key = sets[0]
-    acc = first_df.select(F.col(first_key).alias("_k")).distinct()
-    for df, key in sets[1:]:
-        acc = acc.join(df.select(F.col(key).alias("_k")).distinct(), "_k", "left_semi")
-    return acc.agg(F.count(F.lit(1)).alias(name))
+    if not sets:
+        raise ValueError("an intersection needs at least one set")
+    words = range(-(-len(sets) // MASK_SETS))
+    stacked = None
+    for k, (df, key) in enumerate(sets):
+        own = df.select(F.col(key).alias("_k"), *[
+            F.lit(1 << k % MASK_SETS if k // MASK_SETS == w else 0).cast("long").alias(f"_m{w}") for w in words])
+        own = own.filter(F.col("_k").isNotNull())
+        stacked = own if stacked is None else stacked.unionByName(own)
+    masks = stacked.groupBy("_k").agg(*[F.bit_or(f"_m{w}").alias(f"_m{w}") for w in words])
+    for w in words:
+        full = (1 << min(MASK_SETS, len(sets) - w * MASK_SETS)) - 1
+        masks = masks.filter(F.col(f"_m{w}") == F.lit(full).cast("long"))
+    return masks.agg(F.count(F.lit(1)).alias(name))
 
 
 def linked_members(
     links: DataFrame, targets: DataFrame, link_key: str = "question_piece_id",
-    target_key: str = "id", user: str = "user_id",
+    target_key: str = "id", user: str = "user_id", distinct: bool = True,
 ) -> DataFrame:
     """Users of ``links`` whose linked row exists in ``targets`` (a semi-join on the
-    link key), as distinct user keys. Used to build one set of ``cohort_overlap``. A hot
-    link key is spread over several partitions."""
+    link key), as distinct user keys. ``distinct=False`` leaves a user as often as distinct
+    linked rows name them, without a shuffle by user: enough for a set of
+    ``cohort_overlap``. A hot link key is spread over as many tasks as its share asks."""
     t = targets.select(F.col(target_key).alias(link_key)).distinct()
-    return salted_semi_join(links, t, link_key, user).select(user).distinct()
+    users = salted_semi_join(links, t, link_key, user).select(user)
+    return users.distinct() if distinct else users
 
 
 def participation_and_intensity(

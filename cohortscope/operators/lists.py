@@ -49,6 +49,20 @@ def first_last_by_key(
     )
 
 
+def first_per_list(
+    df: DataFrame,
+    key: str = "user_id",
+    list_col: str = "attendance_date_list",
+    name: str = "start_at",
+    instants: bool = False,
+) -> DataFrame:
+    """(key, first entry) of every stored list with an element: dates, or instants of lists
+    of date-times. A key with several lists has several rows; nothing is shuffled."""
+    entries = (list_timestamps if instants else list_dates)(list_col)
+    rows = df.select(F.col(key), entries.alias("entries")).filter(F.size("entries") > 0)
+    return rows.select(key, F.array_min("entries").alias(name))
+
+
 def first_timestamp_by_key(
     df: DataFrame,
     key: str = "user_id",

@@ -1,8 +1,11 @@
 """Retention after a first event (R1-R3).
 
 A cohort member's start day is the day of their first event in the period. Visits come
-from a JSON date list per user and count only when strictly after the start day, so
-day 0 never counts.
+from a JSON date list per user, or as rows (one per visit, ``visit_ts`` given), and count only
+when strictly after the start day, so day 0 never counts.
+
+Visit rows are met by a range join on day bins (``operators.ranges``): visits move once, as a
+mask of days per user and bin, and only bins that a member's bands reach are met.
 
 No list is exploded: the start days (one row per member) are left-joined to the list
 rows, each list is reduced in place with higher-order functions (``filter`` /
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope.functions.exprs import list_dates, pct
+from cohortscope.operators.ranges import any_day, day_number, first_day, window_masks
 from cohortscope.operators.timing import first_event
 from cohortscope.plans.period import Period
 
@@ -77,6 +81,20 @@ def first_revisit(
     )
 
 
+def _reach(bands: Sequence[Band]) -> int:
+    """Days after the start that a window must hold for ``bands``: up to every band's end,
+    and up to the day before an open band."""
+    return max(1, *[(hi if hi is not None else lo - 1) for lo, hi, _ in bands])
+
+
+def _by_first(fr: DataFrame, hits, base_name: str) -> DataFrame:
+    cols = [F.count(F.lit(1)).alias(base_name)]
+    for name, condition in hits:
+        hit = F.count_if(condition)
+        cols += [hit.alias(name), pct(hit, F.count(F.lit(1))).alias(f"{name}_rate")]
+    return fr.agg(*cols)
+
+
 def retention_by_first_revisit(
     starts: DataFrame,
     visits: DataFrame,
@@ -84,19 +102,26 @@ def retention_by_first_revisit(
     user: str = "user_id",
     list_col: str = "attendance_date_list",
     base_name: str = "total_voted_users",
+    visit_ts: str | None = None,
 ) -> DataFrame:
     """R1 / R2: members whose *first* revisit falls in each band, with rates.
 
     Disjoint bands (R1) give the interval view, bands all starting at day 1 (R2) the
-    cumulative view.
+    cumulative view. ``visits`` holds one JSON list per user (``list_col``), or with
+    ``visit_ts`` one row per visit; then a first revisit beyond every closed band is only
+    known to be later, which is all that an open band asks.
     """
-    fr = first_revisit(starts, visits, user, list_col)
-    diff = F.datediff("first_revisit_date", "start_date")
-    cols = [F.count(F.lit(1)).alias(base_name)]
-    for lo, hi, name in bands:
-        hit = F.count_if(_in_band(diff, lo, hi))
-        cols += [hit.alias(name), pct(hit, F.count(F.lit(1))).alias(f"{name}_rate")]
-    return fr.agg(*cols)
+    if visit_ts is None:
+        fr = first_revisit(starts, visits, user, list_col)
+        diff = F.datediff("first_revisit_date", "start_date")
+        return _by_first(fr, [(name, _in_band(diff, lo, hi)) for lo, hi, name in bands], base_name)
+    days, is_open = _reach(bands), any(hi is None for _, hi, _ in bands)
+    seen = window_masks(starts, visits, user, "start_date", visit_ts, days, last=is_open)
+    diff = first_day(days)
+    later = diff.isNull() & (F.col("_last") - day_number("start_date") > days) if is_open else None
+    return _by_first(seen, [
+        (name, F.coalesce(_in_band(diff, lo, hi), F.lit(False)) | (later if hi is None else F.lit(False)))
+        for lo, hi, name in bands], base_name)
 
 
 def retention_by_any_visit(
@@ -106,19 +131,28 @@ def retention_by_any_visit(
     user: str = "user_id",
     list_col: str = "attendance_date_list",
     base_name: str = "total_voted_users",
+    visit_ts: str | None = None,
 ) -> DataFrame:
     """R3: members with *any* visit in each band (after the start day), with rates.
 
-    A start without a user is no member (``COUNT(DISTINCT user_id)``).
+    A start without a user is no member (``COUNT(DISTINCT user_id)``). ``visits`` as for
+    :func:`retention_by_first_revisit`.
     """
-    flags = []
-    for lo, hi, name in bands:
-        hit = F.exists("_dates", _visit_in_band(lo, hi))
-        flags.append(F.max(hit.cast("int")).alias(f"_{name}"))
-    joined = _visits(starts, visits, user, list_col).groupBy(user, "start_date").agg(*flags)
+    if visit_ts is None:
+        flags = []
+        for lo, hi, name in bands:
+            hit = F.exists("_dates", _visit_in_band(lo, hi))
+            flags.append(F.max(hit.cast("int")).alias(f"_{name}"))
+        flagged = _visits(starts, visits, user, list_col).groupBy(user, "start_date").agg(*flags)
+        hits = [(name, F.col(f"_{name}") == 1) for _, _, name in bands]
+    else:
+        is_open = any(hi is None for _, hi, _ in bands)
+        flagged = window_masks(starts, visits, user, "start_date", visit_ts, _reach(bands), last=is_open)
+        hits = [(name, F.col("_last") - day_number("start_date") >= max(lo, 1) if hi is None else any_day(lo, hi))
+                for lo, hi, name in bands]
     n = F.count(user)
     cols = [n.alias(base_name)]
-    for _, _, name in bands:
-        hit = F.count_if(F.col(f"_{name}") == 1)
+    for name, condition in hits:
+        hit = F.count_if(condition & F.col(user).isNotNull())
         cols += [hit.alias(name), pct(hit, n).alias(f"{name}_rate")]
-    return joined.agg(*cols)
+    return flagged.agg(*cols)

@@ -695,8 +695,8 @@ def _(b):
     pieces = b.question_pieces().filter(ORDER_WINDOW.mask("created_at"))
     links = b.user_candidates().filter(SHIP_WINDOW.mask("created_at"))
     return cohort.cohort_overlap([
-        (cohort.cohort(b.votes(), period=VOTE_DAY), "user_id"),
-        (cohort.linked_members(links, pieces), "user_id"),
+        (b.votes().filter(VOTE_DAY.mask("created_at")), "user_id"),
+        (cohort.linked_members(links, pieces, distinct=False), "user_id"),
     ])
 
 
@@ -880,8 +880,8 @@ def _with_local(body_with_ctes: str, *bindings: str) -> str:
     "elapsed", strict=True, share=False, avg_digits=None), "first_actions", "second_actions"))
 def _(b):
     return timing.time_to_event(
-        timing.first_event(b.first_actions(), period=ORDERS_ALL),
-        timing.first_event(b.second_actions(), period=ORDERS_ALL, name="end_at"),
+        timing.event_times(b.first_actions(), period=ORDERS_ALL),
+        timing.event_times(b.second_actions(), period=ORDERS_ALL, name="end_at"),
         unit="elapsed", strict=True, avg_digits=None,
     )
 
@@ -895,26 +895,16 @@ _FIRST_SPEND_SQL = (
 )
 
 
-def _first_attendance(b: Bindings, as_timestamp: bool) -> DataFrame:
-    first = lists.first_last_by_key(b.attendance(), first_name="start_at").select(
-        "user_id", "start_at"
-    )
-    if as_timestamp:
-        first = first.select("user_id", F.col("start_at").cast("timestamp_ntz").alias("start_at"))
-        return first.filter(ORDER_WINDOW.mask("start_at"))
-    return first.filter(ORDER_WINDOW.mask("start_at", as_type="date"))
-
-
 @register("time_attendance_to_spend_days", "T1", _with_local(_timing_sql(
     f"SELECT * FROM ({_FIRST_ATTENDANCE_SQL}) WHERE {ORDER_WINDOW.sql('start_at', 'DATE')}",
     _FIRST_SPEND_SQL.format(expr="CAST(min(created_at) AS DATE)", extra=""),
     "calendar", strict=False, share=False, avg_digits=2), "attendance_dates", "point_history"))
 def _(b):
     return timing.time_to_event(
-        _first_attendance(b, as_timestamp=False),
-        timing.first_event(b.point_history(), where=F.col("delta_point") < 0, as_date=True,
+        lists.first_per_list(b.attendance()),
+        timing.event_times(b.point_history(), where=F.col("delta_point") < 0, as_date=True,
                            name="end_at"),
-        unit="calendar",
+        unit="calendar", first_start=ORDER_WINDOW.mask("start_at", as_type="date"),
     )
 
 
@@ -924,10 +914,11 @@ def _(b):
     _FIRST_SPEND_SQL.format(expr="min(created_at)", extra=""),
     "elapsed", strict=False, share=True, avg_digits=2), "attendance_dates", "point_history"))
 def _(b):
+    first = lists.first_per_list(b.attendance())
     return timing.time_to_event(
-        _first_attendance(b, as_timestamp=True),
-        timing.first_event(b.point_history(), where=F.col("delta_point") < 0, name="end_at"),
-        unit="elapsed", share=True,
+        first.select("user_id", F.col("start_at").cast("timestamp_ntz").alias("start_at")),
+        timing.event_times(b.point_history(), where=F.col("delta_point") < 0, name="end_at"),
+        unit="elapsed", share=True, first_start=ORDER_WINDOW.mask("start_at"),
     )
 
 
@@ -939,8 +930,8 @@ def _(b):
     "first_attendance_times", "point_history"))
 def _(b):
     return timing.time_to_event(
-        lists.first_timestamp_by_key(b.attendance_times()),
-        timing.first_event(b.point_history(), where=F.col("delta_point") < 0, name="end_at"),
+        lists.first_per_list(b.attendance_times(), instants=True),
+        timing.event_times(b.point_history(), where=F.col("delta_point") < 0, name="end_at"),
         unit="hours", share=True, names=("user_cnt", "avg_hours", "min_hours", "max_hours"),
     )
 
@@ -953,8 +944,8 @@ def _(b):
     "calendar", strict=False, share=True, avg_digits=2), "votes", "point_history"))
 def _(b):
     return timing.time_to_event(
-        timing.first_event(b.votes(), period=VOTE_WINDOW),
-        timing.first_event(b.point_history(), period=VOTE_WINDOW,
+        timing.event_times(b.votes(), period=VOTE_WINDOW),
+        timing.event_times(b.point_history(), period=VOTE_WINDOW,
                            where=F.col("delta_point") < 0, name="end_at"),
         unit="calendar", share=True,
     )
@@ -970,10 +961,9 @@ def _(b):
     signups = (
         b.users().filter(SIGNUP_WINDOW.mask("created_at"))
         .select(F.col("id").alias("user_id"), F.col("created_at").alias("start_at"))
-        .distinct()
     )
     return timing.time_to_event(
-        signups, timing.first_event(b.votes(), period=SIGNUP_VOTE_WINDOW, name="end_at"),
+        signups, timing.event_times(b.votes(), period=SIGNUP_VOTE_WINDOW, name="end_at"),
         unit="elapsed",
     )
 
@@ -1031,6 +1021,56 @@ def _(b):
     return retention.retention_by_any_visit(starts, b.attendance(), retention.ANY_VISIT_BANDS)
 
 
+def _rows_retention_sql(starts: str, visits: str, bands, any_visit: bool, *bindings: str) -> str:
+    """Over visit rows: each member's visit days as a list, bands as tests on the list."""
+    cols = []
+    for lo, hi, name in bands:
+        within = f"x >= {lo}" + ("" if hi is None else f" AND x <= {hi}")
+        hit = (f"count(*) FILTER (WHERE len(list_filter(after, lambda x: {within})) > 0)" if any_visit
+               else f"count(*) FILTER (WHERE {within.replace('x ', 'list_min(after) ')})")
+        cols += [f"{hit} AS {name}", f"{sql_pct(hit, 'count(*)')} AS {name}_rate"]
+    return _with_local(
+        f"starts AS ({starts}), lists AS (SELECT user_id, list(DISTINCT CAST(created_at AS DATE)) AS days "
+        f"FROM {visits} GROUP BY user_id), windows AS (SELECT list_filter(list_transform(coalesce(days, []), "
+        "lambda d: d - start_date), lambda x: x > 0) AS after FROM starts LEFT JOIN lists USING (user_id)) "
+        f"SELECT count(*) AS total_voted_users, {', '.join(cols)} FROM windows", *bindings)
+
+
+_ACTION_STARTS = ("SELECT user_id, CAST(min(created_at) AS DATE) AS start_date FROM first_actions "
+                  f"WHERE {RETENTION_WINDOW.sql('created_at')} GROUP BY user_id")
+_VOTE_STARTS = ("SELECT user_id, CAST(min(created_at) AS DATE) AS start_date FROM votes "
+                f"WHERE status = 'purchase' AND {EVENTS_ALL.sql('created_at')} GROUP BY user_id")
+_ROW_RETENTION = {  # name: (SURVEY id, bands, any visit counts)
+    "retention_interval": ("R1", retention.INTERVAL_BANDS, False),
+    "retention_cumulative": ("R2", retention.CUMULATIVE_BANDS, False),
+    "retention_any_visit": ("R3", retention.ANY_VISIT_BANDS, True),
+}
+
+
+def _retention_of_rows(starts: DataFrame, visits: DataFrame, bands, any_visit: bool) -> DataFrame:
+    run = retention.retention_by_any_visit if any_visit else retention.retention_by_first_revisit
+    return run(starts, visits, bands, visit_ts="created_at")
+
+
+def _register_row_retention(name: str, operator: str, bands, any_visit: bool) -> None:
+    # Visits as rows of the event log: the member starts with the first purchase.
+    @register(f"{name}_events", operator, _rows_retention_sql(_VOTE_STARTS, "votes", bands, any_visit, "votes"))
+    def _(b):
+        starts = retention.start_days(b.votes().filter(F.col("status") == "purchase"), period=EVENTS_ALL)
+        return _retention_of_rows(starts, b.votes(), bands, any_visit)
+
+    # Visits as order rows: the same members and days as the JSON lists of `attendance`.
+    @register(f"{name}_visits", operator, _rows_retention_sql(
+        _ACTION_STARTS, "payments", bands, any_visit, "first_actions", "payments"))
+    def _(b):
+        starts = retention.start_days(b.first_actions(), period=RETENTION_WINDOW)
+        return _retention_of_rows(starts, b.payments(), bands, any_visit)
+
+
+for _name, _made in _ROW_RETENTION.items():
+    _register_row_retention(_name, *_made)
+
+
 # ================================================================== eligibility (E)
 _CLASS_SQL = f"SELECT group_id FROM users GROUP BY group_id HAVING count(DISTINCT id) >= {MIN_CLASS}"
 _SCHOOL_SQL = f"SELECT id AS school_id FROM schools WHERE student_count >= {MIN_SCHOOL}"
