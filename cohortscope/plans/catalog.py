@@ -169,7 +169,7 @@ def _(b):
     "SELECT count(DISTINCT id) AS total_cnt, count(DISTINCT group_id) AS group_cnt FROM users",
     "users"))
 def _(b):
-    return profile.distinct_count(b.users(), {"total_cnt": "id", "group_cnt": "group_id"})
+    return profile.distinct_count(b.users(), {"total_cnt": "id", "group_cnt": "group_id"}, bitmaps=True)
 
 
 @register("distinct_vote_status", "P7", sql_with("SELECT DISTINCT status FROM votes", "votes"))
@@ -319,7 +319,7 @@ def _(b):
     "SELECT count(DISTINCT school_id) AS school_cnt, count(DISTINCT id) AS group_cnt FROM groups",
     "groups"))
 def _(b):
-    return profile.distinct_count(b.groups(), {"school_cnt": "school_id", "group_cnt": "id"})
+    return profile.distinct_count(b.groups(), {"school_cnt": "school_id", "group_cnt": "id"}, bitmaps=True)
 
 
 @register("distinct_voters_all_time", "P6", sql_with(
