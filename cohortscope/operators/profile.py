@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegralType
 from cohortscope.functions.exprs import list_length, null_count
 from cohortscope.plans.period import Period, restrict
 
-BITMAP_SHIFT = 15  # a bitmap of Spark's holds 2^15 bits
+WORD_SHIFT = 6  # a word of a bitmap holds 2^6 bits
 
 
 def browse(df: DataFrame) -> DataFrame:
@@ -65,54 +65,61 @@ def distinct_count(
     cols: Mapping[str, str],
     period: Period | None = None,
     ts_col: str = "created_at",
-    bitmaps: bool = False,
+    bitmaps: bool | None = None,
 ) -> DataFrame:
     """P6 exact ``COUNT(DISTINCT col)`` for each ``{output name: column}``.
 
-    Several distinct counts plan as one Expand plus a two-level aggregate; each level
-    is partially aggregated, so a hot value does not land in one task. ``bitmaps=True``
-    counts integer columns through :func:`distinct_bitmaps` instead: no Expand, and bits
-    move, not values. Right for ids numbered densely; ids spread thinly over 64 bits (hashes)
-    would take a bitmap each and are better counted without.
+    Integer columns are counted through :func:`distinct_bitmaps`: one scan, no Expand, and
+    bits move, not values. Where another type is among them (or ``bitmaps=False``), the counts
+    plan as Spark's two-level aggregate, several as one Expand; each level is partially
+    aggregated. Either way a hot value does not land in one task.
     """
     df = restrict(df, period, ts_col)
+    if bitmaps is None:
+        bitmaps = all(isinstance(df.schema[c].dataType, IntegralType) for c in cols.values())
     if bitmaps:
         return count_bitmaps(distinct_bitmaps(df, cols), list(cols))
     return df.agg(*[F.countDistinct(c).alias(name) for name, c in cols.items()])
 
 
 def distinct_bitmaps(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
-    """Mergeable state of exact distinct counts: ``name, bucket, bitmap`` for each
+    """Mergeable state of exact distinct counts: ``name, word, bits`` for each
     ``{name: integer column}``.
 
-    A bucket stands for 32,768 neighbouring ids, its bitmap has a bit per id. Bitmaps are
-    built where the rows lie and ORed after the shuffle by (name, bucket), so a hot id or a
-    hot bucket sends one bitmap a task. States of parts of a table (days, say) union to the
-    state of the whole; :func:`merge_bitmaps` makes them small again. NULLs are not counted.
+    A word stands for 64 neighbouring ids, ``bits`` (long) has a bit per id. One scan stacks
+    the columns; words are ORed in a hash table where the rows lie and again after the shuffle
+    by (name, word), so densely numbered ids move a 64th of their number, a hot id one word a
+    task, and thinly spread ids (hashes) no more than their values would. States of parts of a
+    table (days, say) union to the state of the whole; :func:`merge_bitmaps` makes them small
+    again. NULLs are not counted.
+
+    Words of a long were measured against Spark's 4 kB bitmaps (``bitmap_construct_agg``):
+    those cannot be updated in a hash table, so every row is sorted first, and each lone id
+    costs 4 kB.
     """
-    parts = None
-    for name, col in cols.items():
+    for col in cols.values():
         kind = df.schema[col].dataType
         if not isinstance(kind, IntegralType):
             raise TypeError(f"{col} is {kind.simpleString()}, bitmaps count integers")
-        ids = df.select(F.col(col).cast("long").alias("_id")).filter(F.col("_id").isNotNull())
-        # Floor division by a shift: exact for every long, negative ones too.
-        own = ids.select(
-            F.lit(name).alias("name"), F.shiftright("_id", BITMAP_SHIFT).alias("bucket"),
-            F.col("_id").bitwiseAND(F.lit((1 << BITMAP_SHIFT) - 1).cast("long")).alias("bit"))
-        own = own.groupBy("name", "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-        parts = own if parts is None else parts.unionByName(own)
-    return parts
+    pairs = [(F.lit(k).alias("_name"), F.col(col).cast("long").alias("_id")) for k, col in enumerate(cols.values())]
+    ids = df.select(*pairs[0]) if len(pairs) == 1 else df.select(F.inline(F.array(*[F.struct(*p) for p in pairs])))
+    ids = ids.filter(F.col("_id").isNotNull())
+    place = F.col("_id").bitwiseAND(F.lit((1 << WORD_SHIFT) - 1).cast("long")).cast("int")
+    words = ids.select(
+        "_name", F.shiftright("_id", WORD_SHIFT).alias("word"),  # a shift floors negative ids too
+        F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("_bit"))
+    state = words.groupBy("_name", "word").agg(F.bit_or("_bit").alias("bits"))
+    return state.select(F.element_at(F.array(*map(F.lit, cols)), F.col("_name") + 1).alias("name"), "word", "bits")
 
 
 def merge_bitmaps(states: DataFrame) -> DataFrame:
-    """One row per (name, bucket) of united :func:`distinct_bitmaps` states."""
-    return states.groupBy("name", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    """One row per (name, word) of united :func:`distinct_bitmaps` states."""
+    return states.groupBy("name", "word").agg(F.bit_or("bits").alias("bits"))
 
 
 def count_bitmaps(state: DataFrame, names: Sequence[str]) -> DataFrame:
     """The distinct counts of a merged state, one column per name (0 where it has no id)."""
-    ones = F.bitmap_count("bitmap")
+    ones = F.bit_count("bits").cast("long")
     return state.agg(*[
         F.coalesce(F.sum(F.when(F.col("name") == n, ones)), F.lit(0).cast("long")).alias(n) for n in names])
 
