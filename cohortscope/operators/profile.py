@@ -12,13 +12,14 @@ from pyspark.sql.types import IntegralType
 
 from cohortscope.functions.exprs import list_length, null_count
 from cohortscope.plans.period import Period, restrict
+from cohortscope.sources.layout import plain
 
 WORD_SHIFT = 6  # a word of a bitmap holds 2^6 bits
 
 
 def browse(df: DataFrame) -> DataFrame:
     """P1 / IO2 ``SELECT * FROM t``: the whole table, lazily (nothing is collected)."""
-    return df.select("*")
+    return plain(df)
 
 
 def preview(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> DataFrame:
@@ -27,6 +28,7 @@ def preview(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> Dat
     With ``order_by`` the preview is a top-n on those columns (TakeOrderedAndProject, one
     bounded heap per partition), so it is a function of the data; without it, any n rows.
     """
+    df = plain(df)
     if order_by:
         return df.orderBy(*order_by).limit(n)
     return df.limit(n)
@@ -194,6 +196,7 @@ def lookup(df: DataFrame, col: str, value, collation: str | None = None) -> Data
     """P9 all rows with ``col = value``; the literal is cast to the column's type (never a
     mixed-type comparison), and the binary equality is pushed to the scan. With
     ``collation`` (text columns) the comparison folds as that collation does."""
+    df = plain(df)
     dtype = df.schema[col].dataType.simpleString()
     literal = F.lit(value).cast(dtype)
     if collation is None:

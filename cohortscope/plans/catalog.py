@@ -41,7 +41,7 @@ from cohortscope.operators import (
     timing,
     topk,
 )
-from cohortscope.plans.period import Period
+from cohortscope.plans.period import Period, restrict
 from cohortscope.session import configure_once
 from cohortscope.sources.bindings import Bindings, sql_with
 from cohortscope.sources.json_lists import explode_dates
@@ -692,10 +692,10 @@ def _(b):
     f"(SELECT id FROM question_pieces WHERE {ORDER_WINDOW.sql('created_at')}))",
     "votes", "user_candidates", "question_pieces"))
 def _(b):
-    pieces = b.question_pieces().filter(ORDER_WINDOW.mask("created_at"))
-    links = b.user_candidates().filter(SHIP_WINDOW.mask("created_at"))
+    pieces = restrict(b.question_pieces(), ORDER_WINDOW, "created_at")
+    links = restrict(b.user_candidates(), SHIP_WINDOW, "created_at")
     return cohort.cohort_overlap([
-        (b.votes().filter(VOTE_DAY.mask("created_at")), "user_id"),
+        (restrict(b.votes(), VOTE_DAY, "created_at"), "user_id"),
         (cohort.linked_members(links, pieces, distinct=False), "user_id"),
     ])
 
@@ -705,7 +705,7 @@ def _(b):
     "JOIN votes a ON p.user_id = a.user_id "
     f"WHERE {SHIP_WINDOW.sql('p.created_at')}", "user_candidates", "votes"))
 def _(b):
-    cands = b.user_candidates().filter(SHIP_WINDOW.mask("created_at"))
+    cands = restrict(b.user_candidates(), SHIP_WINDOW, "created_at")
     return cohort.cohort_overlap([(cands, "user_id"), (b.votes(), "user_id")])
 
 

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortscope.sources.layout import day_column
+
 
 @dataclass(frozen=True)
 class Period:
@@ -49,8 +51,23 @@ class Period:
         return f"{column} >= {lo} AND {column} < {hi}"
 
 
+    def days(self, column: str | Column) -> Column:
+        """Predicate on the day of a time column that holds for every time in the period: what
+        a table partitioned by day prunes by. The bounds are whole days, so it keeps a little
+        more than :meth:`mask` and never less."""
+        c = F.col(column) if isinstance(column, str) else column
+        return c.between(F.lit(self.lo).cast("timestamp_ntz").cast("date"), F.lit(self.hi).cast("timestamp_ntz").cast("date"))
+
+
 def restrict(df, period: Period | None, column: str, as_type: str = "timestamp_ntz"):
-    """Filter ``df`` to ``period`` on ``column``; no period means all rows."""
+    """Filter ``df`` to ``period`` on ``column``; no period means all rows.
+
+    Where ``df`` comes from a table in the day layout, it holds ``<column>_day`` and the period
+    also selects days, so the scan prunes whole folders.
+    """
     if period is None:
         return df
+    day = day_column(column)
+    if day in df.columns:
+        df = df.filter(period.days(day))
     return df.filter(period.mask(column, as_type))

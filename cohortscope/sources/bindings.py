@@ -17,6 +17,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortscope.sources.layout import day_column, laid_out
 from cohortscope.sources.tables import read_table
 
 
@@ -25,13 +26,21 @@ def _k() -> F.Column:
     return F.get_json_object(F.col("props"), "$.k").try_cast("int")
 
 
+def _times(df: DataFrame, ts: str, name: str = "created_at") -> list[F.Column]:
+    """The time column under its logical name, and its day where the table has folders by day."""
+    day = day_column(ts)
+    return [F.col(ts).alias(name), *([F.col(day).alias(day_column(name))] if day in df.columns else [])]
+
+
 class Bindings:
     def __init__(self, spark: SparkSession, base_dir: str):
         self.spark = spark
         self.base_dir = base_dir
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.base_dir, name)
+        """The table in the session's day layout where there is one, else the plain table."""
+        found = laid_out(self.spark, name)
+        return read_table(self.spark, self.base_dir, name) if found is None else found
 
     # -- raw tables --------------------------------------------------------------
     @cached_property
@@ -56,13 +65,13 @@ class Bindings:
     def first_actions(self) -> DataFrame:
         """The first-action log for retention and timing: finished orders."""
         return self.orders.filter(F.col("o_orderstatus") == "F").select(
-            F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at")
+            F.col("o_custkey").alias("user_id"), *_times(self.orders, "o_orderdate")
         )
 
     def second_actions(self) -> DataFrame:
         """The second-action log for timing: urgent orders."""
         return self.orders.filter(F.col("o_orderpriority") == "1-URGENT").select(
-            F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at")
+            F.col("o_custkey").alias("user_id"), *_times(self.orders, "o_orderdate")
         )
 
     def votes(self) -> DataFrame:
@@ -73,7 +82,7 @@ class Bindings:
             F.col("event_id").alias("question_piece_id"),
             F.col("value").alias("opened_times"),
             F.col("event_type").alias("status"),
-            F.col("ts").alias("created_at"),
+            *_times(self.events, "ts"),
         )
 
     def questions(self) -> DataFrame:
@@ -88,7 +97,7 @@ class Bindings:
         return self.orders.select(
             F.col("o_custkey").alias("user_id"),
             F.col("o_orderpriority").alias("productId"),
-            F.col("o_orderdate").alias("created_at"),
+            *_times(self.orders, "o_orderdate"),
         )
 
     def point_history(self) -> DataFrame:
@@ -97,7 +106,7 @@ class Bindings:
         return self.events.select(
             F.col("user_id"),
             F.when(F.col("event_type") == "purchase", -k).otherwise(k).alias("delta_point"),
-            F.col("ts").alias("created_at"),
+            *_times(self.events, "ts"),
         )
 
     def friend_requests(self) -> DataFrame:
@@ -106,7 +115,7 @@ class Bindings:
             F.col("user_id").alias("send_user_id"),
             _k().cast("long").alias("receive_user_id"),
             F.col("event_type").alias("status"),
-            F.col("ts").alias("created_at"),
+            *_times(self.events, "ts"),
         )
 
     def event_receipts(self) -> DataFrame:
@@ -114,7 +123,7 @@ class Bindings:
             F.col("user_id"),
             F.col("event_id"),
             _k().alias("plus_point"),
-            F.col("ts").alias("created_at"),
+            *_times(self.events, "ts"),
         )
 
     def attendance_times(self) -> DataFrame:
@@ -197,14 +206,15 @@ class Bindings:
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("question_id"),
             (F.col("o_orderstatus") == "F").cast("int").alias("is_skipped"),
-            F.col("o_orderdate").alias("created_at"),
+            *_times(self.orders, "o_orderdate"),
         )
 
     def user_candidates(self) -> DataFrame:
-        return self.table("lineitem").select(
+        lines = self.table("lineitem")
+        return lines.select(
             F.col("l_suppkey").alias("user_id"),
             F.col("l_orderkey").alias("question_piece_id"),
-            F.col("l_shipdate").alias("created_at"),
+            *_times(lines, "l_shipdate"),
         )
 
 
