@@ -26,18 +26,52 @@ def events_per_user(df: DataFrame, user: str = "user_id", name: str = "avg_payme
     return df.agg(div(F.count(F.lit(1)), F.countDistinct(user)).alias(name))
 
 
-def monthly_activity(
-    df: DataFrame, ts: str = "created_at", user: str = "user_id",
-    rows_name: str = "payment_cnt", users_name: str = "paying_users",
+UNITS = {"week": ("year_week", iso_yearweek), "month": ("ym", month_label)}
+
+
+def activity_state(
+    df: DataFrame, unit: str, user: str = "user_id", ts: str = "created_at",
+    period: Period | None = None, n: str = "n",
+) -> DataFrame:
+    """(user, unit, n): rows per user and ISO week (``year_week``) or month (``ym``).
+
+    The mergeable state of A3 and A6: states of disjoint parts of a log (days, say) union to
+    the state of the whole, as their readers add up. So a new day is its own small state, and
+    no earlier row is read again (``sources.state`` keeps the loads). NULL users and times
+    keep rows of their own.
+    """
+    name, label = UNITS[unit]
+    return restrict(df, period, ts).groupBy(user, label(ts).alias(name)).agg(F.count(F.lit(1)).alias(n))
+
+
+def merge_states(states: DataFrame, n: str = "n") -> DataFrame:
+    """One row per key of united states."""
+    keys = [c for c in states.columns if c != n]
+    return states.groupBy(*keys).agg(F.sum(n).cast("long").alias(n))
+
+
+def monthly_activity_of(
+    state: DataFrame, user: str = "user_id", rows_name: str = "payment_cnt", users_name: str = "paying_users",
+    merged: bool = False,
 ) -> DataFrame:
-    """A3 per month: rows and distinct users."""
+    """A3 from the monthly state of any number of loads (``merged``: one row per key already)."""
+    per_user = state if merged else merge_states(state.select(user, "ym", "n"))
     return (
-        df.groupBy(month_label(ts).alias("ym"))
-        .agg(F.count(F.lit(1)).alias(rows_name), F.countDistinct(user).alias(users_name))
+        per_user.groupBy("ym")
+        .agg(F.sum("n").cast("long").alias(rows_name), F.count(user).alias(users_name))
         .orderBy("ym")
     )
 
 
+def monthly_activity(
+    df: DataFrame, ts: str = "created_at", user: str = "user_id",
+    rows_name: str = "payment_cnt", users_name: str = "paying_users",
+) -> DataFrame:
+    """A3 per month: rows and distinct users, through the monthly state (one row per user and
+    month after the first, partially aggregated shuffle)."""
+    return monthly_activity_of(activity_state(df, "month", user, ts), user, rows_name, users_name, merged=True)
+
+
 def frequency_histogram(
     df: DataFrame, user: str = "user_id", freq_name: str = "payment_cnt", users_name: str = "user_cnt"
 ) -> DataFrame:
@@ -69,14 +103,15 @@ def weekly_intensity(
     Weeks without activity are not in a user's denominator. The per-user ratio keeps 4
     decimals (integer division of the dialect), the mean is rounded to 2.
     """
-    weekly = (
-        restrict(df, period, ts)
-        .groupBy(user, iso_yearweek(ts).alias("year_week"))
-        .agg(F.count(F.lit(1)).alias("vote_cnt"))
-    )
-    per_user = weekly.groupBy(user).agg(
-        div(F.sum("vote_cnt"), F.count(F.lit(1))).alias("avg_votes_per_active_week")
-    )
+    return weekly_intensity_of(activity_state(df, "week", user, ts, period), user, name, merged=True)
+
+
+def weekly_intensity_of(
+    state: DataFrame, user: str = "user_id", name: str = "avg_votes_per_week_per_user", merged: bool = False,
+) -> DataFrame:
+    """A6 from the weekly state of any number of loads (``merged``: one row per key already)."""
+    weekly = state if merged else merge_states(state.select(user, "year_week", "n"))
+    per_user = weekly.groupBy(user).agg(div(F.sum("n"), F.count(F.lit(1))).alias("avg_votes_per_active_week"))
     # AVG of a 4-decimal value keeps 8 decimals, so only the final rounding applies.
     return per_user.agg(dround(F.avg("avg_votes_per_active_week"), 2).alias(name))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope.functions.exprs import dround, mean, pct, pct_text
@@ -26,6 +26,11 @@ def cohort(
     return restrict(df, period, ts).select(F.col(user).alias(name or user)).distinct()
 
 
+def _facts(weight: str | None) -> Column:
+    """How many facts a group of rows stands for."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
 def conversion_rate(
     base: DataFrame,
     target: DataFrame,
@@ -107,9 +112,12 @@ def per_member_activity(
     prefix: str = "send_cnt",
     members_name: str = "total_voters",
     stats: Sequence[str] = ("avg", "max", "min"),
+    weight: str | None = None,
 ) -> DataFrame:
     """C4 average / max / min fact count per member; members without facts count 0.
 
+    With ``weight`` a row of ``facts`` stands for that many facts (a rollup).
+
     The number of members leaves a NULL key out (``COUNT(user_id)``); the mean, maximum and
     minimum run over all joined rows, the NULL key's too.
     """
@@ -117,7 +125,7 @@ def per_member_activity(
     counts = (
         restrict(facts, fact_period, ts)
         .groupBy(F.col(fact_user).alias("_k"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(_facts(weight).alias("_n"))
     )
     joined = m.join(counts, "_k", "left").select("_k", F.coalesce("_n", F.lit(0)).alias("_n"))
     cols = [F.count("_k").alias(members_name)]
@@ -182,14 +190,16 @@ def participation_and_intensity(
         "total_voted_users", "event_participated_users", "event_participation_rate",
         "avg_event_cnt_per_participant",
     ),
+    weight: str | None = None,
 ) -> DataFrame:
     """C6 members, members with facts, their share, and mean facts per participant
-    (members without facts are left out of the mean; a NULL key is no member)."""
+    (members without facts are left out of the mean; a NULL key is no member). With
+    ``weight`` a row of ``facts`` stands for that many facts (a rollup)."""
     m = members.select(F.col(member_key).alias("_k")).distinct()
     counts = (
         restrict(facts, fact_period, ts)
         .groupBy(F.col(fact_user).alias("_k"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(_facts(weight).alias("_n"))
     )
     joined = m.join(counts, "_k", "left")
     n, p = F.count("_k"), F.count("_n")

@@ -27,17 +27,19 @@ def compare_segments(
     ts: str = "created_at",
     labels: tuple[str, str] = ("voted", "not_voted"),
     flag_name: str = "vote_flag",
+    weight: str | None = None,
 ) -> DataFrame:
     """S1 label each fact by whether its user is a member; per label: users, facts,
     value total, facts per user and value per user (each ratio 4 decimals, then 2).
 
-    Facts without a user belong to no member and count as facts, not as a user.
+    Facts without a user belong to no member and count as facts, not as a user. With
+    ``weight`` a row stands for that many facts and ``value`` is their total (a rollup).
     """
     f = restrict(facts, period, ts)
     if where is not None:
         f = f.filter(where)
     per_user = f.groupBy(user).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v")
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"), F.sum(value).alias("_v")
     )
     m = members.select(F.col(member_key).alias(user)).distinct().withColumn("_m", F.lit(1))
     labelled = per_user.join(m, user, "left").withColumn(

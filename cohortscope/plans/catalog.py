@@ -52,6 +52,9 @@ VOTE_WINDOW = Period.between("2024-01-01", "2024-01-20")
 VOTE_DAY = Period.half_open("2024-01-03", "2024-01-04")  # not every user votes on a given day
 REQUEST_WINDOW = Period.half_open("2024-01-01", "2024-01-04")
 RECEIPT_WINDOW = Period.half_open("2024-01-01", "2024-01-04")
+# Two loads of each log, cut within a week and within a month.
+EVENT_LOADS = (Period.half_open("2024-01-01", "2024-01-17"), Period.half_open("2024-01-17", "2024-02-01"))
+ORDER_LOADS = (Period.half_open("1900-01-01", "1998-03-11"), Period.half_open("1998-03-11", "2100-01-01"))
 POINT_WINDOW = Period.between("2024-01-01", "2024-01-31")
 ORDERS_ALL = Period.half_open("1995-01-01", "2002-01-01")
 ORDER_WINDOW = Period.between("1996-01-01", "1999-12-31")
@@ -311,7 +314,7 @@ def _(b):
     f"SELECT user_id FROM votes WHERE {VOTE_DAY.sql('created_at')}))",
     "users_with_lists", "votes"))
 def _(b):
-    members = cohort.cohort(b.votes(), period=VOTE_DAY)
+    members = cohort.cohort(b.voters(VOTE_DAY))
     return lists.list_length_stats(b.users(with_lists=True), members, user_period=SIGNUP_PERIOD)
 
 
@@ -435,6 +438,33 @@ def _(b):
     return activity.weekly_intensity(b.votes(), period=EVENTS_ALL)
 
 
+@register("monthly_payments_of_loads", "A3", sql_with(
+    "SELECT ym, CAST(sum(n) AS BIGINT) AS payment_cnt, count(*) AS paying_users FROM ("
+    "SELECT strftime(created_at, '%Y-%m') AS ym, user_id, count(*) AS n FROM payments GROUP BY ALL) "
+    "GROUP BY ym ORDER BY ym", "payments"))
+def _(b):
+    first, second = (activity.activity_state(b.payments(), "month", period=p) for p in ORDER_LOADS)
+    return activity.monthly_activity_of(first.unionByName(second))
+
+
+@register("weekly_vote_intensity_of_loads", "A6", sql_with(
+    f"SELECT {sql_dround('avg(r)', 2)} AS avg_votes_per_week_per_user FROM (SELECT "
+    f"{sql_div('count(*)', 'count(DISTINCT isoyear(created_at) * 100 + week(created_at))')} AS r "
+    f"FROM votes WHERE {EVENTS_ALL.sql('created_at')} GROUP BY user_id)", "votes"))
+def _(b):
+    first, second = (activity.activity_state(b.votes(), "week", period=p) for p in EVENT_LOADS)
+    return activity.weekly_intensity_of(first.unionByName(second))
+
+
+@register("distinct_voters_and_pieces_of_loads", "P6", sql_with(
+    "SELECT count(DISTINCT user_id) AS voters, count(DISTINCT question_piece_id) AS pieces FROM votes "
+    f"WHERE {EVENTS_ALL.sql('created_at')}", "votes"))
+def _(b):
+    cols = {"voters": "user_id", "pieces": "question_piece_id"}
+    first, second = (profile.distinct_bitmaps(restrict(b.votes(), p, "created_at"), cols) for p in EVENT_LOADS)
+    return profile.count_bitmaps(profile.merge_bitmaps(first.unionByName(second)), list(cols))
+
+
 @register("payment_user_rank", "A7", sql_with(
     "SELECT user_id, count(created_at) AS payment_cnt FROM payments GROUP BY user_id "
     "ORDER BY payment_cnt DESC", "payments"))
@@ -540,7 +570,7 @@ def _(b):
     days = explode_dates(b.attendance(), "user_id", "attendance_date_list")
     base = days.filter(ORDER_WINDOW.mask("att_date", as_type="date"))
     return cohort.conversion_rate(
-        base, cohort.cohort(b.votes(), period=VOTE_DAY), base_name="total_users",
+        base, cohort.cohort(b.voters(VOTE_DAY)), base_name="total_users",
         converted_name="voted_users", rate_name="voted_rate",
     )
 
@@ -567,7 +597,7 @@ def _(b):
 def _(b):
     return cohort.conversion_rate(
         cohort.cohort(b.payments(), period=ORDER_WINDOW),
-        cohort.cohort(b.votes(), period=VOTE_WINDOW),
+        b.voters(VOTE_WINDOW),
         base_name="payed_user_cnt", converted_name="voted_user_cnt", rate_name="voted_ratio",
         keep=PCT_DECIMAL_KEEP,
     )
@@ -593,9 +623,8 @@ def _(b):
     "ON v.user_id = s.send_user_id", "votes", "friend_requests"))
 def _(b):
     return cohort.conversion_rate(
-        cohort.cohort(b.votes(), period=VOTE_WINDOW), b.friend_requests(),
-        target_key="send_user_id", base_name="total_voters", converted_name="sender_voters",
-        rate_name="sender_rate", rate="text",
+        b.voters(VOTE_WINDOW), b.user_events("click")[0],
+        base_name="total_voters", converted_name="sender_voters", rate_name="sender_rate", rate="text",
     )
 
 
@@ -615,7 +644,7 @@ _DAY_MEMBERS_SQL = f"SELECT DISTINCT user_id FROM votes WHERE {VOTE_DAY.sql('cre
     "votes", "friend_requests"))
 def _(b):
     return cohort.two_way_participation(
-        cohort.cohort(b.votes(), period=VOTE_DAY), b.friend_requests(),
+        cohort.cohort(b.voters(VOTE_DAY)), b.friend_requests(),
         edge_period=REQUEST_WINDOW,
     )
 
@@ -636,17 +665,16 @@ def _per_member_sql(
 
 @register("friend_requests_per_voter", "C4", _per_member_sql(REQUEST_WINDOW))
 def _(b):
+    requests, n = b.user_events("click", REQUEST_WINDOW, counts=True)
     return cohort.per_member_activity(
-        cohort.cohort(b.votes(), period=VOTE_DAY), b.friend_requests(),
-        fact_period=REQUEST_WINDOW,
-    )
+        b.voters(VOTE_DAY), requests, fact_user="user_id", weight=n)
 
 
 @register("friend_requests_per_voter_alltime", "C4", _per_member_sql(None))
 def _(b):
+    requests, n = b.user_events("click", counts=True)
     return cohort.per_member_activity(
-        cohort.cohort(b.votes(), period=VOTE_DAY), b.friend_requests()
-    )
+        b.voters(VOTE_DAY), requests, fact_user="user_id", weight=n)
 
 
 @register("friend_requests_per_voter_unknown", "C4", _per_member_sql(
@@ -695,7 +723,7 @@ def _(b):
     pieces = restrict(b.question_pieces(), ORDER_WINDOW, "created_at")
     links = restrict(b.user_candidates(), SHIP_WINDOW, "created_at")
     return cohort.cohort_overlap([
-        (restrict(b.votes(), VOTE_DAY, "created_at"), "user_id"),
+        (b.voters(VOTE_DAY), "user_id"),
         (cohort.linked_members(links, pieces, distinct=False), "user_id"),
     ])
 
@@ -706,7 +734,7 @@ def _(b):
     f"WHERE {SHIP_WINDOW.sql('p.created_at')}", "user_candidates", "votes"))
 def _(b):
     cands = restrict(b.user_candidates(), SHIP_WINDOW, "created_at")
-    return cohort.cohort_overlap([(cands, "user_id"), (b.votes(), "user_id")])
+    return cohort.cohort_overlap([(cands, "user_id"), (b.voters(), "user_id")])
 
 
 @register("event_participation", "C6", sql_with(
@@ -717,10 +745,8 @@ def _(b):
     f"FROM event_receipts WHERE {RECEIPT_WINDOW.sql('created_at')} GROUP BY user_id) e "
     "ON v.user_id = e.user_id", "votes", "event_receipts"))
 def _(b):
-    return cohort.participation_and_intensity(
-        cohort.cohort(b.votes(), period=VOTE_DAY), b.event_receipts(),
-        fact_period=RECEIPT_WINDOW,
-    )
+    receipts, n = b.user_events("signup", RECEIPT_WINDOW, counts=True)
+    return cohort.participation_and_intensity(b.voters(VOTE_DAY), receipts, weight=n)
 
 
 @register("active_signup_range", "C7", sql_with(
@@ -741,10 +767,8 @@ def _(b):
     f"FROM point_history WHERE delta_point > 0 AND {POINT_WINDOW.sql('created_at')} "
     "GROUP BY user_id) GROUP BY 1", "point_history", "votes"))
 def _(b):
-    return segments.compare_segments(
-        b.point_history(), cohort.cohort(b.votes(), period=VOTE_DAY),
-        where=F.col("delta_point") > 0, period=POINT_WINDOW,
-    )
+    facts, n = b.earnings(POINT_WINDOW)
+    return segments.compare_segments(facts, b.voters(VOTE_DAY), weight=n)
 
 
 @register("segment_active_members", "S2", sql_with(
@@ -754,7 +778,7 @@ def _(b):
     "users", "votes"))
 def _(b):
     return segments.segment_members(
-        b.users(), b.votes(), user_period=ORDERS_ALL, fact_period=EVENTS_ALL
+        b.users(), b.voters(EVENTS_ALL), user_period=ORDERS_ALL
     )
 
 
@@ -800,7 +824,7 @@ def _(b):
     "payments_outer", "votes"))
 def _(b):
     # Most products of a day have no payer who ever voted: they stay with counts 0.
-    return segments.item_conversion(b.payments_outer(), cohort.cohort(b.votes(), period=VOTE_DAY))
+    return segments.item_conversion(b.payments_outer(), cohort.cohort(b.voters(VOTE_DAY)))
 
 
 # Pieces in the period with the number of members linked to each.
@@ -819,7 +843,7 @@ _LINKED = {"linked": (
     "votes", "question_pieces", local=_LINKED))
 def _(b):
     return segments.flag_rate(
-        b.user_candidates(), cohort.cohort(b.votes(), period=VOTE_DAY), b.question_pieces(),
+        b.user_candidates(), cohort.cohort(b.voters(VOTE_DAY)), b.question_pieces(),
         link_period=SHIP_WINDOW, target_period=ORDER_WINDOW,
     )
 
@@ -831,7 +855,7 @@ def _(b):
     "votes", "question_pieces", local=_LINKED))
 def _(b):
     return segments.flag_rate(
-        b.user_candidates(), cohort.cohort(b.votes(), period=VOTE_DAY), b.question_pieces(),
+        b.user_candidates(), cohort.cohort(b.voters(VOTE_DAY)), b.question_pieces(),
         denominator="distinct",
         names=("total_cnt", "skip_cnt", "skip_rate"),
         link_period=SHIP_WINDOW, target_period=ORDER_WINDOW,
@@ -844,7 +868,7 @@ def _(b):
     "question_pieces", local=_LINKED))
 def _(b):
     return segments.flag_split(
-        b.user_candidates(), cohort.cohort(b.votes(), period=VOTE_DAY), b.question_pieces(),
+        b.user_candidates(), cohort.cohort(b.voters(VOTE_DAY)), b.question_pieces(),
         link_period=SHIP_WINDOW, target_period=ORDER_WINDOW,
     )
 

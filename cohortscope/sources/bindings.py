@@ -17,7 +17,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortscope.plans.period import Period, restrict
 from cohortscope.sources.layout import day_column, laid_out
+from cohortscope.sources.rollup import COUNT, rolled_up, user_days
 from cohortscope.sources.tables import read_table
 
 
@@ -51,6 +53,40 @@ class Bindings:
     def events(self) -> DataFrame:
         return self.table("events")
 
+    def user_events(
+        self, kind: str | None = None, period: Period | None = None, counts: bool = False,
+    ) -> tuple[DataFrame, str | None]:
+        """(rows with ``user_id``, name of their count or None): the events of a type in a
+        period, for per-user questions.
+
+        From the session's rollup where it answers the question exactly (``counts``: how many,
+        else who); then a row stands for as many events as the count says. Else from the log.
+        """
+        rows, n = rolled_up(self.spark, period, counts), COUNT
+        if rows is None:
+            rows, n = restrict(self.events.select("user_id", "event_type", *_times(self.events, "ts")), period, "created_at"), None
+        return (rows if kind is None else rows.filter(F.col("event_type") == kind)), n
+
+    def event_rollup(self) -> DataFrame:
+        """The rollup of the event log that ``user_events`` understands; ``earnings`` and
+        ``earned`` count and add up the events that earn points."""
+        earns = (F.col("event_type") != "purchase") & (_k() > 0)
+        log = self.events.withColumns({"_one": F.when(earns, 1).otherwise(0), "_k": F.when(earns, _k())})
+        return user_days(log, "user_id", "ts", by=["event_type"], sums={"earnings": "_one", "earned": "_k"})
+
+    def voters(self, period: Period | None = None) -> DataFrame:
+        """``user_id`` of everyone with a vote in the period (repeated)."""
+        return self.user_events(period=period)[0].select("user_id")
+
+    def earnings(self, period: Period) -> tuple[DataFrame, str | None]:
+        """Facts that earn points, ``user_id`` and ``delta_point``: as ``user_events``."""
+        rows = rolled_up(self.spark, period, counts=True)
+        if rows is None:
+            facts = restrict(self.point_history(), period, "created_at").filter(F.col("delta_point") > 0)
+            return facts.select("user_id", "delta_point"), None
+        rows = rows.filter(F.col("earnings") > 0)
+        return rows.select("user_id", F.col("earned").alias("delta_point"), "earnings"), "earnings"
+
     # -- logical tables ----------------------------------------------------------
     def attendance(self) -> DataFrame:
         """user_id, attendance_date_list: per customer, the sorted distinct order days as

@@ -1,0 +1,81 @@
+"""Mergeable states: loads add up to the full run, and a load can be run again."""
+
+import random
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortscope.operators import activity, profile
+from cohortscope.plans.guards import physical_plan
+from cohortscope.sources import state
+from conftest import rows
+
+
+def votes(spark, days=40, n=3000, seed=6):
+    """Votes over a new year, a third of them one user's; a NULL user and a NULL time."""
+    rnd = random.Random(seed)
+    log = [(0 if k % 3 == 0 else rnd.randrange(60), rnd.randrange(days * 24 * 60)) for k in range(n)] + [(None, 5), (7, None)]
+    return spark.createDataFrame(log, "user_id long, m int").select(
+        "user_id", F.timestamp_add("MINUTE", F.col("m"), F.lit("2024-12-10").cast("timestamp_ntz")).alias("created_at"))
+
+
+@pytest.fixture
+def path():
+    return tempfile.mkdtemp(prefix="cohortscope-state-", dir="/tmp") + "/state"
+
+
+def by_day(log):
+    day = F.coalesce(F.col("created_at").cast("date").cast("string"), F.lit("unknown"))
+    log = log.withColumn("d", day).cache()
+    return [(r.d, log.filter(F.col("d") == r.d).drop("d")) for r in log.select("d").distinct().orderBy("d").collect()]
+
+
+@pytest.mark.parametrize("unit", ["week", "month"])
+def test_state_plus_one_day_equals_the_full_run(spark, path, unit):
+    log = votes(spark)
+    loads = by_day(log)
+    full = {"week": activity.weekly_intensity, "month": activity.monthly_activity}[unit]
+    of = {"week": activity.weekly_intensity_of, "month": activity.monthly_activity_of}[unit]
+    base = log.join(spark.createDataFrame([(d,) for d, _ in loads[-1:]], "x string"),
+                    F.coalesce(F.col("created_at").cast("date").cast("string"), F.lit("unknown")) == F.col("x"), "left_anti")
+    state.write_load(activity.activity_state(base, unit), path, "base")
+    state.write_load(activity.activity_state(loads[-1][1], unit), path, loads[-1][0])
+    assert rows(of(state.read_loads(spark, path))) == rows(full(log))
+
+
+def test_every_day_a_load_and_loads_run_again(spark, path):
+    log = votes(spark, days=9, n=400)
+    for d, rows_of_day in by_day(log):
+        state.write_load(activity.activity_state(rows_of_day, "week"), path, d)
+    want = rows(activity.weekly_intensity(log))
+    assert rows(activity.weekly_intensity_of(state.read_loads(spark, path))) == want
+    d, again = by_day(log)[2]
+    state.write_load(activity.activity_state(again.limit(0).unionByName(again), "week"), path, d)
+    assert rows(activity.weekly_intensity_of(state.read_loads(spark, path))) == want
+    early = state.read_loads(spark, path, upto=d)
+    assert early.agg(F.sum("n")).first()[0] == log.filter(F.col("created_at").cast("date").cast("string") <= d).count()
+    assert "PartitionFilters: [isnotnull(load" in physical_plan(early)
+    state.compact(spark, path, path + "-small", activity.merge_states)
+    small = state.read_loads(spark, path + "-small")
+    assert rows(activity.weekly_intensity_of(small)) == want and small.count() <= early.count() + 200
+    keys = small.groupBy("user_id", "year_week").count().filter("count > 1")
+    assert keys.count() == 0
+
+
+def test_distinct_counts_as_a_state(spark, path):
+    log = votes(spark, days=5, n=300)
+    for d, part in by_day(log):
+        state.write_load(profile.distinct_bitmaps(part, {"users": "user_id"}), path, d)
+    merged = profile.merge_bitmaps(state.read_loads(spark, path))
+    assert rows(profile.count_bitmaps(merged, ["users"])) == rows(profile.distinct_count(log, {"users": "user_id"}))
+
+
+def test_merging_moves_states_not_votes(spark):
+    log = votes(spark)
+    plan = physical_plan(activity.activity_state(log, "week"), "simple")
+    assert "partial_count" in plan and plan.count("Exchange hashpartitioning") == 1
+    whole = activity.activity_state(log, "week")
+    assert whole.count() < log.count() / 4
+    parts = whole.unionByName(whole)
+    assert rows(activity.merge_states(parts).agg(F.sum("n"))) == [(2 * log.count(),)]
