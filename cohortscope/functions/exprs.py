@@ -167,24 +167,36 @@ def _clean_list(text: str | Column) -> Column:
     return F.replace(_c(text), F.lit('\\"'), F.lit('"'))
 
 
-def parse_list(text: str | Column) -> Column:
+def _checked(text: str | Column, value: Column, kind: str, strict: bool) -> Column:
+    """``value``; with ``strict``, text that is no JSON at all fails the job and is named."""
+    if not strict:
+        return value
+    cleaned = _clean_list(text)
+    bad = cleaned.isNotNull() & F.try_parse_json(cleaned).isNull()
+    told = F.concat(F.lit("invalid JSON text in a list: "), F.left(cleaned, F.lit(100)))
+    return F.when(bad, F.raise_error(told).cast(kind)).otherwise(value)
+
+
+def parse_list(text: str | Column, strict: bool = False) -> Column:
     """JSON array text (possibly with escaped quotes) to ``array<string>``.
 
-    NULL and malformed text give NULL; ``[]`` gives an empty array.
+    NULL and malformed text give NULL; ``[]`` gives an empty array. ``strict`` fails the job on
+    text that is no JSON, as the analysed server does; JSON that is no array gives NULL in
+    both modes.
     """
-    return F.from_json(_clean_list(text), "array<string>")
+    return _checked(text, F.from_json(_clean_list(text), "array<string>"), "array<string>", strict)
 
 
-def list_dates(text: str | Column) -> Column:
+def list_dates(text: str | Column, strict: bool = False) -> Column:
     """JSON date list text to ``array<date>``; unparsable entries become NULL."""
-    return F.transform(parse_list(text), lambda v: safe_date(v))
+    return F.transform(parse_list(text, strict), lambda v: safe_date(v))
 
 
-def list_timestamps(text: str | Column) -> Column:
+def list_timestamps(text: str | Column, strict: bool = False) -> Column:
     """JSON list of dates or date-times to ``array<timestamp_ntz>``; bad entries are NULL."""
-    return F.transform(parse_list(text), lambda v: safe_timestamp(v))
+    return F.transform(parse_list(text, strict), lambda v: safe_timestamp(v))
 
 
-def list_length(text: str | Column) -> Column:
+def list_length(text: str | Column, strict: bool = False) -> Column:
     """Number of elements of a JSON array text as long; NULL for NULL or bad text."""
-    return F.json_array_length(_clean_list(text)).cast("long")
+    return _checked(text, F.json_array_length(_clean_list(text)).cast("long"), "bigint", strict)

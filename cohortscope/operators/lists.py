@@ -23,13 +23,14 @@ from cohortscope.plans.period import Period, restrict
 from cohortscope.sources.json_lists import explode_dates
 
 
-def dates_per_row(df: DataFrame, key: str, list_col: str) -> DataFrame:
+def dates_per_row(df: DataFrame, key: str, list_col: str, strict: bool = False) -> DataFrame:
     """(key, dates array<date>) for rows whose list has at least one element.
 
-    Matches the inner lateral join: NULL, malformed and empty lists contribute nothing.
+    Matches the inner lateral join: NULL, malformed and empty lists contribute nothing
+    (``strict``: text that is no JSON fails the job).
     """
     return (
-        df.select(F.col(key), list_dates(list_col).alias("dates"))
+        df.select(F.col(key), list_dates(list_col, strict).alias("dates"))
         .filter(F.size("dates") > 0)
     )
 
@@ -40,9 +41,10 @@ def first_last_by_key(
     list_col: str = "attendance_date_list",
     first_name: str = "first_attendance_date",
     last_name: str = "last_attendance_date",
+    strict: bool = False,
 ) -> DataFrame:
     """L2 first and last listed date per key (unparsable entries ignored)."""
-    rows = dates_per_row(df, key, list_col)
+    rows = dates_per_row(df, key, list_col, strict)
     return rows.groupBy(key).agg(
         F.min(F.array_min("dates")).alias(first_name),
         F.max(F.array_max("dates")).alias(last_name),
@@ -55,10 +57,11 @@ def first_per_list(
     list_col: str = "attendance_date_list",
     name: str = "start_at",
     instants: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """(key, first entry) of every stored list with an element: dates, or instants of lists
     of date-times. A key with several lists has several rows; nothing is shuffled."""
-    entries = (list_timestamps if instants else list_dates)(list_col)
+    entries = (list_timestamps if instants else list_dates)(list_col, strict)
     rows = df.select(F.col(key), entries.alias("entries")).filter(F.size("entries") > 0)
     return rows.select(key, F.array_min("entries").alias(name))
 
@@ -80,9 +83,10 @@ def first_last_overall(
     list_col: str = "attendance_date_list",
     first_name: str = "global_first_attendance_date",
     last_name: str = "global_last_attendance_date",
+    strict: bool = False,
 ) -> DataFrame:
     """L3 first and last listed date over the whole table (one row)."""
-    rows = dates_per_row(df, key, list_col)
+    rows = dates_per_row(df, key, list_col, strict)
     return rows.agg(
         F.min(F.array_min("dates")).alias(first_name),
         F.max(F.array_max("dates")).alias(last_name),
@@ -121,6 +125,7 @@ def list_length_stats(
     user_period: Period | None = None,
     user_ts: str = "created_at",
     prefix: str = "friend_count",
+    strict: bool = False,
 ) -> DataFrame:
     """L5 average / max / min list length over users who are in ``cohort``.
 
@@ -130,7 +135,7 @@ def list_length_stats(
     """
     members = cohort.select(F.col(cohort_key).alias(user_key)).distinct()
     base = restrict(users, user_period, user_ts).join(members, user_key, "left_semi")
-    n = list_length(list_col)
+    n = list_length(list_col, strict)
     return base.select(n.alias("n")).agg(
         mean("n").alias(f"avg_{prefix}"),
         F.max("n").alias(f"max_{prefix}"),
@@ -143,6 +148,7 @@ __all__ = [
     "explode_dates",
     "first_last_by_key",
     "first_last_overall",
+    "first_per_list",
     "first_timestamp_by_key",
     "list_length_stats",
     "monthly_list_counts",

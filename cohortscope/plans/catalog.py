@@ -108,14 +108,15 @@ def _(b):
 
 
 @register("malformed_lists", "P3", sql_with(
-    "SELECT count(*) FILTER (WHERE attendance_date_list IS NOT NULL "
-    "AND json_valid(attendance_date_list) = false) AS malformed_cnt FROM attendance", "attendance"))
+    "SELECT count(*) FILTER (WHERE x IS NOT NULL AND (NOT json_valid(x) OR json_type(x) <> 'ARRAY')) AS malformed_cnt "
+    "FROM (SELECT replace(attendance_date_list, '\\\"', '\"') AS x FROM stored_attendance)", "stored_attendance"))
 def _(b):
-    return profile.malformed_list_count(b.attendance(), "attendance_date_list")
+    return profile.malformed_list_count(b.stored_attendance(), "attendance_date_list")
 
 
 @register("malformed_props", "P3",
-          "SELECT count(*) FILTER (WHERE props IS NOT NULL) AS malformed_cnt FROM events")
+          "SELECT count(*) FILTER (WHERE props IS NOT NULL AND (NOT json_valid(props) "
+          "OR json_type(props) <> 'ARRAY')) AS malformed_cnt FROM events")
 def _(b):
     # The event payload is a JSON object, so as a list every one of them is malformed.
     return profile.malformed_list_count(b.events, "props")
@@ -131,16 +132,17 @@ def _(b):
 
 @register("completeness_attendance", "P3", sql_with(
     "SELECT count(*) AS total_rows, CAST(sum(CASE WHEN attendance_date_list IS NULL "
-    "THEN 1 ELSE 0 END) AS BIGINT) AS null_attendance_date_list FROM attendance", "attendance"))
+    "THEN 1 ELSE 0 END) AS BIGINT) AS null_attendance_date_list FROM stored_attendance",
+    "stored_attendance"))
 def _(b):
-    return profile.completeness(b.attendance(), ["attendance_date_list"])
+    return profile.completeness(b.stored_attendance(), ["attendance_date_list"])
 
 
 @register("empty_list_attendance", "P4", sql_with(
-    "SELECT count(*) AS empty_attendance FROM attendance WHERE attendance_date_list = '[]'",
-    "attendance"))
+    "SELECT count(*) AS empty_attendance FROM stored_attendance WHERE attendance_date_list = '[]'",
+    "stored_attendance"))
 def _(b):
-    return profile.empty_list_count(b.attendance(), "attendance_date_list", "empty_attendance")
+    return profile.empty_list_count(b.stored_attendance(), "attendance_date_list", "empty_attendance")
 
 
 @register("count_large_schools", "P5", sql_with(
@@ -282,6 +284,29 @@ def _(b):
     return explode_dates(b.attendance(), "user_id", "attendance_date_list")
 
 
+# The same over stored lists: NULL, empty and malformed ones contribute nothing.
+@register("stored_attendance_dates", "L1", sql_with(
+    "SELECT user_id, att_date FROM stored_dates", "stored_dates"))
+def _(b):
+    return explode_dates(b.stored_attendance(), "user_id", "attendance_date_list")
+
+
+@register("first_last_stored_attendance", "L2", sql_with(
+    "SELECT user_id, min(att_date) AS first_attendance_date, max(att_date) AS last_attendance_date "
+    "FROM stored_dates GROUP BY user_id", "stored_dates"))
+def _(b):
+    return lists.first_last_by_key(b.stored_attendance())
+
+
+@register("monthly_stored_attendance", "L4", sql_with(
+    "SELECT regexp_extract(tok, '^\\d{4}-\\d{2}') AS ym, count(*) AS attendance_cnt FROM (SELECT unnest("
+    "regexp_extract_all(attendance_date_list, '\\d{4}-\\d{2}-\\d{2}')) AS tok FROM stored_attendance) "
+    "GROUP BY 1 ORDER BY 1", "stored_attendance"))
+def _(b):
+    # The splitter reads the text, so the dates of a cut list count; only L1 to L3 need JSON.
+    return lists.monthly_list_counts(b.stored_attendance())
+
+
 @register("first_last_attendance_by_user", "L2", sql_with(
     "SELECT user_id, min(att_date) AS first_attendance_date, "
     "max(att_date) AS last_attendance_date FROM attendance_dates GROUP BY user_id",
@@ -993,35 +1018,21 @@ def _(b):
 
 
 # ==================================================================== retention (R)
-def _retention_sql(period: Period | None, bands, any_visit: bool) -> str:
-    where = f"WHERE {period.sql('created_at')} " if period else ""
-    starts = (
-        "SELECT user_id, CAST(min(created_at) AS DATE) AS vote_date FROM first_actions "
-        f"{where}GROUP BY user_id"
-    )
+def _retention_sql(period: Period, bands, any_visit: bool) -> str:
+    """Each member's list as an array of days after the start; bands as tests on the array."""
     cols = []
-    if any_visit:
-        body_from = "FROM starts v"
-        n = "count(v.user_id)"
-        for lo, hi, name in bands:
-            hit = (
-                "count(*) FILTER (WHERE EXISTS (FROM attendance_dates a WHERE a.user_id = v.user_id AND "
-                f"a.att_date - v.vote_date >= {lo} AND a.att_date - v.vote_date <= {hi}))"
-            )
-            cols += [f"{hit} AS {name}", f"{sql_pct(hit, n)} AS {name}_rate"]
-    else:
-        body_from = (
-            "FROM (SELECT v.user_id, date_diff('day', v.vote_date, min(a.att_date)) AS day_diff "
-            "FROM starts v LEFT JOIN attendance_dates a ON v.user_id = a.user_id "
-            "AND a.att_date > v.vote_date GROUP BY v.user_id, v.vote_date) d"
-        )
-        n = "count(*)"
-        for lo, hi, name in bands:
-            cond = f"day_diff >= {lo}" if hi is None else f"day_diff BETWEEN {lo} AND {hi}"
-            hit = f"count(CASE WHEN {cond} THEN 1 END)"
-            cols += [f"{hit} AS {name}", f"{sql_pct(hit, n)} AS {name}_rate"]
-    body = f"starts AS ({starts}) SELECT {n} AS total_voted_users, {', '.join(cols)} {body_from}"
-    return _with_local(body, "first_actions", "attendance_dates")
+    for lo, hi, name in bands:
+        within = f"x >= {lo}" + ("" if hi is None else f" AND x <= {hi}")
+        hit = (f"count(*) FILTER (WHERE len(list_filter(after, lambda x: {within})) > 0)" if any_visit
+               else f"count(*) FILTER (WHERE {within.replace('x ', 'list_min(after) ')})")
+        cols += [f"{hit} AS {name}", f"{sql_pct(hit, 'count(*)')} AS {name}_rate"]
+    days = ("list_transform(coalesce(regexp_extract_all(attendance_date_list, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), []), "
+            "lambda d: CAST(d AS DATE) - start_date)")
+    return _with_local(
+        "starts AS (SELECT user_id, min(CAST(created_at AS DATE)) AS start_date FROM first_actions "
+        f"WHERE {period.sql('created_at')} GROUP BY ALL), windows AS (SELECT list_filter({days}, lambda x: x > 0) "
+        "AS after FROM starts LEFT JOIN attendance USING (user_id)) "
+        f"SELECT count(*) AS total_voted_users, {', '.join(cols)} FROM windows", "first_actions", "attendance")
 
 
 @register("retention_interval", "R1",
@@ -1098,11 +1109,8 @@ for _name, _made in _ROW_RETENTION.items():
 # ================================================================== eligibility (E)
 _CLASS_SQL = f"SELECT group_id FROM users GROUP BY group_id HAVING count(DISTINCT id) >= {MIN_CLASS}"
 _SCHOOL_SQL = f"SELECT id AS school_id FROM schools WHERE student_count >= {MIN_SCHOOL}"
-_ELIGIBLE_SQL = (
-    "SELECT DISTINCT u.id AS user_id, u.group_id FROM users u JOIN groups g ON u.group_id = g.id "
-    f"JOIN ({_SCHOOL_SQL}) s ON g.school_id = s.school_id "
-    f"JOIN ({_CLASS_SQL}) c ON u.group_id = c.group_id"
-)
+_IN_LARGE_SCHOOL = f"group_id IN (SELECT id FROM groups WHERE school_id IN ({_SCHOOL_SQL}))"
+_ELIGIBLE_SQL = f"SELECT DISTINCT id AS user_id, group_id FROM users WHERE {_IN_LARGE_SCHOOL} AND group_id IN ({_CLASS_SQL})"
 
 
 @register("qualified_classes", "E1", sql_with(
@@ -1128,12 +1136,10 @@ def _(b):
 
 
 @register("eligible_conversion", "E4", sql_with(
-    "SELECT count(DISTINCT e.user_id) AS eligible_student_cnt, "
-    "count(DISTINCT v.user_id) AS voted_student_cnt, "
-    f"{sql_pct('count(DISTINCT v.user_id)', 'count(DISTINCT e.user_id)', keep=PCT_DECIMAL_KEEP)} "
-    "AS voted_ratio "
-    f"FROM ({_ELIGIBLE_SQL}) e LEFT JOIN ({_DAY_MEMBERS_SQL}) v "
-    "ON e.user_id = v.user_id", "users", "groups", "schools", "votes"))
+    "SELECT count(*) AS eligible_student_cnt, count(*) FILTER (WHERE voted) AS voted_student_cnt, "
+    f"{sql_pct('count(*) FILTER (WHERE voted)', 'count(*)', keep=PCT_DECIMAL_KEEP)} AS voted_ratio "
+    f"FROM (SELECT DISTINCT user_id, user_id IN ({_DAY_MEMBERS_SQL}) AS voted FROM ({_ELIGIBLE_SQL}))",
+    "users", "groups", "schools", "votes"))
 def _(b):
     return eligibility.eligible_conversion(
         b.users(), b.groups(), b.schools(), b.votes(), min_school=MIN_SCHOOL, min_class=MIN_CLASS,
@@ -1142,8 +1148,7 @@ def _(b):
 
 
 @register("members_in_large_schools", "E5", sql_with(
-    "SELECT count(u.group_id) AS cnt FROM users u JOIN groups g ON u.group_id = g.id "
-    f"JOIN ({_SCHOOL_SQL}) s ON g.school_id = s.school_id", "users", "groups", "schools"))
+    f"SELECT count(group_id) AS cnt FROM users WHERE {_IN_LARGE_SCHOOL}", "users", "groups", "schools"))
 def _(b):
     return eligibility.members_in_large_parents(
         b.users(), b.groups(), b.schools(), min_school=MIN_SCHOOL

@@ -28,6 +28,9 @@ def _k() -> F.Column:
     return F.get_json_object(F.col("props"), "$.k").try_cast("int")
 
 
+STORED_DAYS = Period.half_open("1996-01-01", "1998-01-01")  # days of the stored lists
+
+
 def _times(df: DataFrame, ts: str, name: str = "created_at") -> list[F.Column]:
     """The time column under its logical name, and its day where the table has folders by day."""
     day = day_column(ts)
@@ -98,6 +101,27 @@ class Bindings:
             ).alias("attendance_date_list")
         )
 
+    def stored_attendance(self) -> DataFrame:
+        """Every customer's list as an app stores it: NULL, empty, escaped and cut texts too.
+
+        The list holds the order days of ``STORED_DAYS``. Customers without one have ``[]``, or
+        NULL if they owe money. Of the others those who owe money have a text whose end is
+        cut off (no JSON), and the BUILDING segment's quotes are escaped.
+        """
+        days = restrict(self.orders.select("o_custkey", *_times(self.orders, "o_orderdate")), STORED_DAYS, "created_at")
+        lists = days.groupBy("o_custkey").agg(F.to_json(F.array_sort(
+            F.collect_set(F.date_format("created_at", "yyyy-MM-dd")))).alias("t"))
+        t, owes = F.col("t"), F.col("c_acctbal") < 0
+        text = (
+            F.when(t.isNull() & owes, F.lit(None).cast("string"))
+            .when(t.isNull(), F.lit("[]"))
+            .when(owes, F.left(t, F.length(t) - 1))
+            .when(F.col("c_mktsegment") == "BUILDING", F.replace(t, F.lit('"'), F.lit('\\"')))
+            .otherwise(t)
+        )
+        return self.table("customer").join(lists, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+            F.col("c_custkey").alias("user_id"), text.alias("attendance_date_list"))
+
     def first_actions(self) -> DataFrame:
         """The first-action log for retention and timing: finished orders."""
         return self.orders.filter(F.col("o_orderstatus") == "F").select(
@@ -263,6 +287,19 @@ SQL_BINDINGS: dict[str, str] = {
         "list(strftime(o_orderdate, '%Y-%m-%d'))))) AS VARCHAR) AS attendance_date_list "
         "FROM orders GROUP BY o_custkey"
     ),
+    "stored_attendance": (
+        "SELECT c.c_custkey AS user_id, CASE WHEN len(days) = 0 THEN CASE WHEN c.c_acctbal >= 0 THEN '[]' END "
+        "WHEN c.c_acctbal < 0 THEN '[\"' || array_to_string(days, '\",\"') || '\"' "
+        "WHEN c.c_mktsegment = 'BUILDING' THEN '[\\\"' || array_to_string(days, '\\\",\\\"') || '\\\"]' "
+        "ELSE '[\"' || array_to_string(days, '\",\"') || '\"]' END AS attendance_date_list FROM "
+        "(SELECT *, list_sort(list_distinct(ARRAY(SELECT strftime(o.o_orderdate, '%Y-%m-%d') FROM orders o "
+        f"WHERE o.o_custkey = k.c_custkey AND {STORED_DAYS.sql('o.o_orderdate')}))) AS days FROM customer k) c"
+    ),
+    "stored_dates": (
+        "SELECT user_id, TRY_CAST(trim(unnest(from_json(t, '[\"VARCHAR\"]'))) AS DATE) AS att_date FROM ("
+        "SELECT user_id, CASE WHEN json_valid(x) AND json_type(x) = 'ARRAY' THEN x END AS t FROM (SELECT user_id, "
+        "replace(attendance_date_list, '\\\"', '\"') AS x FROM stored_attendance)) WHERE t IS NOT NULL"
+    ),
     "first_actions": (
         "SELECT o_custkey AS user_id, o_orderdate AS created_at FROM orders "
         "WHERE o_orderstatus = 'F'"
@@ -350,6 +387,7 @@ SQL_BINDING_DEPS: dict[str, tuple[str, ...]] = {
     "voters_outer": ("votes",),
     "payments_outer": ("votes", "payments"),
     "attendance_dates": ("attendance",),
+    "stored_dates": ("stored_attendance",),
 }
 
 

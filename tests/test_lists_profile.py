@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortscope.operators import lists, profile
@@ -91,3 +92,54 @@ def test_collation_folds_case_and_accents(spark):
         ("Café",), ("Spam",), ("x",), (None,)]
     assert len(rows(profile.lookup(df, "reason", "SPAM", collation=CI))) == 2
     assert rows(profile.lookup(df, "reason", "SPAM")) == []
+
+
+# --- stored lists with everything in them, and the strict mode --------------------------
+
+
+def test_stored_lists_hold_every_kind(spark):
+    from cohortscope.sources.bindings import Bindings
+    from conftest import SF_SMALL
+
+    b = Bindings(spark, SF_SMALL).stored_attendance()
+    text = [r[0] for r in rows(b.select("attendance_date_list"))]
+    kinds = {"null": text.count(None), "empty": text.count("[]"),
+             "escaped": sum('\\"' in t for t in text if t), "cut": sum(not t.endswith("]") for t in text if t)}
+    assert all(kinds.values()) and sum(kinds.values()) < len(text)
+    assert rows(profile.malformed_list_count(b, "attendance_date_list")) == [(kinds["cut"],)]
+    assert rows(profile.empty_list_count(b, "attendance_date_list")) == [(kinds["empty"],)]
+    assert rows(profile.completeness(b, ["attendance_date_list"]))[0][1] == kinds["null"]
+
+
+STRICT = {
+    "explode": lambda df: explode_dates(df, "user_id", "attendance_date_list", strict=True),
+    "by_key": lambda df: lists.first_last_by_key(df, strict=True),
+    "overall": lambda df: lists.first_last_overall(df, strict=True),
+    "per_list": lambda df: lists.first_per_list(df, strict=True),
+    "lengths": lambda df: lists.list_length_stats(
+        df.select(F.col("user_id").alias("id"), F.col("attendance_date_list").alias("friend_id_list")),
+        df.select("user_id"), strict=True),
+}
+LENIENT = {
+    "explode": lambda df: explode_dates(df, "user_id", "attendance_date_list"),
+    "by_key": lists.first_last_by_key, "overall": lists.first_last_overall, "per_list": lists.first_per_list,
+    "lengths": lambda df: lists.list_length_stats(
+        df.select(F.col("user_id").alias("id"), F.col("attendance_date_list").alias("friend_id_list")), df.select("user_id")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(STRICT))
+def test_strict_fails_on_text_that_is_no_json(spark, name):
+    for text in ("not json", '["2023-01-01"', '{"a": '):
+        bad = att(spark).unionByName(spark.createDataFrame([(9, text)], "user_id long, attendance_date_list string"))
+        with pytest.raises(Exception, match="invalid JSON text in a list"):
+            STRICT[name](bad).collect()
+        LENIENT[name](bad).collect()
+
+
+@pytest.mark.parametrize("name", sorted(STRICT))
+def test_strict_agrees_on_json(spark, name):
+    """NULL, empty, escaped lists, bad dates, JSON null entries and JSON that is no array."""
+    good = att(spark).filter("user_id <> 6").unionByName(spark.createDataFrame(
+        [(10, '{"k": 1}'), (11, "null"), (12, "7")], "user_id long, attendance_date_list string"))
+    assert sorted(map(str, rows(STRICT[name](good)))) == sorted(map(str, rows(LENIENT[name](good))))
