@@ -108,15 +108,15 @@ def _(b):
 
 
 @register("malformed_lists", "P3", sql_with(
-    "SELECT count(*) FILTER (WHERE x IS NOT NULL AND (NOT json_valid(x) OR json_type(x) <> 'ARRAY')) AS malformed_cnt "
+    "SELECT count(*) FILTER (WHERE CASE WHEN json_valid(x) THEN json_type(x) <> 'ARRAY' ELSE x IS NOT NULL END) AS malformed_cnt "
     "FROM (SELECT replace(attendance_date_list, '\\\"', '\"') AS x FROM stored_attendance)", "stored_attendance"))
 def _(b):
     return profile.malformed_list_count(b.stored_attendance(), "attendance_date_list")
 
 
 @register("malformed_props", "P3",
-          "SELECT count(*) FILTER (WHERE props IS NOT NULL AND (NOT json_valid(props) "
-          "OR json_type(props) <> 'ARRAY')) AS malformed_cnt FROM events")
+          "SELECT count(*) FILTER (WHERE CASE WHEN json_valid(props) THEN json_type(props) <> 'ARRAY' "
+          "ELSE props IS NOT NULL END) AS malformed_cnt FROM events")
 def _(b):
     # The event payload is a JSON object, so as a list every one of them is malformed.
     return profile.malformed_list_count(b.events, "props")

@@ -297,7 +297,7 @@ SQL_BINDINGS: dict[str, str] = {
     ),
     "stored_dates": (
         "SELECT user_id, TRY_CAST(trim(unnest(from_json(t, '[\"VARCHAR\"]'))) AS DATE) AS att_date FROM ("
-        "SELECT user_id, CASE WHEN json_valid(x) AND json_type(x) = 'ARRAY' THEN x END AS t FROM (SELECT user_id, "
+        "SELECT user_id, CASE WHEN json_valid(x) THEN CASE WHEN json_type(x) = 'ARRAY' THEN x END END AS t FROM (SELECT user_id, "
         "replace(attendance_date_list, '\\\"', '\"') AS x FROM stored_attendance)) WHERE t IS NOT NULL"
     ),
     "first_actions": (
