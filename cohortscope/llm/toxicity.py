@@ -50,7 +50,6 @@ _MARKS = re.compile(r"[0-9@$!|+(<{#€£¡*._~^`​-‍­·-]")
 _FOREIGN = "".join(c for c in LOOKALIKES if c.isalpha() and not c.isascii())
 _CYRILLIC = re.compile(rf"[а-я{_FOREIGN}]")
 _UNLIKELY = re.compile(rf"([^\W\d_])\1|[{_FOREIGN}]")  # a doubled letter or a look-alike letter
-FREQUENT, SUPPORT = 1_000_000, 20  # a frequent word: one of at most so many words, seen so often
 _REPEATED = re.compile(r"(.)\1\1")
 _NOISE = re.compile(r"([^\w\s])\1{2,}")  # runs of one symbol, as in decorations
 _JOINTS = re.compile(r"[._~·-]+")  # separators that may also join whole words
@@ -61,10 +60,9 @@ _SPACED = re.compile(r"(?<!\S)[^\s.,;:]((?:[ ._*-][^\s.,;:]){2,})(?![^\s.,;:!?])
 
 @dataclass(frozen=True)
 class CharModel:
-    """Natural-log trigram probabilities, ``SIZE`` cubed, and the frequent words of the corpus."""
+    """Natural-log trigram probabilities, ``SIZE`` cubed."""
 
     logp: np.ndarray
-    known: frozenset[str] = frozenset()
 
     @cached_property
     def table(self) -> list[float]:
@@ -104,55 +102,59 @@ def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return table[codes].astype(np.int64), np.repeat(np.arange(len(words)), lengths)
 
 
-def train_char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
-    """Character trigram counts over all words of ``docs`` that are letters only, smoothed.
+def _bare(word: Column) -> Column:
+    """A word with each run of a letter as one and look-alike letters as what they look like."""
+    latin = "".join(LOOKALIKES[c][0] for c in _FOREIGN)
+    return F.regexp_replace(F.translate(word, _FOREIGN, latin), r"(.)\1+", "$1")
+
 
-    At most ``SIZE`` cubed counts come to the driver, whatever the corpus, and the words with a
-    doubled or look-alike letter that make up 1/``FREQUENT`` of all words. No rows: uniform.
+def train_char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
+    """Character trigrams of the words of ``docs`` that are letters only, smoothed.
+
+    A word with a doubled or look-alike letter teaches nothing if the corpus also holds it
+    bare (``iiddioott`` where there is ``idiot``): else a disguise that is repeated often
+    enough would teach the model to take it as spelt. So disguises read alike however often
+    they occur. Words are counted where they lie and added up by a shuffle on the word; counts
+    are exact, so the layout of the rows changes nothing. At most ``SIZE`` cubed sums come to the
+    driver, whatever the corpus. No rows: uniform.
     """
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(SIZE ** 3, np.int64), 0
         for batch in blocks(batches, "text"):
             _, index, terms = words_of(no_nulls(batch.column("text")), SPACED)
-            if not len(terms):
-                continue
-            words = [w.strip(_EDGE) for w in terms.to_pylist()]
-            kept = [k for k, w in enumerate(words) if w.isalpha()]
-            weight = np.bincount(index, minlength=len(words))[kept]
-            if not kept:
-                continue
-            seen += int(weight.sum())
-            doubled = [(w, n) for w, n in ((words[k].lower(), n) for k, n in zip(kept, weight.tolist())) if _UNLIKELY.search(w)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(doubled), pa.int64()), pa.array([w for w, _ in doubled], pa.string()),
-                 pa.array([n for _, n in doubled], pa.int64())], ["gram", "word", "n"])
-            letters, owner = _coded([words[k] for k in kept])
+            words = pc.utf8_lower(pc.utf8_trim(terms, _EDGE))
+            kept = np.flatnonzero(pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False))
+            weight = np.bincount(index, minlength=len(terms))[kept]
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(kept)), pa.array(weight)], ["word", "n"])
+
+    @lean
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SIZE ** 3, np.int64)
+        for batch in batches:
+            weight = batch.column("n").to_numpy()
+            letters, owner = _coded(batch.column("word").to_pylist())
             whole = owner[2:] == owner[:-2]
             gram = (letters[:-2] * SIZE + letters[1:-1]) * SIZE + letters[2:]
-            total += np.bincount(gram[whole], weights=weight[owner[2:][whole]], minlength=SIZE ** 3).astype(np.int64)
+            np.add.at(total, gram[whole], weight[owner[2:][whole]])
         found = np.flatnonzero(total)
-        # Gram -1: the number of words.
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *found.tolist()], pa.int64()), pa.nulls(len(found) + 1, pa.string()),
-             pa.array([seen, *total[found].tolist()], pa.int64())], ["gram", "word", "n"])
-
-    counted = stored(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, word string, n long")
-                     .groupBy("gram", "word").agg(F.sum("n").alias("n")).filter(f"word IS NULL OR n >= {SUPPORT}"), "letters")
-    counts, seen = np.zeros(SIZE ** 3), 0
-    for r in counted.filter("word IS NULL").collect():
-        if r["gram"] < 0:
-            seen = r["n"]
-        else:
-            counts[r["gram"]] = r["n"]
-    often = counted.filter(F.col("word").isNotNull() & (F.col("n") * FREQUENT >= seen)).select("word").collect()
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["gram", "n"])
+
+    words = stored(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(
+        F.sum("n").alias("n")), "words")
+    odd = words.filter(F.col("word").rlike("(?U)" + _UNLIKELY.pattern)).select(F.col("word").alias("odd"), _bare(F.col("word")).alias("bare"))
+    told = odd.join(words.select(F.col("word").alias("bare")), "bare", "left_semi").select(F.col("odd").alias("word"))
+    grams = stored(words.join(told, "word", "left_anti").mapInArrow(spell, "gram long, n long").groupBy("gram").agg(
+        F.sum("n").alias("n")), "letters")
+    counts = np.zeros(SIZE ** 3)
+    for r in grams.collect():
+        counts[r["gram"]] = r["n"]
     tri = counts.reshape(SIZE, SIZE, SIZE)
     bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
     p1 = (uni + 1) / (uni.sum() + SIZE)
     p2 = (bi + 5 * p1) / (bi.sum(axis=1, keepdims=True) + 5)
     p3 = (tri + 5 * p2) / (tri.sum(axis=2, keepdims=True) + 5)
-    return CharModel(np.log(p3).astype(np.float32), frozenset(r["word"] for r in often))
+    return CharModel(np.log(p3).astype(np.float32))
 
 
 def _readings(token: str) -> list[list[tuple[str, float]]]:
@@ -214,12 +216,12 @@ def _spelt(path: tuple | None) -> str:
     return "".join(reversed(out))
 
 
-def _disguised(word: str, known: frozenset[str]) -> bool:
-    """Letters with marks behind them or symbols before them, runs, Cyrillic letters, doubled
-    letters of a word that is not frequent: in linear time."""
+def _disguised(word: str) -> bool:
+    """Letters with marks behind them or symbols before them, Cyrillic letters, doubled
+    letters: in linear time, and however often the word occurs."""
     letter, symbol = _LETTERS.search(word), _SYMBOLS.search(word)
     return bool(letter and _MARKS.search(word, letter.end()) or symbol and _LETTERS.search(word, symbol.end())
-                or _REPEATED.search(word) or _CYRILLIC.search(word) or (_UNLIKELY.search(word) and word not in known))
+                or _CYRILLIC.search(word) or _UNLIKELY.search(word) or _REPEATED.search(word))
 
 
 def _hash(words: list[str], salt: int) -> np.ndarray:
@@ -238,9 +240,9 @@ def _features(batch: pa.RecordBatch, model: CharModel) -> tuple[np.ndarray, np.n
     clean = [w.strip(_EDGE).lower() for w in seen]
     read: dict[int, str] = {}
     for k, w in enumerate(clean):
-        if w and (not w.isalpha() or w != seen[k].strip(_PLAIN_EDGE) or (_UNLIKELY.search(w) and w not in model.known)):
+        if w and (not w.isalpha() or w != seen[k].strip(_PLAIN_EDGE) or _UNLIKELY.search(w)):
             word = _NOISE.sub("", seen[k].lower()).strip(_PLAIN_EDGE)
-            if _disguised(word, model.known):
+            if _disguised(word):
                 said = model.read(word)
                 if said and said != w:
                     read[k] = said
@@ -368,7 +370,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: list[str | Colu
     """``carry`` columns (simple types) with ``score`` (0 to 1) and ``restored`` of every whole text.
 
     ``restored`` lists the disguised tokens as ``seen`` and ``read``. Null, empty and wordless
-    texts get the score of no features. Carry names must not be ``text``, ``score`` or
+    texts get the score of no features. Rows that repeat an id or a text are scored one by one and
+    alike: a score depends on the text and the model only. Carry names must not be ``text``, ``score`` or
     ``restored``. An empty table gives no rows.
     """
     rows = docs.select(*carry, F.col(text_col).alias("text"))

@@ -101,8 +101,38 @@ def test_disguises_of_any_length_are_read(spark, chars):
 
 
 def test_lower_case_words_of_letters_are_read(spark, chars):
-    """Look-alike letters and doubled letters pass through the scoring, frequent words stay."""
-    lookalike, capital, doubled, both, plain = readings(spark, chars, [
-        "what an idi\u043et", "What an IDI\u041eT", "what an iiddioott he is", "a mm\u043er\u043en", " ".join(sorted(chars.known))])
-    assert lookalike == capital == doubled == ["idiot"] and both == ["moron"]
-    assert len(chars.known) > 5 and plain == []
+    """Look-alike letters and doubled letters pass through the scoring."""
+    lookalike, capital, doubled, both, triple = readings(spark, chars, [
+        "what an idi\u043et", "What an IDI\u041eT", "what an iiddioott he is", "a mm\u043er\u043en", "an iiiidiot"])
+    assert lookalike == capital == doubled == triple == ["idiot"] and both == ["moron"]
+
+
+@pytest.mark.parametrize("copies", [1, 40, 4000])
+def test_a_disguise_is_read_however_often_it_occurs(spark, copies):
+    """The corpus that the character model learns from holds the disguises many times over."""
+    said = "what an iiddioott he is, such an id\u0456ot and mmoorroonn"
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("text")
+    disguised = spark.range(copies).select(F.lit(said).alias("text"))
+    model = toxicity.train_char_model(docs.unionByName(disguised))
+    (read,) = readings(spark, model, [said])
+    assert read == ["idiot", "idiot", "moron"]
+
+
+def test_genuine_doubled_letters_stay_features(spark, chars):
+    """Frequent words of the corpus with doubled letters: few get a second reading, and the word
+    itself counts beside it."""
+    texts = table(spark, SF, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    frequent = texts.filter(F.col("w").rlike(r"([a-z])\1")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(300)
+    words = [r.w for r in frequent.collect()]
+    read = readings(spark, chars, words)
+    assert sum(bool(r) for r in read) / len(words) < 0.5
+    model = toxicity.ToxicityModel(chars, np.ones(1 << toxicity.FEATURE_BITS, np.float32), 0.0)
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model, ["doc_id"]).collect()}
+    assert all(s > 0.5 for s in scores.values())
+
+
+def test_model_does_not_depend_on_the_layout(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    a, b = (toxicity.train_char_model(docs.repartition(n)) for n in (1, 13))
+    assert np.array_equal(a.logp, b.logp)
