@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,6 +70,39 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+FILE_ROWS = 33  # bits of a row key for the place in the file; above them the file's number
+
+
+def _file_numbers(df: DataFrame) -> bool:
+    """Whether ``df`` was read from Parquet files whose names hold different numbers."""
+    try:
+        df.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    names = [os.path.basename(f) for f in df.inputFiles()]
+    if len(names) == 1:
+        return True
+    found = [re.match(r"part-(\d{1,6})(?:\D.*?)?(?:-c(\d{3}))?(?:\.|$)", n) for n in names]
+    return all(found) and len({(int(m[1]), int(m[2] or 0)) for m in found}) == len(names)
+
+
+def with_row_key(df: DataFrame, out: str) -> DataFrame:
+    """``df`` with a long that names each row alike in every reading of the table.
+
+    The key is the number in the name of the row's file (of the task that wrote it, and of the
+    file within the task) and the row's place in the file. So it is the same for any cut of
+    the files into tasks, on any number of executors. The driver looks at the file names,
+    which it holds anyway. A table that was not read from such files is written once
+    (:func:`stored`), which gives it them.
+    """
+    if not _file_numbers(df):
+        df = stored(df, "keyed")
+    name = F.col("_metadata.file_name")
+    part = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    piece = F.coalesce(F.regexp_extract(name, r"-c(\d{3})\.", 1).try_cast("long"), F.lit(0))
+    return df.withColumn(out, F.shiftleft(part * 1000 + piece, FILE_ROWS) + F.col("_metadata.row_index"))
+
+
 def fold_is(doc_id: Column, parts: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo ``parts``, equals ``remainder`` (null id: false)."""
     crc = F.crc32(doc_id.cast("string").cast("binary"))
