@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +10,20 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm import chat, common, divergence, exact_dedup, language, maxent_lm, merkle, mixing, near_dedup, phrase_index, sharding, token_files, toxicity, warc
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARDS = 24
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer's file: in the folder ``TOKENIZER_DIR`` if that variable is
+    set, else where the installed package of public tokenizers keeps it."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     common.prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -38,7 +47,8 @@ def op2_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    docs = common.with_row_key(table(spark, sf_dir, "documents").select("doc_id", "source"), "_row")
+    return mixing.mix_sources(docs, order=["_row"])
 
 
 def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +94,9 @@ def op9_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.shared_dir(spark)}/tables/tokens-{uuid.uuid4().hex}"
+    path = common.run_path(spark, "tokens")
     tokens = token_files.write_tokens(
-        table(spark, sf_dir, "documents"), path, os.path.join(TOKENIZERS, "word_bpe_49k.json"))
+        table(spark, sf_dir, "documents"), path, tokenizer_file())
     return token_files.token_digest(tokens)
 
 
@@ -95,7 +105,7 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.shared_dir(spark)}/tables/warc-{uuid.uuid4().hex}"
+    path = common.run_path(spark, "warc")
     warc.write_pages(table(spark, sf_dir, "pages"), path)
     return warc.read_pages(spark, path)
 

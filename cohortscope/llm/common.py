@@ -58,14 +58,34 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("cohortscope.sent", spark.sparkContext.applicationId)
 
 
+RUN = uuid.uuid4().hex  # names this driver process's tables in the shared folder
+
+
+def run_path(spark: SparkSession, name: str) -> str:
+    """A new place for a table of this run in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession, run: str = RUN) -> bool:
+    """Delete the tables that a run (default: this driver process) left in the shared folder.
+
+    Call it when the results of the operators have been written or are no longer needed: a
+    DataFrame that an operator returned reads these tables. Tells whether there was anything.
+    """
+    folder = f"{shared_dir(spark)}/tables/{run}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without recomputing ``df``,
-    and values such as partition numbers are fixed from here on.
+    and values such as partition numbers are fixed from here on. The table stays until
+    :func:`cleanup`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = run_path(spark, name)
     df.write.options(**{"compression": "zstd", **(options or {})}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import heapq
 import math
-import uuid
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
@@ -14,79 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortscope.llm.common import number_rows, shared_dir
+from cohortscope.llm.common import number_rows, run_path
 
-MAX_SOURCES = 1000
 CHUNK = 64  # blocks of a source whose places lie in one row of the plan
 PIECE = 1 << 18  # blocks whose places are written together
-LAST = 1 << 62  # deadlines beyond it (weights under about 1e-18) are given as this
-
-
-def quanta(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
-    """Whole slots of a cycle for each source: largest remainders, at least one each."""
-    cycle = max(cycle, 4 * len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * cycle for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (slots[s] - exact[s], s))
-    short, k = cycle - sum(slots.values()), 0
-    while short:
-        s = order[k % len(order)] if short > 0 else max(slots, key=lambda x: (slots[x], x))
-        slots[s] += 1 if short > 0 else -1
-        short += -1 if short > 0 else 1
-        k += 1
-    return slots
-
-
-def edf_cycle(slots: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slot of each block of one cycle: of the released blocks the earliest deadline runs.
-
-    Block i of a source with q of Q slots is released at floor(i*Q/q) and due at
-    ceil((i+1)*Q/q). Those windows are feasible on one processor and earliest deadline
-    first meets them all, so each source is always less than one block from its share.
-    """
-    length = sum(slots.values())
-    released = [(0, s, 0) for s in slots]
-    heapq.heapify(released)
-    ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in slots}
-    for t in range(length):
-        while released and released[0][0] <= t:
-            _, s, i = heapq.heappop(released)
-            heapq.heappush(ready, (-(-(i + 1) * length // slots[s]), s, i))
-        _, s, i = heapq.heappop(ready)
-        out[s].append(t)
-        if i + 1 < slots[s]:
-            heapq.heappush(released, ((i + 1) * length // slots[s], s, i + 1))
-    return out
-
-
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int) -> list[dict]:
-    """The whole schedule in closed form: one entry per (phase, active source).
-
-    A phase lasts until one of its sources has no block left; the others share its weight
-    in the next phase. There are at most as many phases as sources, whatever the number of
-    blocks, so this small plan is made on the driver from one count per source.
-    """
-    left, done, base, out = dict(blocks), {s: 0 for s in blocks}, 0, []
-    left = {s: b for s, b in left.items() if b}
-    while left:
-        slots = quanta({s: weights[s] for s in left}, cycle)
-        at = edf_cycle(slots)
-        length = sum(slots.values())
-        # The end of each source: the slot after its last block, counted from the phase's start.
-        ends = {s: (b - 1) // slots[s] * length + at[s][(b - 1) % slots[s]] + 1 for s, b in left.items()}
-        end = min(ends.values())
-        for s in sorted(left):
-            full, part = divmod(end, length)
-            n = full * slots[s] + sum(1 for t in at[s] if t < part)
-            out.append({"source": s, "first": done[s], "until": done[s] + n, "base": base,
-                        "q": slots[s], "length": length, "at": at[s]})
-            done[s] += n
-            left[s] -= n
-        left = {s: b for s, b in left.items() if b}
-        base += end
-    return out
+LAST = 1 << 62  # the table of places holds longs: later deadlines (weights under 1e-18) are given as this
 
 
 def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
@@ -96,50 +28,72 @@ def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
     return {s: int(x * unit) for s, x in exact.items()}
 
 
+class Fluid:
+    """The ideal stream: at each moment every source that is not used up flows at its weight
+    over the weights of all that are not.
+
+    In virtual time ``v`` a source has sent ``min(blocks, weight * v)``, so the slot of ``v`` is
+    the sum of that over the sources: straight between the moments at which sources run out.
+    All in whole numbers, made once from one sort of the sources.
+    """
+
+    def __init__(self, blocks: Mapping[str, int], whole: Mapping[str, int]):
+        order = sorted(blocks, key=lambda s: (Fraction(blocks[s], whole[s]), s))
+        self.whole = whole
+        self.ends = [(blocks[s], whole[s]) for s in order]  # virtual end of each source, ascending
+        self.near = [blocks[s] / whole[s] for s in order]
+        self.sent, self.rate = [0], [sum(whole[s] for s in order)]
+        for s in order:  # blocks of used-up sources, weight of the others
+            self.sent.append(self.sent[-1] + blocks[s])
+            self.rate.append(self.rate[-1] - whole[s])
+
+    def phase(self, i: int, w: int) -> int:
+        """Number of sources used up before the virtual time ``i / w``."""
+        k = bisect_left(self.near, i / w)
+        while k < len(self.ends) and self.ends[k][0] * w < i * self.ends[k][1]:
+            k += 1
+        while k and self.ends[k - 1][0] * w >= i * self.ends[k - 1][1]:
+            k -= 1
+        return k
+
+    def released(self, s: str, i: int) -> tuple[int, float]:
+        """Slot from which block ``i`` of a source may run, and the source's share there."""
+        w = self.whole[s]
+        k = self.phase(i, w)
+        return self.sent[k] + self.rate[k] * i // w, w / self.rate[k]
+
+    def due(self, s: str, i: int) -> int:
+        """Slot before which block ``i`` of a source has to be done."""
+        w = self.whole[s]
+        k = self.phase(i + 1, w)
+        return self.sent[k] - (-self.rate[k] * (i + 1) // w)
+
+
 Place = tuple[str, int, int, int, int, float]  # source, block, slot, release, deadline, weight
 
 
 def exact_places(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[Place]:
     """The schedule slot by slot: of the released blocks the earliest deadline runs.
 
-    Block i of a source of share w is released at floor(i/w) and due at ceil((i+1)/w), in
-    whole numbers, so each source is less than one block from its target at any length. A
-    new phase starts when a source has no block left; the others share its weight. Holds one
-    block of each source at a time.
+    A block is released in the slot in which the ideal stream starts on it and due by the end
+    of the slot in which that has sent it. Such windows always fit, and earliest deadline
+    first keeps them all, so every source is less than one block from the ideal stream at
+    any moment, sources that run out included. Holds one block of each source at a time.
     """
-    whole = whole_weights(weights)
-    left, done, base = {s: b for s, b in blocks.items() if b}, dict.fromkeys(blocks, 0), 0
-    while left:
-        total, t = sum(whole[s] for s in left), 0
-        share = {s: whole[s] / total for s in left}
-        released = [(0, s, 0) for s in left]
-        heapq.heapify(released)
-        ready: list[tuple[int, str, int, int]] = []
-        while True:
-            while released and released[0][0] <= t:
-                start, s, i = heapq.heappop(released)
-                heapq.heappush(ready, (-(-(i + 1) * total // whole[s]), s, i, start))
-            due, s, i, start = heapq.heappop(ready)
-            yield s, done[s], base + t, base + start, min(base + due, LAST), share[s]
-            heapq.heappush(released, ((i + 1) * total // whole[s], s, i + 1))
-            done[s] += 1
-            left[s] -= 1
-            t += 1
-            if not left[s]:
-                break
-        del left[s]
-        base += t
-
-
-def cycle_places(blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int) -> Iterator[Place]:
-    """The places of a schedule that repeats after ``cycle`` slots, source by source."""
-    for p in phases(blocks, weights, cycle):
-        q, length = p["q"], p["length"]
-        for j in range(p["first"], p["until"]):
-            turn, i = divmod(j - p["first"], q)
-            start = p["base"] + turn * length
-            yield (p["source"], j, start + p["at"][i], start + i * length // q,
-                   start - (-(i + 1) * length // q), q / length)
+    blocks = {s: b for s, b in blocks.items() if b}
+    fluid = Fluid(blocks, whole_weights({s: weights[s] for s in blocks})) if blocks else None
+    waiting = [(0, s, 0, fluid.released(s, 0)[1]) for s in blocks]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int, float]] = []
+    for t in range(sum(blocks.values())):
+        while waiting and waiting[0][0] <= t:
+            start, s, i, share = heapq.heappop(waiting)
+            heapq.heappush(ready, (fluid.due(s, i), s, i, start, share))
+        due, s, i, start, share = heapq.heappop(ready)
+        yield s, i, t, start, min(due, LAST), share
+        if i + 1 < blocks[s]:
+            start, share = fluid.released(s, i + 1)
+            heapq.heappush(waiting, (start, s, i + 1, share))
 
 
 _PLAN = T.StructType([
@@ -157,7 +111,7 @@ def _stored_plan(spark: SparkSession, places: Iterator[Place]) -> DataFrame:
 
     Written piece by piece: the driver holds ``PIECE`` places and one row of each source.
     """
-    path = f"{shared_dir(spark)}/tables/plan-{uuid.uuid4().hex}"
+    path = run_path(spark, "plan")
     opened: dict[str, tuple[int, array, array, array, array]] = {}
     full: list[tuple] = []
     wrote = False
@@ -185,33 +139,31 @@ def _stored_plan(spark: SparkSession, places: Iterator[Place]) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
-                temperature: float = 0.7, block_rows: int = 16, cycle: int | None = None,
+                temperature: float = 0.7, block_rows: int = 16,
                 source_col: str = "source", id_col: str = "doc_id",
-                carry: list[str] | None = None) -> DataFrame:
+                carry: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Place every row of ``docs`` in a stream that interleaves sources by target weight.
 
     Returns ``doc_id, source``, the ``carry`` columns, ``block`` (number within the source),
-    ``weight`` (in the row's phase), ``release``, ``deadline`` and ``slot`` (in blocks) and
-    ``position`` (sort key of the stream, slot by slot). No row is dropped or repeated: when
-    a source is used up, the rest go on with its weight shared out in proportion. Within a
-    phase each source is always less than one block from its target weight; only if ``cycle``
-    is given, weights are rounded to whole slots of a cycle that repeats.
+    ``weight`` (the source's share when the block is released), ``release``, ``deadline`` and
+    ``slot`` (in blocks) and ``position`` (sort key of the stream, slot by slot). No row is
+    dropped or repeated: when a source is used up, the rest go on with its weight shared out in
+    proportion. At any moment each source is less than one block from its exact target.
 
     ``weights`` maps sources (``None``: rows without a source) to target weights; sources
     it leaves out, and all sources if it is ``None``, weigh their row count to the power of
-    ``temperature`` (scaled to the mapping's mean). Sources number at most
-    ``MAX_SOURCES``; more raise ValueError, as weights are set per source by hand. Repeated
-    ids are rows of their own. An empty table gives no rows.
+    ``temperature`` (scaled to the mapping's mean). Within a source rows stand by id, then by
+    the ``order`` columns (which should name rows where ids may be null or repeated, so that
+    equal ids spread over tasks). Repeated ids are rows of their own. An empty table gives no
+    rows. The driver holds one row a source and makes the schedule block by block; its time
+    grows with blocks and sources (README), so a very large table takes a larger ``block_rows``.
     """
-    spark, carry = docs.sparkSession, list(carry or [])
+    spark, carry, order = docs.sparkSession, list(carry or []), list(order or [])
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)],
+        *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)], *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)],
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_key"))
-    counted = rows.groupBy("_key").count().limit(MAX_SOURCES + 1).collect()
-    if len(counted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
-    counts = {r["_key"]: r["count"] for r in counted}
+    counts = {r["_key"]: r["count"] for r in rows.groupBy("_key").count().collect()}
     natural = {s: float(n) ** temperature for s, n in counts.items()}
     if weights:
         asked = {"" if s is None else f"={s}": float(w) for s, w in weights.items()}
@@ -223,9 +175,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     else:
         target = natural
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    planned = _stored_plan(spark, cycle_places(blocks, target, cycle) if cycle else exact_places(blocks, target))
+    planned = _stored_plan(spark, exact_places(blocks, target))
 
-    numbered = number_rows(rows, ["_key"], ["doc_id"], "_n")
+    numbered = number_rows(rows, ["_key"], ["doc_id", *[f"_o{k}" for k in range(len(order))]], "_n", few_groups=False)
     block = F.floor(F.col("_n") / block_rows).cast("long")
     # One row of the plan meets CHUNK * block_rows rows at most, so no source is hot here.
     placed = numbered.withColumn("block", block).withColumn("_at", F.expr(f"block div {CHUNK}")).join(

@@ -5,10 +5,10 @@ import pyarrow as pa
 import pytest
 
 from cohortscope.llm import common, token_files
-from cohortscope.llm.catalog import TOKENIZERS
+from cohortscope.llm.catalog import tokenizer_file
 from helpers import no_docs, odd_docs, shipped  # noqa: F401
 
-FILE = f"{TOKENIZERS}/word_bpe_49k.json"
+FILE = tokenizer_file()
 ODD = ["", "  \n ", "Σας ΣΑΣ, ÉTÉ. a.b c.,d e. f, it's I'M don't <|endoftext|> x", "<|ENDOFTEXT|>", "é á. ̸. X̸. İst.",
        "ǅ, ﬁne. ½ ²x", "日本語。テスト, ok", "q \u0085  r. s", "a\x00b. c", "'s 'S l'eau. 12,3. 1.", "the the, The."]
 
@@ -28,7 +28,7 @@ def test_chunks_encode_like_whole_texts():
 
 
 def test_other_tokenizers_get_whole_texts():
-    encoder = token_files.ChunkEncoder(f"{TOKENIZERS}/byte_bpe_50k.json")
+    encoder = token_files.ChunkEncoder(tokenizer_file("byte_bpe_50k.json"))
     assert not encoder.by_chunk
     sizes, ids = encoder.encode(pa.array(["Hello  World", ""]))
     want = encoder.tokenizer.encode("Hello  World", add_special_tokens=False).ids + [2, 2]
