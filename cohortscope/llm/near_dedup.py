@@ -135,9 +135,18 @@ def _similar(a: bytes, b: bytes, percent: int) -> bool:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """``key, doc, n``: the rows ``key, doc`` of buckets with ``n`` > 1 members, as a table."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return stored(members.join(sizes, "key"), "buckets")
+    """``key, doc, n``: the rows ``key, doc`` of buckets with ``n`` > 1 members, as a table.
+
+    A bucket that a third of all sets share is a hot key: its members do not meet in one task
+    (:func:`join_hot`), here and in the steps that follow.
+    """
+    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket-sizes")
+    return stored(join_hot(members, sizes, "key", "n", _held(sizes)).filter("n IS NOT NULL"), "buckets")
+
+
+def _held(sizes: DataFrame) -> int:
+    """Rows in all buckets of ``key, n``."""
+    return sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
 
 
 def star_edges(shared: DataFrame) -> DataFrame:
@@ -147,9 +156,11 @@ def star_edges(shared: DataFrame) -> DataFrame:
     """
     mass = shared.groupBy("doc").agg(F.sum("n").alias("mass"))
     weighed = shared.join(mass, "doc")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("mass", (-F.col("doc")).alias("least"))).alias("h")) \
-        .select("key", (-F.col("h.least")).alias("hub"))
-    return shared.join(hubs, "key").filter("hub <> doc").select("hub", "doc").distinct()
+    hubs = stored(weighed.groupBy("key").agg(
+        F.max(F.struct("mass", (-F.col("doc")).alias("least"))).alias("h"), F.max("n").alias("n"))
+        .select("key", (-F.col("h.least")).alias("hub"), "n"), "hubs")
+    starred = join_hot(shared.select("key", "doc"), hubs, "key", "n", _held(hubs))
+    return starred.filter("hub <> doc").select("hub", "doc").distinct()
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,17 +188,20 @@ def components(edges: DataFrame) -> DataFrame:
     def fingerprint(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def least_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+
     e = stored(edges.select(F.col(edges.columns[0]).alias("u"), F.col(edges.columns[1]).alias("v"))
                .filter("u <> v").distinct(), "edges")
     before = fingerprint(e)
     while True:
+        ends = 2 * before[0]  # a hub may hold a third of these: hot keys are joined apart
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
-        large = both.join(least, F.col("u") == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_hot(both, least_of(both), "u", "degree", ends).filter("v > u").select(
+            F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = large.filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small = down.join(low, F.col("u") == F.col("c"))
+        small = join_hot(down, least_of(down), "u", "degree", ends).select("u", "v", "m")
         e = small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").filter("u <> v").distinct()
         e = stored(e, "edges")
         after = fingerprint(e)
@@ -202,10 +216,11 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``main, doc``: members of a bucket outside the bucket's largest class."""
     named = members.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     counts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("key").agg(
-        F.max(F.struct("n", (-F.col("component")).alias("least"))).alias("top"), F.count(F.lit(1)).alias("classes")
-    ).filter("classes > 1").select("key", (-F.col("top.least")).alias("main"))
-    return named.join(main, "key").filter("component <> main").select("main", "doc").distinct()
+    main = stored(counts.groupBy("key").agg(
+        F.max(F.struct("n", (-F.col("component")).alias("least"))).alias("top"), F.count(F.lit(1)).alias("classes"),
+        F.sum("n").alias("n")).filter("classes > 1").select("key", (-F.col("top.least")).alias("main"), "n"), "main-classes")
+    met = join_hot(named, main, "key", "n", _held(main))
+    return met.filter("main IS NOT NULL AND component <> main").select("main", "doc").distinct()
 
 
 def _block_links(cells: DataFrame, percent: int) -> DataFrame:

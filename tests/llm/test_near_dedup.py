@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cohortscope.llm import near_dedup
+from cohortscope.llm import common, near_dedup
 from helpers import no_docs, odd_docs, shipped, spaced_words  # noqa: F401
 
 
@@ -64,6 +65,43 @@ def test_families_against_brute_force(spark, seed, width, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("seed", [1, 4])
+def test_hot_buckets_and_hubs_take_the_way_apart(spark, monkeypatch, seed):
+    """With a bound of two rows nearly every bucket, hub and class is hot."""
+    monkeypatch.setattr(common, "HOT_SHARE", 2)
+    rows = families(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_a_bucket_with_a_third_of_all_sets_is_spread(spark):
+    """The members of the hot bucket meet its hub in many tasks, none with over four times the
+    median; joined by the key alone they would be in one."""
+    want = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        members = spark.range(30_000).selectExpr("IF(id % 3 = 0, -1, id DIV 4) AS key", "id AS doc")
+        shared = near_dedup.shared_buckets(members)
+        assert shared.filter("key = -1").count() == 10_000 and shared.filter("n < 2").count() == 0
+        hubs = shared.groupBy("key").agg(F.min("doc").alias("hub"), F.max("n").alias("n"))
+        met = common.join_hot(shared.select("key", "doc"), hubs, "key", "n", 30_000).filter("hub IS NOT NULL")
+        placed = met.groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("key") == -1).alias("hot")).collect()
+        sizes = sorted(r.rows for r in placed)
+        assert len(sizes) == 24 and all(r.hot for r in placed) and sizes[-1] <= 4 * sizes[12]
+        edges = near_dedup.star_edges(shared)
+        assert edges.groupBy("hub").count().agg(F.max("count")).first()[0] >= 9_999
+        labels = near_dedup.components(edges)
+        assert labels.filter("component = 0").count() >= 10_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_cells_are_cut_and_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "CELL_SHINGLES", 500)
     rows = families(4)
