@@ -8,15 +8,12 @@ whose ``doc_id`` is null or repeated are judged like others, each by its own tex
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortscope.llm import common, language, mixing, near_dedup, phrase_index, token_files
-from cohortscope.llm.catalog import TOKENIZERS, table
+from cohortscope.llm.catalog import table, tokenizer_file
 
 SHARE_OF_MEDIAN = 0.25  # of the cosine that labelled texts of a length have: below it, no language
 STEPS = 1000  # steps of a cosine in which medians are counted
@@ -90,9 +87,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = keyed(docs)
     found = common.stored(near_dedup.near_duplicates(docs, id_col="_row").select(
         F.col("doc_id").alias("_row"), "component_id"), "components")
-    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("component_id IS NOT NULL AND n > 1")
-    members = found.join(several.select("component_id"), "component_id", "left_semi")
-    named = common.stored(members.join(docs.select("_row", "doc_id"), "_row"), "members")
+    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("component_id IS NOT NULL AND n > 1")
+    # A class with a third of all rows is joined apart.
+    members = common.join_hot(found, common.stored(sizes, "classes"), "component_id", "n", found.count()).filter("n IS NOT NULL")
+    named = common.stored(members.drop("n").join(docs.select("_row", "doc_id"), "_row"), "members")
     stays = named.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
     return _without(docs, named.join(stays, "_row", "left_anti"), "near-copies")
@@ -112,7 +110,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are placed by source and key alone; whole rows move once, to their place.
     """
     docs = keyed(docs)
-    placed = mixing.mix_sources(docs.select("_row", "doc_id", "source"), carry=["_row"])
+    placed = mixing.mix_sources(docs.select("_row", "doc_id", "source"), carry=["_row"], order=["_row"])
     placed = common.stored(placed.select("_row", F.col("position").alias("_position")), "places")
     whole = docs.join(placed, "_row").repartitionByRange("_position", "_row")
     return whole.sortWithinPartitions("_position", "_row").drop("_row", "_position")
@@ -121,9 +119,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token files in the order of the mix; returns what the files hold, per document."""
     common.prepare(spark)
-    path = f"{common.shared_dir(spark)}/tables/corpus-tokens-{uuid.uuid4().hex}"
+    path = common.run_path(spark, "corpus-tokens")
     made = token_files.write_tokens(
-        docs, path, os.path.join(TOKENIZERS, "word_bpe_49k.json"), order=token_files.stored_order(docs))
+        docs, path, tokenizer_file(), order=token_files.stored_order(docs))
     return token_files.token_digest(made)
 
 
