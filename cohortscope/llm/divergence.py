@@ -270,11 +270,14 @@ def source_distances(made: Audit) -> DataFrame:
     wide = F.floor(F.col("shard") / WIDE)
     cells = made.shards.groupBy("lang", wide.alias("wide")).agg(
         F.sort_array(F.collect_list(F.struct("shard", "size"))).alias("sizes"))
-    langs = groups.select("lang").distinct().join(cells, "lang", "left").select(
-        "lang", F.coalesce("wide", F.lit(0)).alias("wide"), "sizes")
+    # Every block of sources meets every group of shards: by (language, block), so a language with
+    # most of the sources and terms is as even as the others.
+    langs = groups.select("lang", "n_blocks").distinct().join(cells, "lang", "left").select(
+        "lang", F.coalesce("wide", F.lit(0)).alias("wide"), "sizes",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     lists = made.counts.groupBy("lang", "source", wide.alias("wide")).agg(
         F.collect_list(F.struct("shard", "slot", "n")).alias("held"))
-    rows = groups.join(langs, "lang").join(lists, ["lang", "source", "wide"], "left")
+    rows = groups.join(langs, ["lang", "block"]).join(lists, ["lang", "source", "wide"], "left")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
     rows = rows.withColumn("other", other).select(
         "lang", "wide", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
