@@ -34,6 +34,7 @@ CHUNK = 1 << 13  # weights that are averaged together
 STEP = 4_096  # tokens of one gradient update
 LIMIT = 60.0  # scores are cut to +-LIMIT, so their exponentials never overflow
 RATE = 0.5
+LEAST_TRAINERS, TRAINER_BLOCKS = 256, 16
 
 _BLOCK = ("block long, ids array<long>, held array<boolean>, firsts array<int>, words binary, "
           "terms array<string>, trained array<long>, buckets array<int>")
@@ -212,10 +213,18 @@ class Weights:
     members: np.ndarray
 
 
-def train_weights(corpus: Corpus, trainers: int = 256, rounds: int = 1) -> Weights:
+def trainers_for(blocks: int) -> int:
+    """Trainers of a corpus of so many blocks: a trainer learns from 16 blocks (some 128 MB of
+    text) once there are more than ``LEAST_TRAINERS`` such pieces, so training spreads as the
+    corpus grows."""
+    return max(LEAST_TRAINERS, -(-blocks // TRAINER_BLOCKS))
+
+
+def train_weights(corpus: Corpus, trainers: int | None = None, rounds: int = 1) -> Weights:
     """Learn the weights from every training token.
 
-    In each round every trainer (a task; at most ``trainers``) starts from the shared weights
+    In each round every trainer (a task; at most ``trainers``, by default :func:`trainers_for`
+    the corpus) starts from the shared weights
     and makes gradient updates over its blocks; the results are averaged by tokens, piece by
     piece, in as many groups as there are pieces. What a trainer sends is the size of the
     model; what the driver gets is one model.
@@ -224,6 +233,8 @@ def train_weights(corpus: Corpus, trainers: int = 256, rounds: int = 1) -> Weigh
     shape = (CLASS_ROWS * MEMBERS, MEMBER_ROWS * MEMBERS)
     flat = np.zeros(sum(shape), np.float32)
     own = pa.array(list(corpus.own), pa.string())  # in order of their units, from 1
+    if trainers is None:
+        trainers = trainers_for(corpus.blocks.count())
     rows = corpus.blocks.select("held", "firsts", "words", "terms", "buckets").coalesce(trainers)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(flat)

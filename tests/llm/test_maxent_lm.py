@@ -86,3 +86,37 @@ def test_odd_and_empty_tables(spark):
     assert {r.train_tokens for r in none} == {0} and {r.n_known for r in none} == {0}
     assert all(r.base_score == 0 for r in none) and all(np.isfinite(r.score) for r in none)
     assert maxent_lm.score_documents(no_docs(spark), F.lit(False)).collect() == []
+
+
+def test_score_against_a_slow_model(spark):
+    """Every factor of every token's probability, token by token in plain Python."""
+    texts = ["the cat sat on the mat. the end", "a dog, a cat and the mat", "", "unseen wordings only", "the the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    corpus = maxent_lm.count_corpus(docs, F.col("doc_id") == 3)
+    weights = maxent_lm.train_weights(corpus)
+    got = {r.doc_id: r.score for r in maxent_lm.score_corpus(corpus, weights).collect()}
+    counts = Counter(w for k, t in enumerate(texts) if k != 3 for w in t.split())
+
+    def unit(word):
+        return corpus.own.get(word) or maxent_lm.OWN + int(maxent_lm.bucket_of(pa.array([word]))[0])
+
+    def log_softmax(table, rows, target):
+        sums = [min(60.0, max(-60.0, sum(float(table[int(r[0])][c]) for r in rows))) for c in range(32)]
+        return sums[target] - math.log(sum(math.exp(x) for x in sums))
+
+    for k, text in enumerate(texts):
+        total, last, before = 0.0, maxent_lm.PAST, maxent_lm.PAST
+        for word in [*text.split(), None]:
+            u = 0 if word is None else unit(word)
+            x, y, cls = np.array([last]), np.array([before]), np.array([u // 32])
+            total += log_softmax(weights.classes, maxent_lm._class_rows(x, y), u // 32) / math.log(10)
+            total += log_softmax(weights.members, maxent_lm._member_rows(x, y, cls), u % 32) / math.log(10)
+            if u >= maxent_lm.OWN:
+                total += math.log10((counts[word] + 1) / corpus.bucket_mass[u - maxent_lm.OWN])
+            last, before = u, last
+        assert abs(got[k] - total) < 1e-4 * max(1, abs(total)), (text, got[k], total)
+
+
+def test_trainers_grow_with_the_corpus():
+    """A trainer's share of text is bounded, so more text trains on more tasks."""
+    assert [maxent_lm.trainers_for(n) for n in (0, 1, 4096, 4097, 1_000_000)] == [256, 256, 256, 257, 62_500]
