@@ -20,7 +20,7 @@ from collections import defaultdict
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
-from cohortscope.operators import cohort, eligibility, segments, timing  # noqa: E402
+from cohortscope.operators import cohort, eligibility, profile, retention, segments, timing  # noqa: E402
 from cohortscope.session import build_session  # noqa: E402
 
 N = int(sys.argv[1]) if len(sys.argv) > 1 else 30_000_000
@@ -55,11 +55,14 @@ RUNS = {
     "conversion_rate": lambda: cohort.conversion_rate(members, facts),
     "compare_segments": lambda: segments.compare_segments(facts, members),
     "time_to_event": lambda: timing.time_to_event(
-        timing.first_event(facts), timing.first_event(facts.filter("delta_point > 5"), name="end_at")),
+        timing.event_times(facts), timing.event_times(facts, where=F.col("delta_point") > 5, name="end_at")),
+    "R1 over visit rows, hot user": lambda: retention.retention_by_first_revisit(
+        retention.start_days(facts.filter("delta_point = 3")), facts, visit_ts="created_at"),
+    "P6 distinct users": lambda: profile.distinct_count(facts, {"users": "user_id"}),
     "S6 flag_rate, hot user": lambda: segments.flag_rate(by_user, members, pieces),
     "S6 flag_rate, hot piece": lambda: segments.flag_rate(by_piece, members, pieces),
     "C5 overlap, hot link key": lambda: cohort.cohort_overlap(
-        [(members, "user_id"), (cohort.linked_members(by_piece, pieces), "user_id")]),
+        [(members, "user_id"), (cohort.linked_members(by_piece, pieces, distinct=False), "user_id")]),
     "E3 population, hot class": lambda: eligibility.eligible_population(users, groups, schools),
     "E4 conversion, hot class": lambda: eligibility.eligible_conversion(users, groups, schools, members),
 }
