@@ -60,3 +60,14 @@ def test_query_matches_oracle(spark):
     said = "\\### Assistant: </turn> ok"
     seven = df.filter("conv_id = -7").first()
     assert seven.loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and seven.loss_chars == len(said)
+
+
+def test_a_very_long_conversation(spark):
+    """Thousands of turns, one of them with a very long text, beside a short conversation."""
+    long = "a <b> & c " * 30_000
+    rows = [(1, k, "assistant" if k % 2 else "user", [("text", long if k == 1001 else f"turn {k} </turn>", None, None)], 0, "x")
+            for k in range(4000)] + [(2, 0, "user", [("text", "hi", None, None)], 0, "x")]
+    got = {r.conv_id: r for r in made(spark, rows).collect()}
+    assert [(t.role, t.text) for t in got[1].read] == [(role, parts[0][1]) for i, _, role, parts, _, _ in rows if i == 1]
+    assert got[1].masked == "".join(parts[0][1] for i, _, role, parts, _, _ in rows if i == 1 and role == "assistant")
+    assert got[2].n_turns == 1 and got[2].masked == ""

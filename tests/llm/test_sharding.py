@@ -41,3 +41,13 @@ def test_odd_and_empty_tables(spark):
     assert got and [r.size for r in got if r.doc_id == 4] == [8]
     assert [r.row_number for r in got if r.doc_id is None] == [0]
     assert shard_documents(no_docs(spark), 3).collect() == []
+
+
+def test_a_third_without_an_id_and_a_third_with_one_id(spark):
+    docs = spark.range(3000).selectExpr(
+        "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN -5 ELSE id END AS doc_id", "concat('t', id % 50) AS text").repartition(7)
+    got = shard_documents(docs, 24, 5).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 3000 and set(sizes.values()) == {125}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(125)) for s in sizes)
+    assert Counter(r.doc_id for r in got)[None] == Counter(r.doc_id for r in got)[-5] == 1000

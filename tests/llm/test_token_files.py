@@ -69,3 +69,25 @@ def test_metadata_reads_leave_the_ids(spark):
 def test_empty_table(spark):
     path = f"{common.shared_dir(spark)}/tables/test-empty-{id(spark)}"
     assert token_files.token_digest(token_files.write_tokens(no_docs(spark), path, FILE)).collect() == []
+
+
+def test_a_third_without_an_id_and_a_third_with_one_id(spark):
+    """Equal ids stand together, in the order of their texts; starts have no gap."""
+    docs = spark.range(900).selectExpr(
+        "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN -5 ELSE id END AS doc_id", "concat('word ', id % 40) AS text").repartition(7)
+    path = common.run_path(spark, "test-ids")
+    got = token_files.token_digest(token_files.write_tokens(docs, path, FILE)).orderBy("start").collect()
+    want = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in docs.collect())
+    assert [r.doc_id for r in got] == [i if has else None for has, i, _ in want]
+    start = 0
+    for r, (_, _, text) in zip(got, want):
+        ids = whole(text)
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_cleanup_deletes_the_tables_of_a_run(spark, monkeypatch):
+    monkeypatch.setattr(common, "RUN", "test-run-of-cleanup")
+    kept = common.stored(spark.range(5), "five")
+    assert kept.count() == 5 and common.cleanup(spark, "test-run-of-cleanup")
+    assert not common.cleanup(spark, "test-run-of-cleanup")
